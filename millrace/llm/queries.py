@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, quality, sharding
+from millrace.llm import html_text, mixing, packing, quality, sharding, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -32,6 +32,32 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), "n_copies", "copy", "shuffle_key")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_text.extract(_table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best partners of every vector whose id is divisible by 20."""
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+OP4_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 OP8_SQL = """
 WITH RECURSIVE sizes AS (
     SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY source
@@ -69,10 +95,27 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to 400-byte strings that also start elsewhere."""
+    rows, kept = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    kept = kept.select("sha", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha"))
+    nothing = F.lit(0).cast("long")
+    return rows.join(kept, F.col("__mr_sha") == F.col("sha"), "left").select(
+        "doc_id",
+        F.col("__mr_bytes").alias("n_bytes"),
+        F.coalesce("n_removed", nothing).alias("n_removed"),
+        F.coalesce("n_spans", nothing).alias("n_spans"),
+        F.coalesce("kept_sha", "__mr_sha").alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_shard": op2_shard,
+    "op3_html": op3_html,
+    "op4_topk": op4_topk,
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
+    "op10_suffix": op10_suffix,
 }
-ORACLES = {"op8_mix": OP8_SQL}
+ORACLES = {"op4_topk": OP4_SQL, "op8_mix": OP8_SQL}
