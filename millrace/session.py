@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +49,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes `df` as Parquet and reads it back; the schema is passed on, so an empty table works too."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def cut(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+        """Writes `df` as Parquet and reads it back; the schema is passed on, so an empty table works too.
+
+        Rows that are written make the shuffle files before them useless. The JVM deletes those when it collects
+        what refers to them, so a collection is asked for.
+        """
+        with arrow_batches(self.spark):
+            df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        self.spark.sparkContext._jvm.System.gc()
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:
@@ -61,3 +69,18 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str = "16m") -> Iterator[None]:
+    """Bounds the bytes of the Arrow batches of the actions inside, as a few rows can be very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
