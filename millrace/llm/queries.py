@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html_text, mixing, packing, quality, sharding, suffix_dedup, topk
+from millrace.llm import html_text, mixing, neardup, packing, quality, sharding, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -58,6 +58,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 OP8_SQL = """
 WITH RECURSIVE sizes AS (
     SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY source
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard": op2_shard,
     "op3_html": op3_html,
     "op4_topk": op4_topk,
+    "op5_minhash": op5_minhash,
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
     "op10_suffix": op10_suffix,
