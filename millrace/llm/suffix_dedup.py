@@ -4,16 +4,17 @@ Every byte that a string of `length` bytes covers which also starts elsewhere go
 whatever the hashes do:
 
 1. Texts that are equal are taken once, with their count.
-2. Content-defined anchors: of any `length` bytes in a row, the gram of ANCHOR bytes with the least hash is an
-   anchor. So two equal strings hold an anchor at the same place in them, and only texts around an anchor that
-   is found twice can repeat. An anchor's context is all bytes that a string with it can cover.
-3. Equal contexts of one anchor are repeats as they are. Anchors with different contexts are dealt to shards by
-   ranges of their hash; which shard owns an anchor is a binary search over the ranges' bounds. As all contexts
-   of an anchor meet in a shard, the shards' suffix arrays need no further merge.
+2. Content-defined contexts: the anchor of a string of `length` bytes is the least hash of a gram of ANCHOR bytes in
+   it. Equal strings have equal anchors. A context is what strings with one anchor cover that start next to each
+   other; it starts and ends where their content says. Only contexts with an anchor that another one has too, or
+   that holds it twice itself, can have repeats.
+3. Equal contexts are repeats as they are, from end to end. Others are dealt to shards by ranges of their anchors;
+   which shard has an anchor is a binary search over the ranges' bounds. As all contexts of an anchor meet in
+   a shard, the shards' suffix arrays need no further merge.
 4. A shard builds the suffix array of its contexts by Larsson-Sadakane refinement, the longest common prefixes
    by Kasai's recurrence, and marks strings that start at two or more places.
-5. An anchor with more contexts than a task should hold has its strings matched through a global aggregation of
-   their digests instead, without any group in one task.
+5. An anchor with more bytes of contexts than a task should hold has its strings matched through a global
+   aggregation of their digests instead, without any group in one task.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from millrace.session import Scratch
 
-#: Bytes in an anchor; bytes of contexts in one suffix array; contexts beyond which an anchor takes step 5.
-ANCHOR, BLOCK, HOT = 64, 2 << 20, 8_192
+#: Bytes in an anchor; bytes of contexts in one suffix array; bytes of contexts beyond which an anchor takes step 5;
+#: strings that one context may hold.
+ANCHOR, BLOCK, HOT, STRINGS = 64, 900_000, 1_100_000, 50_000
 #: The same for every text, as anchors must be.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -66,8 +68,11 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the anchors of a text of `length` bytes or more."""
+def contexts_of(data: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, anchor, twice) of the contexts of a text of `length` bytes or more.
+
+    twice: the anchor's gram is in the context at two places, as in text that repeats itself.
+    """
     n = len(data)
     up, down = powers.upto(n + 1)
     sums = np.zeros(n + 1, np.uint64)
@@ -78,80 +83,107 @@ def anchors(data: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarray,
     h ^= h >> np.uint64(32)
     width = length - ANCHOR + 1
     least = _slide(h, width, np.minimum)
+    heads = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    tails = np.concatenate([heads[1:], [len(least)]])
+    # Where the grams with the anchor's hash are: the first and the last in the context.
     edge = np.zeros(width - 1, np.uint64)
-    chosen = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == h)
-    return chosen, h[chosen]
-
-
-def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of all suffixes, and for each position its first 8 bytes as a number.
+    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == h)
+    again = at[1:][h[at[1:]] == h[at[:-1]]]
+    prior = at[:-1][h[at[1:]] == h[at[:-1]]]
+    run = np.searchsorted(heads, np.minimum(prior, len(least) - 1), side="right") - 1
+    twice = np.zeros(len(heads), bool)
+    for step in (0, 1):  # the context of a gram is the one around the string that starts with it, or one before
+        k = np.maximum(run - step, 0)
+        ok = (least[heads[k]] == h[prior]) & (again < tails[k] + width - 1)
+        twice[k[ok]] = True
+    twice |= tails - heads > width
+    if (tails - heads).max() > STRINGS:
+        cuts = [np.arange(a, b, STRINGS) for a, b in zip(heads, tails, strict=True)]
+        which = np.repeat(np.arange(len(heads)), [len(c) for c in cuts])
+        starts = np.concatenate(cuts)
+        return starts, np.minimum(starts + STRINGS, tails[which]) - starts + length - 1, least[heads][which], twice[which]
+    return heads, tails - heads + length - 1, least[heads], twice
+
+
+def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(order, key, chars, bits): all suffixes by their first `depth` bytes or more, and the keys of positions.
 
     Larsson-Sadakane: sort by the first h bytes, then refine only groups that are not single yet by the ranks h
-    bytes on, doubling h until every group is single.
+    bytes on, doubling h. A position's key has its first `chars` bytes, coded in `bits` each so that as many as
+    can be share a 64-bit number with the position; plain sorts of such numbers do the work.
     """
     n = len(data)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = data
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    code = np.cumsum(np.bincount(data, minlength=256) > 0).astype(np.uint64)
+    bits, room = int(code[-1]).bit_length(), max(1, (n - 1).bit_length())
+    chars = (64 - room) // bits
+    padded = np.zeros(n + chars, np.uint64)
+    padded[:n] = code[data]
+    key = padded[:n].copy()
+    for j in range(1, chars):
+        key <<= np.uint64(bits)
+        key |= padded[j : j + n]
+    room_u, mask = np.uint64(room), np.uint64((1 << room) - 1)
+    packed = np.sort((key << room_u) | np.arange(n, dtype=np.uint64))
+    order = (packed & mask).astype(np.int64)
+    packed >>= room_u
+    first = np.concatenate([[True], packed[1:] != packed[:-1]])
     rank = np.empty(n, np.int64)
-    first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    starts = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[order] = starts
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     slots = np.flatnonzero(~(first & np.concatenate([first[1:], [True]])))
-    h = 8
-    while len(slots):
+    h, fits = chars, 3 * room + 1 <= 64
+    while len(slots) and h < depth:
         at = order[slots]
-        own = rank[at]
         ahead = at + h
-        then = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], n - 1 - ahead)  # the shorter suffix comes first
-        move = np.lexsort((then, own))
-        at, own, then = at[move], own[move], then[move]
+        # Past the end is before all; suffixes that end differ in their keys, so no two such are left here.
+        then = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        own = rank[at]
+        if fits:
+            both = (own << (room + 1)) | then
+            packed = np.sort((both.astype(np.uint64) << room_u) | np.arange(len(slots), dtype=np.uint64))
+            at = at[(packed & mask).astype(np.int64)]
+            packed >>= room_u
+            first = np.concatenate([[True], packed[1:] != packed[:-1]])
+        else:
+            move = np.lexsort((then, own))
+            at, own, then = at[move], own[move], then[move]
+            first = np.concatenate([[True], (own[1:] != own[:-1]) | (then[1:] != then[:-1])])
         order[slots] = at
-        first = np.concatenate([[True], (own[1:] != own[:-1]) | (then[1:] != then[:-1])])
-        starts = np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))
-        rank[at] = slots[starts]
+        rank[at] = slots[np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))]
         slots = slots[~(first & np.concatenate([first[1:], [True]]))]
         h *= 2
-    return order, key
+    return order, key, chars, bits
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, key: np.ndarray) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, key: np.ndarray, chars: int, bits: int) -> np.ndarray:
     """For each suffix in order, the bytes it shares with the one before.
 
-    Kasai's recurrence in text order: a suffix shares at least one byte less than the suffix that starts one
-    byte before it, and exactly that where the bytes before both suffixes are equal. The others are compared.
+    Kasai's recurrence in text order: where a suffix and the one before it in order are each one byte on from such
+    a pair, and the bytes before them are equal, they share one byte less than that pair. The others are compared.
     """
     n = len(order)
     before = np.empty(n, np.int64)
     before[order[1:]] = order[:-1]
     before[order[0]] = -1
-    i = np.arange(n)
-    carried = (i > 0) & (before > 0)
-    carried[carried] = data[i[carried] - 1] == data[before[carried] - 1]
-    # The recurrence links to the predecessor's predecessor only where that one also is one byte on.
-    carried[carried] = before[i[carried] - 1] == before[carried] - 1
+    carried = np.zeros(n, bool)
+    carried[1:] = (before[1:] > 0) & (before[1:] - 1 == before[:-1])
+    at = np.flatnonzero(carried)
+    carried[at] = data[at - 1] == data[before[at] - 1]
     shared = np.zeros(n, np.int64)
     live = np.flatnonzero(~carried & (before >= 0))
     while len(live):
         a, b = live + shared[live], before[live] + shared[live]
         inside = np.maximum(a, b) < n
         live, a, b = live[inside], a[inside], b[inside]
-        same = key[a] == key[b]
-        left = n - np.maximum(a, b)
         diff = key[a] ^ key[b]
-        bits = np.zeros(len(live), np.int64)
-        odd = ~same
-        if odd.any():
-            high = np.frexp((diff[odd] >> np.uint64(32)).astype(np.float64))[1].astype(np.int64)
-            low = np.frexp((diff[odd] & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.int64)
-            bits[odd] = (64 - np.where(high > 0, 32 + high, low)) // 8
-        shared[live] += np.minimum(np.where(same, 8, bits), left)
-        live = live[same & (left > 8)]
-    reach = np.maximum.accumulate(np.where(carried, 0, shared + i))
-    return (reach - i)[order]
+        high = np.frexp((diff >> np.uint64(32)).astype(np.float64))[1].astype(np.int64)
+        low = np.frexp((diff & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.int64)
+        equal = (chars * bits - np.where(high > 0, 32 + high, low)) // bits
+        left = n - np.maximum(a, b)
+        shared[live] += np.minimum(equal, left)
+        live = live[(equal == chars) & (left > chars)]
+    i = np.arange(n)
+    source = np.maximum.accumulate(np.where(carried, 0, i))
+    return (shared[source] + source - i)[order]
 
 
 def repeats(contexts: list[bytes], places: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
@@ -162,8 +194,8 @@ def repeats(contexts: list[bytes], places: list[tuple[int, int]], length: int) -
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    order, key = suffix_array(data)
-    new = common_prefixes(data, order, key) < length
+    order, key, chars, bits = suffix_array(data, length)
+    new = common_prefixes(data, order, key, chars, bits) < length
     owner = np.repeat(np.arange(len(contexts)), sizes)
     inner = np.arange(len(data)) - (ends - sizes)[owner]
     whole = (sizes[owner] - inner) >= length
@@ -187,12 +219,13 @@ def repeats(contexts: list[bytes], places: list[tuple[int, int]], length: int) -
     return out
 
 
-def _digest(left: int, context: bytes) -> tuple[int, int]:
-    return struct.unpack("<qq", hashlib.blake2b(struct.pack("<i", left) + context, digest_size=16).digest())
+def _digest(context: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", hashlib.blake2b(context, digest_size=16).digest())
 
 
 def _anchor_rows(length: int):
-    schema = pa.schema([("tid", pa.int64()), ("pos", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+    """A text to its contexts: start, size, anchor, a hash of the context, and whether it has the anchor twice."""
+    schema = pa.schema([("tid", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("twice", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -202,17 +235,14 @@ def _anchor_rows(length: int):
                 columns: list[list] = [[] for _ in schema]
                 for tid, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     raw = text.as_py().encode("utf-8", "surrogatepass")
-                    n = len(raw)
-                    where, hashes = anchors(np.frombuffer(raw, np.uint8), length, powers)
-                    where = where.tolist()
-                    lefts = [min(p, length - ANCHOR) for p in where]
-                    rights = [min(n - p, length) for p in where]
-                    sums = [_digest(a, raw[p - a : p + b]) for p, a, b in zip(where, lefts, rights, strict=True)]
-                    for column, values in zip(columns, ([tid] * len(where), where, lefts, rights, hashes.view(np.int64).tolist(), [x for x, _ in sums], [y for _, y in sums]), strict=True):
+                    start, size, h, twice = contexts_of(np.frombuffer(raw, np.uint8), length, powers)
+                    start, size = start.tolist(), size.tolist()
+                    sums = [_digest(raw[a : a + n]) for a, n in zip(start, size, strict=True)]
+                    for column, values in zip(columns, ([tid] * len(start), start, size, h.view(np.int64).tolist(), [x for x, _ in sums], [y for _, y in sums], twice.tolist()), strict=True):
                         column += values
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return run, "tid long, pos long, left int, right int, h long, c1 long, c2 long"
+    return run, "tid long, start long, size int, h long, c1 long, c2 long, twice boolean"
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +255,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for at in range(0, len(asked), 2048):
                 part = asked[at : at + 2048]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([a["h"] for a in part], pa.int64()), pa.array([a["c1"] for a in part], pa.int64()), pa.array([a["c2"] for a in part], pa.int64()), pa.array([tid] * len(part), pa.int64()), pa.array([a["pos"] - a["left"] for a in part], pa.int64()), pa.array([raw[a["pos"] - a["left"] : a["pos"] + a["right"]] for a in part], pa.binary())],
+                    [pa.array([a["h"] for a in part], pa.int64()), pa.array([a["c1"] for a in part], pa.int64()), pa.array([a["c2"] for a in part], pa.int64()), pa.array([tid] * len(part), pa.int64()), pa.array([a["start"] for a in part], pa.int64()), pa.array([raw[a["start"] : a["start"] + a["size"]] for a in part], pa.binary())],
                     schema=schema,
                 )
 
@@ -234,10 +264,10 @@ SPAN_SCHEMA = "h long, c1 long, c2 long, spans array<struct<a:int,b:int>>"
 
 
 def _shard(length: int, block: int):
-    """Suffix arrays over contexts that come sorted by anchor; a block ends with an anchor, so none is split."""
+    """Suffix arrays over contexts that come sorted by anchor; a portion ends with an anchor, so none is split."""
     schema = pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
+    def answer(rows: list[tuple]) -> pa.RecordBatch:
         found = repeats([r[5] for r in rows], [(r[3], r[4]) for r in rows], length)
         hit = [(r, s) for r, s in zip(rows, found, strict=True) if s]
         return pa.RecordBatch.from_arrays(
@@ -250,12 +280,12 @@ def _shard(length: int, block: int):
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held >= block and row[0] != rows[-1][0]:
-                    yield solve(rows)
+                    yield answer(rows)
                     rows, held = [], 0
                 rows.append(row)
                 held += len(row[5])
         if rows:
-            yield solve(rows)
+            yield answer(rows)
 
     return run
 
@@ -268,7 +298,7 @@ def _gram_rows(length: int):
         for batch in batches:
             for h, c1, c2, tid, start, context in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 n = len(context) - length + 1
-                grams = [_digest(0, context[j : j + length]) for j in range(n)]
+                grams = [_digest(context[j : j + length]) for j in range(n)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([g for g, _ in grams], pa.int64()), pa.array([g for _, g in grams], pa.int64())]
                     + [pa.array([x] * n, pa.int64()) for x in (h, c1, c2, tid, start)]
@@ -327,16 +357,23 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400
     found = scratch.cut(texts.select("tid", "text").mapInArrow(run, schema), "anchors")
 
     same = ["h", "c1", "c2"]
-    contexts = found.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "pos", "left", "right")).alias("one"))
-    shared = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("places")).where("places > 1")
-    shared = scratch.cut(contexts.join(shared, "h").select(*same, "n", "contexts", "one.*"), "shared")
+    one = F.min(F.struct("tid", "start", "size")).alias("one")
+    contexts = found.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), one)
+    shared = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("places"), F.sum("one.size").alias("bytes"), F.max("twice").alias("inner"))
+    shared = shared.where("places > 1 or inner").select("h", "contexts", "bytes")
+    shared = scratch.cut(contexts.join(shared, "h").select(*same, "n", "twice", "contexts", "bytes", "one.*"), "shared")
 
     # Contexts found twice are repeats as they are, from end to end.
-    plain = shared.where("n > 1").select(*same, F.array(F.struct(F.lit(0).alias("a"), (F.col("left") + F.col("right")).alias("b"))).alias("spans"))
-    asked = shared.where("contexts > 1").groupBy("tid").agg(F.collect_list(F.struct(*same, "pos", "left", "right")).alias("asked"))
-    bytes_of = texts.select("tid", "text").join(asked, "tid").select("tid", "text", "asked").mapInArrow(_context_rows, "h long, c1 long, c2 long, tid long, start long, context binary")
+    plain = shared.where("n > 1").select(*same, F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("spans"))
+    wanted = shared.where("contexts > 1 or (twice and n = 1)")
+
+    # From here on, only texts with an anchor that is found twice.
+    some = found.select("tid", "h").join(shared.select("h").distinct(), "h", "left_semi").select("tid").distinct()
+    texts_some = scratch.cut(texts.join(some, "tid", "left_semi"), "texts-some")
+    asked = wanted.groupBy("tid").agg(F.collect_list(F.struct(*same, "start", "size")).alias("asked"))
+    bytes_of = texts_some.select("tid", "text").join(asked, "tid").select("tid", "text", "asked").mapInArrow(_context_rows, "h long, c1 long, c2 long, tid long, start long, context binary")
     bytes_of = scratch.cut(bytes_of, "contexts")
-    crowded = shared.groupBy("h").agg(F.max("contexts").alias("m")).where(F.col("m") > hot).select("h")
+    crowded = wanted.where(F.col("bytes") > hot).select("h").distinct()
     few = bytes_of.join(crowded, "h", "left_anti").repartitionByRange("h").sortWithinPartitions("h").select(*same, "tid", "start", "context")
     few = few.mapInArrow(_shard(length, block), SPAN_SCHEMA)
     run, schema = _gram_rows(length)
@@ -346,19 +383,17 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400
     many = grams.join(twice, ["g1", "g2"], "left_semi").groupBy(*same).agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b"))).alias("spans"))
     spans = scratch.cut(plain.unionByName(few).unionByName(many), "spans")
 
-    at = F.col("pos") - F.col("left")
     by_text = (
         found.join(spans, same)
-        .select("tid", F.explode("spans").alias("s"), at.alias("at"))
-        .select("tid", (F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.b")).alias("b"))
+        .select("tid", "start", F.explode("spans").alias("s"))
+        .select("tid", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
         .groupBy("tid", "a")  # contexts overlap: of spans with one start, the longest
         .agg(F.max("b").alias("b"))
         .groupBy("tid")
         .agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     )
-    single = texts.where("copies = 1").select("tid", "sha", "text").join(by_text, "tid").select("sha", "text", "spans")
-    kept_schema = "sha string, n_removed long, n_spans long, kept binary"
-    kept = single.mapInArrow(_cut_rows, kept_schema)
+    single = texts_some.where("copies = 1").select("tid", "sha", "text").join(by_text, "tid").select("sha", "text", "spans")
+    kept = scratch.cut(single.mapInArrow(_cut_rows, "sha string, n_removed long, n_spans long, kept binary"), "kept")
     gone = texts.where("copies > 1").select("sha", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     rows = keyed.drop(text_col, "__mr_text")
     return rows, kept.unionByName(gone)
