@@ -3,11 +3,12 @@
 1. A text's set of word shingles gives a signature: the minima of many universal hashes. Equal sets are one class.
 2. Bands of the signature are bucketed. With BANDS bands of ROWS minima, two sets with a similarity of 0.75 miss
    each other in every band with a probability under 1e-7.
-3. In a bucket not all pairs are compared. Its first class is compared with the others; those that are linked are
-   in one component and need no comparison among themselves. Further pairs are compared only while a bucket has
-   classes of different components, so that no link that joins components is lost.
-4. A pair is verified first on signatures, which drops pairs far from the threshold, then on the full sets.
-5. Components grow by alternating large-star and small-star steps.
+3. In a bucket not all pairs are compared. The class that shares most buckets with others is compared with each; it
+   tends to be what the others are copies of. Pairs are verified on signatures, which drops those far from the
+   threshold, then on the full sets. Components grow by alternating large-star and small-star steps.
+4. Where a bucket still has classes of different components, these may be linked too. Such classes are gathered in
+   blocks; tasks compare blocks of full sets by a product of matrices and return no more links than join components,
+   so that no pairs are emitted and no link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BANDS, ROWS, SEED = 32, 3, 20_240_501
 #: Of the minima, the share that must agree for the full sets to be compared: at a similarity of 0.75, less than
 #: 0.45 is 6.7 standard deviations away.
 AGREE = 0.45
-#: All open pairs are compared at once when there are at most so many for each row of the buckets.
-OPEN_PAIRS = 4
+#: Classes in a block, and columns of a block's matrix that are multiplied at a time.
+BLOCK, COLUMNS = 256, 2_048
 #: Bytes of text handled at a time in a worker.
 PART = 1 << 20
 
@@ -121,6 +122,49 @@ def _linked(percent: int):
     return run
 
 
+def joining_links(cids: list[int], parts: list[int], sets: list[np.ndarray], first: list[bool], second: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links between classes of the first and of the second block, as many as join their components.
+
+    first and second tell which block a class is in (both, where a block meets itself).
+    """
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    uses = np.bincount(column)
+    often = np.flatnonzero(uses > 1)
+    place = np.full(len(uses), -1)
+    place[often] = np.arange(len(often))
+    keep = place[column] >= 0
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    one, two = np.flatnonzero(first), np.flatnonzero(second)
+    both = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, len(often), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
+        grid[row[a:b], column[a:b] - at] = 1
+        both += grid[one] @ grid[two].T
+    size = np.array([len(s) for s in sets], np.float64)
+    union = size[one][:, None] + size[two][None, :] - both
+    part = np.array(parts)
+    linked = (100.0 * both >= percent * union) & (part[one][:, None] != part[two][None, :])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(linked).tolist():
+        x, y = find(parts[one[i]]), find(parts[two[j]])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((cids[one[i]], cids[two[j]]))
+    return out
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`.
 
@@ -141,8 +185,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = scratch.cut(classes.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "one", "least", "n", "sig"), "classes")
 
     bands = classes.select("cid", "sig").mapInArrow(_band_rows, "key long, cid long")
-    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("first")).where("c > 1").select("key", "first")
+    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = scratch.cut(bands.join(full, "key"), "members")
+    # Bands of a group of copies have the same classes; one of equal buckets is enough.
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("x1"), F.sum(F.hash("cid").cast("long")).alias("x2"))
+    one_of = same.groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    degree = members.groupBy("cid").agg(F.sum("c").alias("degree"))
+    buckets = scratch.cut(members.join(one_of, "key", "left_semi").join(degree, "cid").select("key", "cid", "degree"), "buckets")
 
     chosen = members.select("cid").distinct().join(classes.select("cid", "one"), "cid")
     texts = given.join(chosen, given["doc_id"].eqNullSafe(F.col("one.doc_id")) & (given["th"] == F.col("one.th")))
@@ -162,41 +211,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             near = near.join(sets.select(F.col("cid").alias(side), F.col("shingles").alias(f"set_{side}")), side)
         return scratch.cut(near.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"), f"links-{name}")
 
-    pairs = members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    tried = scratch.cut(pairs, "tried-0")
-    links = verified(tried, "0")
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "components-0")
-    rest, pivots, turn = members.where("cid <> first").select("key", "cid"), 16, 0
-    while True:
-        turn += 1
-        labelled = rest.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
-        sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        open_keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("m"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).where("parts > 1")
-        open_rows = scratch.cut(labelled.join(open_keys.select("key", "open"), "key"), f"open-{turn}")
-        load = open_rows.groupBy("key").agg(F.first("open").alias("open"), F.count(F.lit(1)).alias("m")).agg(F.sum("open").alias("open"), F.sum("m").alias("m")).first()
-        if not load["m"]:
-            break
-        everything = load["open"] <= OPEN_PAIRS * load["m"]
-        rows = open_rows.select("key", "cid", "component")
-        if everything:
-            first = rows
-        else:
-            first = rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("cid"))).where(F.col("r") <= pivots).drop("r")
-            first = scratch.cut(first, f"pivots-{turn}")
-        one, two = first.alias("one"), rows.alias("two")
-        pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.component") != F.col("two.component")))
-        pairs = pairs.select(F.least("one.cid", "two.cid").alias("a"), F.greatest("one.cid", "two.cid").alias("b")).distinct()
-        pairs = scratch.cut(pairs.join(tried, ["a", "b"], "left_anti"), f"tried-{turn}")
-        tried = tried.unionByName(pairs)
-        new = verified(pairs, str(turn))
-        links = links.unionByName(new)
-        # Old components shrink to a link from each member to its least one, so this only adds to them.
-        grown = labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        labels = components(grown.unionByName(new.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch, f"components-{turn}")
-        if everything:
-            break
-        rest = rows.join(first.select("key", "cid"), ["key", "cid"], "left_anti").select("key", "cid")
-        pivots *= 8
+    pivot = buckets.groupBy("key").agg(F.max(F.struct("degree", "cid"))["cid"].alias("pivot"))
+    pairs = buckets.join(pivot, "key").where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+    links = verified(pairs, "pivots")
+    as_edges = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = components(as_edges(links), scratch, "components")
+
+    labelled = buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
+    unsettled = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("cid").alias("first")).where("low <> high").select("key", "first")
+    unsettled = scratch.cut(labelled.join(unsettled, "key").select("cid", "component", "first"), "unsettled")
+    groups = components(unsettled.select(F.col("cid").alias("u"), F.col("first").alias("v")), scratch, "groups")
+    rows = unsettled.select("cid", "component").distinct().join(groups.select(F.col("node").alias("cid"), F.col("component").alias("grp")), "cid")
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("component", "cid")) - 1
+    rows = scratch.cut(rows.withColumn("block", F.floor(place / BLOCK).cast("int")), "blocks")
+    blocks = rows.groupBy("grp", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left, right = (blocks.select("grp", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in ("1", "2"))
+    meet = left.join(right, "grp").where("block_1 <= block_2 and not (low_1 = high_2 and low_2 = high_1)").select("grp", F.col("block_1").alias("one"), F.col("block_2").alias("two"))
+    meet = meet.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
+    dealt = rows.join(sets, "cid").join(meet, ["grp", "block"])
+    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        block, one, two = (t.column(c).to_pylist() for c in ("block", "one", "two"))
+        found = joining_links(
+            t.column("cid").to_pylist(), t.column("component").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")], [b == o for b, o in zip(block, one, strict=True)], [b == o for b, o in zip(block, two, strict=True)], percent
+        )
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=out_schema)
+
+    more = scratch.cut(dealt.select("grp", "one", "two", "block", "cid", "component", "shingles").groupBy("grp", "one", "two").applyInArrow(compare, "a long, b long"), "links-blocks")
+    # A component is a link from each member to its least one, so the second round only adds to the first.
+    grown = labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    labels = components(grown.unionByName(as_edges(more)), scratch, "all-components")
 
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "s2", "least", F.coalesce("component", "cid").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
