@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html_text, mixing, neardup, packing, pii, quality, sharding, suffix_dedup, topk
+from millrace.llm import html_text, mixing, neardup, ngram_lm, packing, pii, quality, sharding, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("all_spans").alias("spans"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's unigram and model scores."""
+    return ngram_lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 OP8_SQL = """
 WITH RECURSIVE sizes AS (
     SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY source
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk": op4_topk,
     "op5_minhash": op5_minhash,
     "op6_pii": op6_pii,
+    "op7_lm": op7_lm,
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
     "op10_suffix": op10_suffix,
