@@ -1,0 +1,183 @@
+"""Semi-structured values: JSON fields and leaves, schema validation, call expressions, text spans."""
+
+from __future__ import annotations
+
+import ast
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+TEXT, TEXTS, INT = T.StringType(), T.ArrayType(T.StringType()), T.IntegerType()
+
+
+def field(payload: Column, path: str, kind: str) -> Column:
+    """A field of a JSON text by path such as $.a.b; null where it is missing or of another kind."""
+    return F.try_variant_get(F.try_parse_json(payload), path, kind)
+
+
+@F.pandas_udf(TEXT)
+def canonical_json(payload: pd.Series) -> pd.Series:
+    """Sorted keys, no blanks; null for what is no JSON or holds a number that is not finite."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        except ValueError:
+            return None
+
+    return payload.map(one)
+
+
+@F.pandas_udf(T.ArrayType(_struct(path=TEXT, value=TEXT)))
+def json_leaves(payload: pd.Series) -> pd.Series:
+    """Paths and values of all leaves, in document order."""
+
+    def walk(x, path: str, out: list) -> list:
+        if isinstance(x, dict):
+            for k, v in x.items():
+                walk(v, f"{path}.{k}", out)
+        elif isinstance(x, list):
+            for i, v in enumerate(x):
+                walk(v, f"{path}[{i}]", out)
+        else:
+            out.append({"path": path, "value": x if isinstance(x, str) else json.dumps(x)})
+        return out
+
+    def one(t: str | None):
+        try:
+            return None if t is None else walk(json.loads(t), "$", [])
+        except ValueError:
+            return None
+
+    return payload.map(one)
+
+
+#: JSON Schema names and keywords, fixed by its standard.
+TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
+KEYWORDS = frozenset(
+    "type properties required items enum const minimum maximum minLength maxLength minItems maxItems pattern multipleOf additionalProperties description title default".split()
+)
+
+
+def schema_errors(value, schema: dict, path: str = "$") -> tuple[list[str], list[str]]:
+    """(errors, unknown keywords) of a value against a subset of JSON Schema. True is no integer."""
+    errors, unknown = [], [f"{path}:{k}" for k in schema if k not in KEYWORDS]
+    kinds = schema.get("type")
+    if kinds is not None:
+        kinds = kinds if isinstance(kinds, list) else [kinds]
+        ok = any(isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds)
+        if not ok:
+            return [f"{path}: type"], unknown
+    if "enum" in schema and value not in schema["enum"]:
+        errors.append(f"{path}: enum")
+    if "const" in schema and value != schema["const"]:
+        errors.append(f"{path}: const")
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        if "minimum" in schema and value < schema["minimum"]:
+            errors.append(f"{path}: minimum")
+        if "maximum" in schema and value > schema["maximum"]:
+            errors.append(f"{path}: maximum")
+        if "multipleOf" in schema and value % schema["multipleOf"]:
+            errors.append(f"{path}: multipleOf")
+    if isinstance(value, str):
+        if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", len(value)):
+            errors.append(f"{path}: length")
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            errors.append(f"{path}: pattern")
+    if isinstance(value, dict):
+        properties = schema.get("properties", {})
+        errors += [f"{path}.{k}: required" for k in schema.get("required", []) if k not in value]
+        if schema.get("additionalProperties") is False:
+            errors += [f"{path}.{k}: additional" for k in value if k not in properties]
+        for k, s in properties.items():
+            if k in value:
+                e, u = schema_errors(value[k], s, f"{path}.{k}")
+                errors, unknown = errors + e, unknown + u
+    if isinstance(value, list):
+        if len(value) < schema.get("minItems", 0) or len(value) > schema.get("maxItems", len(value)):
+            errors.append(f"{path}: items")
+        for i, x in enumerate(value):
+            e, u = schema_errors(x, schema.get("items", {}), f"{path}[{i}]")
+            errors, unknown = errors + e, unknown + u
+    return errors, unknown
+
+
+def validated(payload: Column, schema: dict, strict: bool = False) -> Column:
+    """Struct (errors, unknown) of a JSON text; strict counts unknown keywords as errors, no JSON is one error."""
+
+    @F.pandas_udf(_struct(errors=TEXTS, unknown=TEXTS))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            try:
+                errors, unknown = schema_errors(json.loads(t), schema)
+            except (TypeError, ValueError):
+                errors, unknown = ["$: json"], []
+            rows.append((errors + [f"{u}: unknown" for u in unknown] if strict else errors, unknown))
+        return pd.DataFrame(rows, columns=["errors", "unknown"])
+
+    return run(payload)
+
+
+@F.pandas_udf(_struct(name=TEXT, arguments=TEXT, status=TEXT))
+def parse_call(text: pd.Series) -> pd.DataFrame:
+    """name(key=literal, ...) without running anything: parsed, not_a_call or not_literal."""
+
+    def one(t: str | None) -> tuple[str | None, str | None, str]:
+        try:
+            node = ast.parse((t or "").strip(), mode="eval").body
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return None, None, "not_a_call"
+        if not isinstance(node, ast.Call) or not isinstance(node.func, (ast.Name, ast.Attribute)) or node.args or any(k.arg is None for k in node.keywords):
+            return None, None, "not_a_call"
+        try:
+            arguments = {k.arg: ast.literal_eval(k.value) for k in node.keywords}
+            return ast.unparse(node.func), json.dumps(arguments, sort_keys=True, separators=(",", ":")), "parsed"
+        except (ValueError, TypeError):
+            return ast.unparse(node.func), None, "not_literal"
+
+    return pd.DataFrame([one(t) for t in text], columns=["name", "arguments", "status"])
+
+
+def span_windows(text: Column, limit: int, overlap: int) -> Column:
+    """Windows over a text: array of (start, end, overlap_start), where start to end tile the text.
+
+    A window has at most `limit` code points with the overlap before it. It ends after the last line feed that is
+    in reach, else the last blank, else at the limit.
+    """
+
+    @F.pandas_udf(T.ArrayType(_struct(start=INT, end=INT, overlap_start=INT)))
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None):
+            out, at, n = [], 0, len(t or "")
+            while at < n:
+                behind = max(0, at - overlap)
+                most = min(n, behind + limit)
+                end = most
+                if most < n:
+                    cut = t.rfind("\n", at, most)
+                    cut = cut if cut >= at else t.rfind(" ", at, most)
+                    end = cut + 1 if cut >= at else most
+                out.append({"start": at, "end": end, "overlap_start": behind})
+                at = end
+            return out
+
+        return texts.map(one)
+
+    if overlap >= limit:
+        raise ValueError("the overlap must be under the limit")
+    return run(text)
+
+
+def links(html: Column) -> Column:
+    """Values of href attributes of anchors, in order."""
+    return F.regexp_extract_all(html, F.lit("<a [^>]*href=\"([^\"]*)\""), F.lit(1))
