@@ -92,12 +92,24 @@ def script(text: Column, simplified: str, traditional: str) -> Column:
     )
 
 
+def all_grams(text: Column, n: int) -> Column:
+    """The n-grams of code points at every place, in order; none if the text is shorter, or null.
+
+    By way of an array of characters, as finding the i-th code point of a string takes i steps.
+    """
+    chars = F.split(text, "")
+    return F.get(
+        F.transform(F.array(chars), lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))),
+        F.lit(0),
+    )
+
+
 def char_grams(text: Column, n: int, short: str = "whole") -> Column:
     """Distinct character n-grams. Shorter texts: "whole" gives the text itself, "none" nothing."""
-    size = F.length(text)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: F.substring(text, i, F.lit(n))))
-    empty = F.array().cast("array<string>")
-    return F.when(size >= n, grams).when((size > 0) & F.lit(short == "whole"), F.array(text)).otherwise(empty)
+    grams = F.array_distinct(all_grams(text, n))
+    if short == "none":
+        return grams
+    return F.when((F.length(text) > 0) & (F.length(text) < n), F.array(text)).otherwise(grams)
 
 
 def token_set(text: Column) -> Column:

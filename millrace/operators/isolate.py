@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import char_grams
+from millrace.functions.text import all_grams, char_grams
 
 
 def exclude_seen(df: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
@@ -28,14 +28,12 @@ def line_overlap(docs: DataFrame, evaluation: DataFrame, id_col: str = "doc_id",
 def gram_overlap(docs: DataFrame, evaluation: DataFrame, n: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, grams): documents that share character n-grams with evaluation text, and how many different ones.
 
-    Grams meet as 64-bit hashes; candidates are then verified on the grams themselves, once for each hash.
+    The join keeps few rows, so that what is counted is small; evaluation text is small by its nature, and Spark
+    broadcasts its grams if they are.
     """
-    known = evaluation.select(F.explode(char_grams(F.col(text_col), n, "none")).alias("gram")).distinct().withColumn("h", F.xxhash64("gram"))
-    hashes = known.select("h").distinct()
-    place = F.explode(F.when(F.length(text_col) >= n, F.sequence(F.lit(1), F.length(text_col) - n + 1)))
-    grams = docs.select(id_col, text_col, place.alias("i")).select(id_col, F.substring(F.col(text_col), F.col("i"), F.lit(n)).alias("gram"))
-    near = grams.withColumn("h", F.xxhash64("gram")).join(hashes, "h", "left_semi")
-    found = near.join(known.select("gram"), "gram", "left_semi").distinct()
+    known = evaluation.select(F.explode(char_grams(F.col(text_col), n, "none")).alias("gram")).distinct()
+    grams = docs.select(id_col, F.explode(all_grams(F.col(text_col), n)).alias("gram"))
+    found = grams.join(known, "gram", "left_semi").distinct()
     return found.groupBy(id_col).agg(F.count(F.lit(1)).alias("grams"))
 
 
@@ -46,11 +44,9 @@ def substring_leaks(docs: DataFrame, strings: DataFrame, id_col: str = "doc_id",
     strings compared in full, at that place.
     """
     known = strings.where(F.length(string_col) >= key).select(F.col(string_col).alias("leak"), F.substring(string_col, 1, key).alias("k")).distinct()
-    place = F.explode(F.when(F.length(text_col) >= key, F.sequence(F.lit(1), F.length(text_col) - key + 1)))
-    longest = known.agg(F.max(F.length("leak")).alias("longest"))
-    found = docs.crossJoin(F.broadcast(longest))  # one row
-    found = found.select(id_col, place.alias("i"), text_col, "longest").select(id_col, F.substring(F.col(text_col), F.col("i"), F.lit(key)).alias("k"), F.substring(F.col(text_col), F.col("i"), F.col("longest")).alias("rest"))
-    return found.join(known, "k").where(F.startswith("rest", "leak")).select(id_col, "leak").distinct()
+    places = docs.select(id_col, F.posexplode(all_grams(F.col(text_col), key)).alias("i", "k"))
+    met = places.join(known, "k").select(id_col, "i", "leak")
+    return met.join(docs.select(id_col, text_col), id_col).where(F.substring(F.col(text_col), F.col("i") + 1, F.length("leak")) == F.col("leak")).select(id_col, "leak").distinct()
 
 
 def heldout_turns(conversations: DataFrame, heldout: DataFrame, key: Column, conv_col: str = "conv_id", least: int = 8) -> DataFrame:

@@ -202,8 +202,7 @@ SELECT a, b, shared, round(shared / least(x.n, y.n), 9) AS overlap FROM p JOIN n
 def q13_shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct 80-character shingles that sources share, over the smaller number of theirs."""
     d = table(spark, sf_dir, "documents").where(F.length("text") >= 80)
-    grams = d.select("source", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 79)).alias("i"))
-    grams = grams.select("source", F.substring(F.col("text"), F.col("i"), F.lit(80)).alias("g")).select("source", F.md5("g").alias("g")).distinct()
+    grams = d.select("source", F.explode(tx.all_grams(F.col("text"), 80)).alias("g")).select("source", F.md5("g").alias("g")).distinct()
     held = grams.groupBy("g").agg(F.array_sort(F.collect_set("source")).alias("s"))
     sizes = grams.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     # Few different sets of sources hold most shingles; pairs are made of those sets, with their counts.
@@ -395,3 +394,333 @@ SELECT lang, fraction, max(n_chars) FILTER (j = greatest(0, ceil(n * fraction) -
 """)
 def q31_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate.percentiles(table(spark, sf_dir, "documents"), "n_chars", [0.5, 0.9, 0.95, 0.99], ["lang"])
+
+
+UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
+COSINE = f"""
+WITH v AS (SELECT vec_id, label, {UNIT} AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM s)
+"""
+
+
+@query(COSINE + "SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
+def q32_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieve.cosine_top_k(v.where("vec_id % 50 = 0"), v, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+LEXICAL = """
+WITH q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\x{4E00}-\\x{9FFF}]|[a-z0-9_]+')) AS w FROM benchmark)),
+d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\x{4E00}-\\x{9FFF}]|[a-z0-9_]+')) AS w FROM documents)),
+nq AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1), nd AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+p AS (SELECT item_id, doc_id, count(*) AS c FROM q JOIN d USING (w) GROUP BY ALL),
+s AS (SELECT item_id AS query_id, doc_id AS id, c / (nq.n + nd.n - c) AS score FROM p JOIN nq USING (item_id) JOIN nd USING (doc_id)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
+SELECT query_id, id, rank, round(score, 9) AS score FROM r WHERE rank <= 5
+"""
+
+
+@query(LEXICAL)
+def q33_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieve.lexical_top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 5, "item_id", "text", "doc_id", "text")
+    return found.select("query_id", "id", "rank", F.round("score", 9).alias("score"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey AS id, p_brand AS f, p_name FROM part WHERE p_partkey % 10 = 0),
+w AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS w FROM t),
+p AS (SELECT a.id, b.id AS negative, 100 AS s FROM t a JOIN t b ON a.f = b.f AND a.id <> b.id
+      UNION ALL SELECT a.id, b.id, 1 FROM w a JOIN w b ON a.w = b.w AND a.id <> b.id WHERE a.w <> ''),
+s AS (SELECT id, negative, CAST(sum(s) AS BIGINT) AS score FROM p GROUP BY ALL)
+SELECT id, negative, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, negative) AS INTEGER) AS rank FROM s) WHERE rank <= 5
+""")
+def q34_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Among parts with an id divisible by 10, which stand for a catalogue."""
+    return retrieve.hard_negatives(table(spark, sf_dir, "part").where("p_partkey % 10 = 0"), 5, "p_partkey", "p_brand", "p_name")
+
+
+@query(COSINE + "SELECT query_id, id, CAST(floor((rank - 1) / 5) AS INTEGER) AS batch FROM r WHERE rank <= 20 AND score >= 0.3")
+def q35_batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieve.batch_plan(retrieve.cosine_top_k(v.where("vec_id % 50 = 0"), v, 20), 0.3).select("query_id", "id", "batch")
+
+
+@query(COSINE + """,
+l AS (SELECT r.query_id, q.label AS gold, list(c.label ORDER BY rank) AS listed FROM r JOIN v q ON q.vec_id = r.query_id JOIN v c ON c.vec_id = r.id WHERE rank <= 10 GROUP BY ALL),
+a AS (SELECT gold, coalesce(list_position(listed, gold), 0) AS spot FROM l)
+SELECT gold, count(*) AS n, round(avg(CASE WHEN spot = 1 THEN 1.0 ELSE 0 END), 9) AS recall_1, round(avg(CASE WHEN spot BETWEEN 1 AND 5 THEN 1.0 ELSE 0 END), 9) AS recall_5,
+       round(avg(CASE WHEN spot > 0 THEN 1.0 / spot ELSE 0 END), 9) AS mrr, round(avg(CASE WHEN spot BETWEEN 1 AND 5 THEN 1.0 / log2(spot + 1) ELSE 0 END), 9) AS ndcg_5 FROM a GROUP BY gold
+""")
+def q36_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How soon a vector of the query's own label comes."""
+    v = table(spark, sf_dir, "embeddings")
+    found = retrieve.cosine_top_k(v.where("vec_id % 50 = 0"), v, 10)
+    labels = v.select("vec_id", "label")
+    named = found.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold")), "query_id").join(labels.select(F.col("vec_id").alias("id"), "label"), "id")
+    listed = named.groupBy("query_id", "gold").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("listed"))
+    out = metrics.ranking(listed, F.col("gold"), F.col("listed"), ["gold"])
+    return out.select("gold", "n", *[F.round(c, 9).alias(c) for c in ("recall_1", "recall_5", "mrr", "ndcg_5")])
+
+
+SCORED = "(SELECT l.doc_id, quality, toxic, least(1.0, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) * 5.0 / greatest(1, length(text)))::DOUBLE AS score FROM labels l JOIN documents USING (doc_id))"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with a score for bad quality: five times the share of symbols, at most 1."""
+    symbols = F.length(F.regexp_replace("text", "[^#*$%&|<>]+", ""))
+    score = F.least(F.lit(1.0), symbols * F.lit(5.0) / F.greatest(F.lit(1), F.length("text")))
+    d = table(spark, sf_dir, "documents").select("doc_id", score.alias("score"))
+    return table(spark, sf_dir, "labels").join(d, "doc_id").withColumn("bad", (F.col("quality") == 0).cast("int"))
+
+
+@query(f"""
+WITH s AS (SELECT 1 - quality AS y, CASE WHEN score > 0.1 THEN 1 ELSE 0 END AS p FROM {SCORED}), c(class) AS (VALUES (0), (1), (2)),
+m AS (SELECT class, (SELECT count(*) FROM s WHERE y = class) AS support, (SELECT count(*) FROM s WHERE y = class AND p = class) AS tp, (SELECT count(*) FROM s WHERE y <> class AND p = class) AS fp FROM c),
+r AS (SELECT *, support - tp AS fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall FROM m)
+SELECT class, support, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1 FROM r
+""")
+def q37_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad quality predicted from symbols; class 2 is absent and scores 0."""
+    s = _scored(spark, sf_dir).withColumn("said", (F.col("score") > 0.1).cast("int"))
+    classes = spark.range(3).select(F.col("id").cast("int").alias("class"))
+    out = metrics.classification(s, "bad", "said", classes)
+    return out.select("class", "support", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, 1 - quality AS y, score FROM {SCORED}),
+r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS k FROM s),
+a AS (SELECT (sum(k) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auroc,
+             count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives FROM r),
+p AS (SELECT y, row_number() OVER w AS k, sum(y) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM s WINDOW w AS (ORDER BY score DESC, doc_id))
+SELECT positives, negatives, round(auroc, 9) AS auroc, (SELECT round(sum(CASE WHEN y = 1 THEN hits / k ELSE 0 END) / sum(y), 9) FROM p) AS average_precision FROM a
+""")
+def q38_auroc_auprc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scored(spark, sf_dir)
+    both = metrics.auroc(s, "bad", "score").crossJoin(metrics.average_precision(s, "bad", "score", "doc_id"))  # two single rows
+    return both.select("positives", "negatives", F.round("auroc", 9).alias("auroc"), F.round("average_precision", 9).alias("average_precision"))
+
+
+@query(f"""
+WITH s AS (SELECT 1 - quality AS y, score, CASE {' '.join(f'WHEN score >= {i}/10::DOUBLE THEN {i}' for i in range(9, 0, -1))} ELSE 0 END AS bin FROM {SCORED}),
+b AS (SELECT bin, count(*) AS n, avg(score) AS confidence, avg(y) AS accuracy FROM s GROUP BY bin)
+SELECT bin, n, round(confidence, 9) AS confidence, round(accuracy, 9) AS accuracy, round(abs(confidence - accuracy), 9) AS gap,
+       (SELECT round(sum(n * abs(confidence - accuracy)) / sum(n), 9) FROM b) AS ece, (SELECT round(avg((score - y) * (score - y)), 9) FROM s) AS brier FROM b
+""")
+def q39_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scored(spark, sf_dir)
+    rows = metrics.calibration(s, "bad", "score").crossJoin(metrics.calibration_summary(s, "bad", "score").drop("n"))  # one row
+    return rows.select("bin", "n", *[F.round(c, 9).alias(c) for c in ("confidence", "accuracy", "gap", "ece", "brier")])
+
+
+@query("""
+WITH t AS (SELECT conv_id, count(*) AS length, bool_and(length(text) >= 40) AS ok FROM conversations GROUP BY conv_id)
+SELECT length, count(*) AS trajectories, round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END), 9) AS success FROM t GROUP BY length
+""")
+def q40_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn counts as correct with 40 characters or more."""
+    steps = table(spark, sf_dir, "conversations").select("conv_id", (F.length("text") >= 40).alias("ok"))
+    return metrics.trajectories(steps, "conv_id", "ok").withColumn("success", F.round("success", 9))
+
+
+@query("""
+WITH j AS (SELECT coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM (SELECT doc_id, count(*) AS g FROM documents GROUP BY 1) FULL JOIN (SELECT doc_id, count(*) AS p FROM labels GROUP BY 1) USING (doc_id))
+SELECT CAST(sum(g) AS BIGINT) AS gold_rows, CAST(sum(p) AS BIGINT) AS prediction_rows, count(*) FILTER (p = 0) AS missing, count(*) FILTER (g = 0) AS extra,
+       count(*) FILTER (g > 1 OR p > 1) AS duplicates, count(*) FILTER (p = 0 OR g = 0 OR g > 1 OR p > 1) = 0 AS is_bijection FROM j
+""")
+def q41_bijection_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.bijection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""
+WITH a AS (SELECT source AS metric, avg(n_chars) AS before FROM documents WHERE doc_id % 2 = 0 AND source <> 'src1' GROUP BY 1),
+b AS (SELECT source AS metric, avg(n_chars) AS after FROM documents WHERE doc_id % 2 = 1 OR source = 'src1' GROUP BY 1)
+SELECT metric, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta,
+       CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' WHEN abs(after - before) <= 1e-12 THEN 'equal' WHEN after > before THEN 'up' ELSE 'down' END AS direction
+FROM a FULL JOIN b USING (metric)
+""")
+def q42_metric_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    means = lambda part: part.groupBy(F.col("source").alias("metric")).agg(F.avg("n_chars").alias("value"))
+    out = estimate.metric_delta(means(d.where("doc_id % 2 = 0 and source <> 'src1'")), means(d.where("doc_id % 2 = 1 or source = 'src1'")))
+    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta")], "direction")
+
+
+@query("""
+WITH v(gate, value) AS (SELECT 'rows', count(*)::DOUBLE FROM lineitem UNION ALL SELECT 'mean_discount', round(avg(l_discount), 9) FROM lineitem UNION ALL SELECT 'returned', avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) FROM lineitem),
+l(gate, low, high) AS (VALUES ('rows', 1000.0::DOUBLE, NULL::DOUBLE), ('mean_discount', 0.04, 0.06), ('returned', NULL, 0.2), ('missing', 0, 1))
+SELECT gate, round(value, 9) AS value, low, high, coalesce(value >= coalesce(low, value) AND value <= coalesce(high, value), false) AS passed FROM l LEFT JOIN v USING (gate)
+""")
+def q43_sharded_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters are summed in parts by Spark's own partial aggregation; a gate without a value blocks."""
+    l = table(spark, sf_dir, "lineitem")
+    one = l.agg(F.count(F.lit(1)).cast("double").alias("rows"), F.round(F.avg("l_discount"), 9).alias("mean_discount"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("returned"))
+    values = one.unpivot([], ["rows", "mean_discount", "returned"], "gate", "value")
+    limits = spark.sql("SELECT * FROM VALUES ('rows', 1000D, CAST(NULL AS DOUBLE)), ('mean_discount', 0.04D, 0.06D), ('returned', CAST(NULL AS DOUBLE), 0.2D), ('missing', 0D, 1D) AS t(gate, low, high)")
+    return metrics.gates(values, limits).withColumn("value", F.round("value", 9))
+
+
+CHECKED = """
+WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, * FROM lineitem WHERE l_orderkey % 20 = 0),
+i AS (
+    SELECT id AS row_id, 'required:l_returnflag' AS "check", '' AS detail FROM t WHERE l_returnflag IS NULL OR trim(l_returnflag) = ''
+    UNION ALL SELECT id, 'unique:l_partkey', CAST(f AS VARCHAR) FROM (SELECT id, row_number() OVER w AS n, first_value(id) OVER w AS f FROM t WINDOW w AS (PARTITION BY l_partkey ORDER BY id)) WHERE n > 1
+    UNION ALL SELECT id, 'range:l_linenumber', CAST(l_linenumber AS VARCHAR) FROM t WHERE l_linenumber < 1 OR l_linenumber > 3
+    UNION ALL SELECT id, 'choice:l_returnflag', l_returnflag FROM t WHERE trim(l_returnflag) <> '' AND l_returnflag NOT IN ('A', 'N')
+    UNION ALL SELECT id, 'product:due', '' FROM t WHERE abs(l_quantity * l_discount - l_tax) > 1.5
+)
+"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    found = [
+        checks.required(t, "id", "l_returnflag"),
+        checks.unique(t, "id", "l_partkey"),
+        checks.in_range(t, "id", "l_linenumber", 1, 3),
+        checks.one_of(t, "id", "l_returnflag", ["A", "N"]),
+        checks.product(t, "id", ("l_quantity", "l_discount"), "l_tax", 1.5).select("row_id", F.lit("product:due").alias("check"), F.lit("").alias("detail")),
+    ]
+    return t, checks.all_issues(found)
+
+
+@query(CHECKED + 'SELECT row_id, "check", detail FROM i')
+def q44_check_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet is a part of lineitem: orders with an id divisible by 20."""
+    return _checked(spark, sf_dir)[1]
+
+
+@query(CHECKED + """SELECT (SELECT count(*) FROM t) AS rows, count(*) AS issues, CASE WHEN (SELECT count(*) FROM t) = 0 THEN 'incomplete'
+    WHEN coalesce(bool_or(string_split("check", ':')[1] IN ('required')), false) THEN 'blocked' WHEN count(*) > 0 THEN 'warning' ELSE 'passed' END AS status FROM i""")
+def q44_check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.summary(*_checked(spark, sf_dir), ["required"])
+
+
+@query("""
+WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
+SELECT 'both' AS kind, k FROM (SELECT k FROM c INTERSECT SELECT k FROM s) UNION ALL SELECT 'customers_only', k FROM (SELECT k FROM c EXCEPT SELECT k FROM s)
+UNION ALL SELECT 'suppliers_only', k FROM (SELECT k FROM s EXCEPT SELECT k FROM c)
+""")
+def q45_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    named = lambda kind, df: df.select(F.lit(kind).alias("kind"), "k")
+    return named("both", c.intersect(s)).unionByName(named("customers_only", c.subtract(s))).unionByName(named("suppliers_only", s.subtract(c)))
+
+
+@query("""
+SELECT conv_id, turn, text, (SELECT min(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.role = 'assistant') AS reply_turn,
+       (SELECT arg_min(b.text, b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.role = 'assistant') AS reply
+FROM conversations a WHERE role = 'user'
+""")
+def q46_reply_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convo.next_reply(table(spark, sf_dir, "conversations"), "user", "assistant")
+
+
+@query("""
+SELECT conv_id, turn, CAST(len(h) AS INTEGER) AS n_before, coalesce(array_to_string(h, chr(10)), '') AS history FROM (
+    SELECT conv_id, turn, role, coalesce(list(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS h FROM conversations
+) WHERE role = 'assistant'
+""")
+def q47_prefix_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convo.prefix_history(table(spark, sf_dir, "conversations"), "assistant")
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'mit' ELSE 'cc-by' END AS licence, doc_id % 2 = 0 AS reviewed FROM documents),
+v AS (SELECT CASE WHEN source NOT IN ('src0', 'src1', 'src2') THEN 'no_policy' WHEN source = 'src1' AND licence <> 'mit' THEN 'licence'
+    WHEN source = 'src2' AND NOT reviewed THEN 'review' ELSE 'allowed' END AS verdict FROM d)
+SELECT verdict, count(*) AS n FROM v GROUP BY verdict
+""")
+def q48_policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", F.when(F.col("doc_id") % 3 == 0, "mit").otherwise("cc-by").alias("licence"), (F.col("doc_id") % 2 == 0).alias("reviewed"))
+    rules = spark.sql("SELECT * FROM VALUES ('src0', array('mit', 'cc-by'), false), ('src1', array('mit'), false), ('src2', array('mit', 'cc-by'), true) AS t(role, licences, needs_review)")
+    return checks.policy(d, rules, "source").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+EDGES = "VALUES ('b', 'a'), ('c', 'b'), ('d', 'b'), ('d', 'c'), ('e', 'x'), ('f', 'g'), ('g', 'f')"
+
+
+@query(f"""
+WITH RECURSIVE e(task, after) AS ({EDGES}), t(task) AS (VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('f'), ('g')),
+w(task, here, depth) AS (SELECT task, task, 0 FROM t UNION ALL SELECT w.task, e.after, w.depth + 1 FROM w JOIN e ON e.task = w.here WHERE w.depth < 16)
+SELECT task, CAST(max(depth) AS INTEGER) AS depth, max(depth) >= 16 AS cyclic, task IN (SELECT task FROM e WHERE after NOT IN (SELECT task FROM t)) AS unknown FROM w GROUP BY task
+""")
+def q49_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = spark.sql(f"SELECT * FROM {EDGES} AS t(task, after)")
+    tasks = spark.sql("SELECT * FROM VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('f'), ('g') AS t(task)")
+    return graph.task_depths(edges, tasks, 16)
+
+
+@query(f"""
+WITH s AS (SELECT lang, CASE WHEN {B_SPLIT} % 10000 < 50 THEN 'test' WHEN {B_SPLIT} % 10000 < 100 THEN 'calib' WHEN {B_SPLIT} % 10000 < 200 THEN 'dev' ELSE 'train' END AS split FROM documents)
+SELECT l.lang AS class, p.split, count(s.lang) AS n, count(s.lang) >= 5 AS covered FROM (SELECT DISTINCT lang FROM s) l CROSS JOIN (SELECT DISTINCT split FROM s) p LEFT JOIN s ON s.lang = l.lang AND s.split = p.split GROUP BY ALL
+""")
+def q50_class_split_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("lang", split.split_of("v1", F.col("doc_id").cast("string")).alias("split"))
+    return metrics.class_coverage(d, "lang", "split", 5)
+
+
+@query("""
+WITH k AS (SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN 'dev' WHEN doc_id % 5 = 1 THEN 'test' ELSE 'train' END AS s, regexp_replace(lower(text), '[^\\pL\\pN]+', '', 'g') AS k FROM documents)
+SELECT a.s AS left_split, b.s AS right_split, count(*) AS shared FROM k a JOIN k b ON a.k = b.k AND a.s < b.s GROUP BY ALL
+""")
+def q51_isolation_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.when(F.col("doc_id") % 5 == 0, "dev").when(F.col("doc_id") % 5 == 1, "test").otherwise("train")
+    d = table(spark, sf_dir, "documents").select(s.alias("split"), F.sha2(F.regexp_replace(F.lower("text"), "[^\\p{L}\\p{N}]+", ""), 256).alias("k"))
+    return isolate.isolation_receipt(d, "k")
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def q52_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select((records.field(F.col("props"), "$.k", "bigint") % 10).alias("k"), "value")
+    return e.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query()
+def q53_schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 5}}, "additionalProperties": False}
+    e = table(spark, sf_dir, "events").select(records.validated(F.col("props"), schema, strict=True)["errors"].alias("errors"))
+    return e.select(F.array_join("errors", ";").alias("errors")).groupBy("errors").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def q54_call_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = spark.sql("SELECT * FROM VALUES (1, 'search(query=\"a b\", limit=3)'), (2, 'f(x)'), (3, 'tool.run(args=[1, {\"k\": None}])'), (4, 'f(a=g())'), (5, 'no call'), (6, CAST(NULL AS STRING)) AS t(id, text)")
+    return calls.select("id", records.parse_call("text").alias("c")).select("id", "c.name", "c.arguments", "c.status")
+
+
+@query()
+def q55_greedy_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a scan by id keeps, if one with 0.8 of its words in common with a kept one goes."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)), lambda w: F.lower(w)))
+    return dedup.greedy_near(table(spark, sf_dir, "documents").select("doc_id", words.alias("s")), "doc_id", "s", 0.8)
+
+
+@query()
+def q56_span_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = convo.flatten(table(spark, sf_dir, "conversations"))
+    cut = whole.select("conv_id", F.posexplode(records.span_windows(F.col("text"), 400, 50)).alias("position", "w"))
+    return cut.select("conv_id", "position", "w.start", "w.end", "w.overlap_start")
+
+
+@query("SELECT link, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS link FROM pages) GROUP BY link")
+def q57_link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "pages").select(F.explode(records.links(F.col("html"))).alias("link"))
+    return links.groupBy("link").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def q58_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: the same function serves streams."""
+    return windows.tumbling(table(spark, sf_dir, "events"), "1 day").withColumn("total", F.round("total", 4))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, ts >= lag(ts) OVER w + INTERVAL 6 HOUR AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(CASE WHEN coalesce(gap, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, gap ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, s
+""")
+def q59_event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.sessions(table(spark, sf_dir, "events"), "6 hours")
