@@ -40,8 +40,6 @@ def encode(values: np.ndarray) -> bytes:
     values = values.astype(np.uint64)
     top = int(values[-1]) if n else 0
     low = min(55, max(0, (top // max(1, n)).bit_length() - 1)) if n else 0
-    if n and top >> low > 64 * n:
-        raise ValueError("the sequence is too sparse")
     high = (values >> np.uint64(low)).astype(np.int64)
     bits = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
     bits[high + np.arange(n)] = 1

@@ -28,26 +28,35 @@ from millrace.llm.elias_fano import decode, encode, header, size_of, successors
 from millrace.llm.shingles import Words, mixed
 from millrace.session import Scratch
 
-#: Words in a shard of level 1, and tokens whose pairs share a shard of level 2; tokens that a worker holds at once.
-WORDS, PAIRS, TOKENS = 1_000_000, 2_000_000, 2_000_000
+#: Words in a shard of level 1, tokens whose pairs share a shard of level 2, and words that a worker counts at once.
+WORDS, PAIRS, TOKENS = 1_000_000, 1_000_000, 1_000_000
 #: A context with more tokens than this has its pairs in several shards, by the second word.
 CROWDED = 100_000
 DISCOUNT = 0.75
 #: The hash of the end token, and of no word, as words have hashes that are mixed from their bytes and lengths.
 END = np.uint64(0x5EED0FE4D0F7E575)
-BATCH = 1 << 20
+#: Bytes of texts that are hashed at once, and whose tokens are looked up at once.
+BATCH, LOOKUP = 1 << 20, 8 << 20
 
 
 def tokens_of(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token, tokens of each text): its words, then the end."""
-    h, upto = words.of(texts)
-    out = np.empty(len(h) + len(texts), np.uint64)
-    ends = upto + np.arange(len(texts))
-    is_end = np.zeros(len(out), bool)
-    is_end[ends] = True
-    out[is_end] = END
-    out[~is_end] = h
-    return out, np.diff(np.concatenate([[-1], ends]))
+    """(hash of each token, tokens of each text): its words, then the end. Hashed by portions of BATCH bytes."""
+    out, sizes, at = [], [], 0
+    while at < len(texts):
+        held, first = 0, at
+        while at < len(texts) and (held == 0 or held + len(texts[at]) < BATCH):
+            held += len(texts[at]) + 1
+            at += 1
+        h, upto = words.of(texts[first:at])
+        ends = upto + np.arange(at - first)
+        part = np.empty(len(h) + at - first, np.uint64)
+        is_end = np.zeros(len(part), bool)
+        is_end[ends] = True
+        part[is_end] = END
+        part[~is_end] = h
+        out.append(part)
+        sizes.append(np.diff(np.concatenate([[-1], ends])))
+    return np.concatenate(out), np.concatenate(sizes)
 
 
 def portions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes]]]:
@@ -111,10 +120,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = np.unique(tokens_of(texts, words)[0], return_counts=True)
         held.append((h, c))
         size += len(h)
-        if size > 4 * TOKENS:
+        if size > 2 * TOKENS:
             held = [merged()]
             size = len(held[0][0])
-            if size > 2 * TOKENS:  # as many words as that are passed on
+            if size > TOKENS:  # as many words as that are passed on
                 yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["w", "c"])
                 held, size = [], 0
     if held:
@@ -229,7 +238,7 @@ def _count_pairs(root: str, words_meta: list[tuple[int, int, int, int]], shards:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, lexicon = Words(), Lexicon(root, words_meta)
         end, end_count = (int(x[0]) for x in lexicon.find(np.array([END], np.uint64)))
-        for _, texts in portions(batches, 16 * BATCH):
+        for _, texts in portions(batches, LOOKUP):
             w, c_w, _ = _token_ids(texts, words, lexicon)
             u, c_u = _pairs(w, c_w, end, end_count)
             ok = (c_u > 1) & (c_w > 1)  # else the pair can't be seen twice
@@ -329,7 +338,7 @@ def _score(root: str, words_meta: list[tuple[int, int, int, int]], shards: int,
         words, lexicon = Words(), Lexicon(root, words_meta)
         total = lexicon.total
         end, end_count = (int(x[0]) for x in lexicon.find(np.array([END], np.uint64)))
-        for keys, texts in portions(batches, 16 * BATCH):
+        for keys, texts in portions(batches, LOOKUP):
             w, c_w, sizes = _token_ids(texts, words, lexicon)
             u, c_u = _pairs(w, c_w, end, end_count)
             plain = (c_w + 1.0) / (total + n_words + 1.0)

@@ -319,6 +319,13 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts with the starts of strings that are repeats, to contexts with spans; strings overlap, spans don't."""
+    for batch in batches:
+        spans = [[{"a": a, "b": b} for a, b in _merge([(x["a"], x["b"]) for x in s])] for s in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["h", "c1", "c2", "spans"])
+
+
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text with its removed spans, to what is left of it."""
     schema = pa.schema([("sha", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -381,6 +388,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400
     place = F.struct("tid", (F.col("start") + F.col("at")).alias("p"))
     twice = grams.groupBy("g1", "g2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("g1", "g2")
     many = grams.join(twice, ["g1", "g2"], "left_semi").groupBy(*same).agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b"))).alias("spans"))
+    many = many.select(*same, "spans").mapInArrow(_merged_rows, SPAN_SCHEMA)
     spans = scratch.cut(plain.unionByName(few).unionByName(many), "spans")
 
     by_text = (
