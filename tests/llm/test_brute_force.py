@@ -300,7 +300,7 @@ def test_suffix_dedup(spark, hot):
     left, kept = suffix_dedup.remove_repeats(docs, length=length, block=5000, hot=hot)
     got = collections.Counter()
     texts = dict(rows)
-    for r in left.join(kept, F.col("__mr_sha") == F.col("sha"), "left").collect():
+    for r in left.join(kept.withColumnRenamed("sha", "of"), F.col("__mr_sha") == F.col("of"), "left").collect():
         got[r.doc_id, r["__mr_bytes"], r.n_removed or 0, r.n_spans or 0, bytes(r.kept) if r.kept is not None else (texts[r.doc_id] or "").encode()] += 1
     assert got == want and sum(k[2] for k in want) > 0
 
