@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.text import first_text
 
+BLANK = " \t\r\n"
 TEXT_FIELDS = ("text", "content", "document", "body")
 
 
@@ -30,7 +31,7 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of text files."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def parquet_column(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
@@ -52,14 +53,14 @@ def blank_line_records(spark: SparkSession, path: str) -> DataFrame:
     """(path, position, text): files cut at blank lines, as tests in SQL logic format are."""
     whole = whole_texts(spark, path)
     cut = whole.select("path", F.posexplode(F.split("text", "\n[ \\t]*\n")).alias("position", "text"))
-    return cut.select("path", "position", F.trim("text").alias("text")).where("text <> ''")
+    return cut.select("path", "position", F.btrim("text", F.lit(BLANK)).alias("text")).where("text <> ''")
 
 
 def yaml_records(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFrame:
     """(path, position, text): YAML documents between lines of three dashes, up to a size."""
     whole = whole_texts(spark, path)
     cut = whole.select("path", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), "\n---[ \\t]*(?=\n|$)")).alias("position", "text"))
-    return cut.where((F.trim("text") != "") & (F.octet_length("text") <= most_bytes))
+    return cut.where((F.btrim("text", F.lit(BLANK)) != "") & (F.octet_length("text") <= most_bytes))
 
 
 def zip_members(spark: SparkSession, path: str, include: str = "*", exclude: str = "", most_bytes: int = 1 << 26) -> DataFrame:
