@@ -45,18 +45,51 @@ def lexical_top_k(queries: DataFrame, catalogue: DataFrame, k: int, query_id: st
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
-def hard_negatives(items: DataFrame, k: int, id_col: str, family_col: str, name_col: str) -> DataFrame:
+def _subsets(words: Column) -> Column:
+    """Every subset of a sorted array, in order, as a text."""
+    return F.transform(F.aggregate(words, F.array(F.array().cast("array<string>")), lambda a, w: F.concat(a, F.transform(a, lambda s: F.concat(s, F.array(w))))), lambda s: F.array_join(s, " "))
+
+
+def _least(df: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Of each group the k rows with the least ids; sorted partitions are cut to k rows a group before the shuffle."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("__n") <= k).drop("__n")
+
+
+def hard_negatives(items: DataFrame, k: int, id_col: str, family_col: str, name_col: str, long_name: int = 8) -> DataFrame:
     """(id, rank, negative, score): of each item the k others with the highest score, ties by id.
 
-    The score is 100 for the same family and one for each word that both names have. Pairs come from joins on family
-    and on words, so items without anything in common aren't met.
+    The score is 100 for the same family and one for each word that both names have; ids are unique. Items with
+    one family and one set of words are a class, and rank all others alike. An item that shares the words S with a
+    class can be among its first only if it is among the k + 1 least ids of those that hold S (in the family, if it
+    is of the same one), as the others score no less and come before it. So these lists are all that is met. Sets
+    of over `long_name` words, which have too many subsets, are met through joins on family and on words instead,
+    from and to each class, of which again the k + 1 least ids are enough; no other pairs are made.
     """
-    t = items.select(F.col(id_col).alias("id"), F.col(family_col).alias("f"), F.array_distinct(F.split(F.lower(name_col), "[^a-z0-9]+")).alias("w"))
-    words = t.select("id", F.explode("w").alias("w")).where("w <> ''")
-    family = t.alias("a").join(t.alias("b"), (F.col("a.f") == F.col("b.f")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("negative"), F.lit(100).alias("s"))
-    shared = words.alias("a").join(words.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("negative"), F.lit(1).alias("s"))
-    scored = family.unionByName(shared).groupBy("id", "negative").agg(F.sum("s").alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "negative"))).where(F.col("rank") <= k)
+    split = F.split(F.lower(F.col(name_col)), "[^a-z0-9]+")
+    words = F.array_sort(F.array_distinct(F.filter(F.coalesce(split, F.array().cast("array<string>")), lambda w: w != "")))
+    t = items.select(F.col(id_col).alias("id"), F.col(family_col).alias("f"), words.alias("w")).where("id is not null")
+    few = _least(t, ["f", "w"], k + 1)
+    classes = few.select("f", "w").distinct()
+
+    def keyed(df: DataFrame) -> DataFrame:
+        each = df.where(F.size("w") <= long_name).withColumn("s", F.explode(_subsets(F.col("w"))))
+        return each.withColumn("g", F.explode(F.array("f", F.lit(None)))).where("g is not null or s <> ''").distinct()
+
+    listed = _least(keyed(few), ["g", "s"], k + 1)
+    as_other = lambda df: df.withColumnsRenamed({"f": "nf", "w": "nw"})
+    same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    pair = ["a.f", "a.w", "b.id", "b.nf", "b.nw"]
+    met = keyed(classes).alias("a").join(as_other(listed).alias("b"), same("g") & same("s")).select(*pair)
+    long = lambda c: F.size(c) > long_name
+    for a, b in ((classes.where(long("w")), few), (classes.where(~long("w")), few.where(long("w")))):
+        b = as_other(b)
+        met = met.unionByName(a.alias("a").join(b.alias("b"), F.col("a.f") == F.col("b.nf")).select(*pair))
+        met = met.unionByName(a.withColumn("x", F.explode("w")).alias("a").join(b.withColumn("x", F.explode("nw")).alias("b"), "x").select(*pair))
+    score = F.when(F.col("f") == F.col("nf"), 100).otherwise(0) + F.size(F.array_intersect("w", "nw"))
+    ranked = F.array_sort(F.collect_set(F.struct((-score.cast("long")).alias("s"), F.col("id").alias("negative"))))
+    best = met.groupBy("f", "w").agg(F.slice(ranked, 1, k + 1).alias("best"))
+    own = t.alias("a").join(best.alias("b"), same("f") & same("w")).select("a.id", F.slice(F.filter("best", lambda x: x["negative"] != F.col("a.id")), 1, k).alias("best"))
+    return own.select("id", F.posexplode("best").alias("p", "x")).select("id", F.col("x.negative").alias("negative"), (-F.col("x.s")).alias("score"), (F.col("p") + 1).alias("rank"))
 
 
 def batch_plan(ranked: DataFrame, gate: float, size: int = 5) -> DataFrame:

@@ -130,3 +130,21 @@ def test_graphs_and_estimates(spark):
     assert estimate.total_variation(d, d.where("value = 'x'")).first()[0] == pytest.approx(0.25)
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 0.0]), (4, None)], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.id) for r in retrieve.cosine_top_k(v, v, 1).collect()] == [(1, 2), (2, 1)]
+
+
+def test_hard_negatives_match_all_pairs(spark):
+    rng = random.Random(11)
+    vocabulary = "abcdefghijklm"
+    rows = [(i, rng.choice(["f1", "f2", None]), None if i == 7 else " ".join(rng.sample(vocabulary, rng.choice([0, 1, 2, 2, 3, 10])))) for i in range(90)]
+    held = {i: (f, set((n or "").split())) for i, f, n in rows}
+    want = set()
+    for i, (f, w) in held.items():
+        scores = [(100 * (f is not None and f == g) + len(w & v), j) for j, (g, v) in held.items() if j != i]
+        first = sorted((-s, j) for s, j in scores if s > 0)[:4]
+        want |= {(i, j, -s, r) for r, (s, j) in enumerate(first, 1)}
+    df = spark.createDataFrame(rows, "id long, f string, n string")
+    got = retrieve.hard_negatives(df, 4, "id", "f", "n").select("id", "negative", "score", "rank")
+    assert sorted(one(got)) == sorted(want)
+    # 400 items with one name are one class.
+    alike = retrieve.hard_negatives(spark.range(400).selectExpr("id", "'f' f", "'hot gear' n"), 5, "id", "f", "n")
+    assert alike.count() == 2000 and alike.where("id = 0").orderBy("rank").first()[1] == 1
