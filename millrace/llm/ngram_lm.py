@@ -1,14 +1,15 @@
 """An n-gram language model in an Elias-Fano trie.
 
 Level 1 has the words: their hashes, ascending, and the running sums of their counts, both monotone and in
-Elias-Fano code; a word's id is its rank. Level 2 has the word pairs seen twice or more: pointers, monotone, to where
-each context's children begin, and the children's ids, made monotone by adding to each the last sum of the context
-before it. Probabilities are quantised to a byte. Both levels are cut into shards of bounded size, files in the
+Elias-Fano code; a word's id is its rank. Level 2 has the word pairs: pointers, monotone, to where each context's
+children begin, and the children's ids, made monotone by adding to each the last sum of the context before it. Level 3
+has the same for words after two words, whose ids side by side are the context. Probabilities are quantised to a byte. All levels are cut into shards of bounded size, files in the
 shared folder that workers map into memory. Queries come sorted, so that looking up a child is a successor search
 relative to its context's sum.
 
-The probability of a word w after u is max(c(uw) - D, 0) / c(u) + r(u) * p(w), where pairs seen once count as
-unseen, p(w) = (c(w) + 1) / (N + V + 1), and r(u) is what makes the sum over all w one.
+The probability of a word w after u is max(c(uw) - D, 0) / c(u) + r(u) * p(w), where p(w) = (c(w) + 1) / (N + V + 1)
+and r(u) is what makes the sum over all w one; after t and u it is max(c(tuw) - D, 0) / c(tu) + r(tu) * p(w after u).
+Pairs and triples seen less often than `least` count as unseen. A text's first word has only the end before it.
 """
 
 from __future__ import annotations
@@ -193,7 +194,7 @@ class Lexicon:
                 if remainders:
                     try:
                         data = map_file(self.root, f"rest-{number}")
-                    except FileNotFoundError:  # no context of this shard was seen with a word twice
+                    except FileNotFoundError:  # no context of this shard has a word in level 2
                         continue
                     out[a:b] = data.view(np.uint16)[at] / 65_535.0
                 else:
@@ -201,7 +202,7 @@ class Lexicon:
         return out
 
 
-# --- level 2 --------------------------------------------------------------------------------------------------
+# --- levels 2 and 3 -------------------------------------------------------------------------------------------
 
 
 def shard_of(u: np.ndarray, w: np.ndarray, c_u: np.ndarray, shards: int) -> np.ndarray:
@@ -232,8 +233,17 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
 
 
-def _count_pairs(root: str, words_meta: list[tuple[int, int, int, int]], shards: int):
-    """Texts to a row for each portion and shard: sorted pairs as differences, and their counts."""
+def _triples(pair: np.ndarray, w: np.ndarray, u: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, pair before, word) of the tokens that two tokens of their text stand before, or a word and the end."""
+    at = np.flatnonzero(u != end)
+    return at, pair[at - 1], w[at]
+
+
+def _count_pairs(root: str, words_meta: list[tuple[int, int, int, int]], shards: int, order: int, least: int):
+    """Texts to a row for each portion and shard: sorted contexts as differences, words after them, and counts.
+
+    Shards of level 3 have numbers from `shards` on. A level 3 context has all its words in one shard.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, lexicon = Words(), Lexicon(root, words_meta)
@@ -241,48 +251,77 @@ def _count_pairs(root: str, words_meta: list[tuple[int, int, int, int]], shards:
         for _, texts in portions(batches, LOOKUP):
             w, c_w, _ = _token_ids(texts, words, lexicon)
             u, c_u = _pairs(w, c_w, end, end_count)
-            ok = (c_u > 1) & (c_w > 1)  # else the pair can't be seen twice
-            u, w, c_u = u[ok], w[ok], c_u[ok]
-            if not len(u):
-                continue
-            key, first, n = np.unique((u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_index=True, return_counts=True)
-            shard = shard_of(u[first], w[first], c_u[first], shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            pair = (u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
+            ok = (c_u >= least) & (c_w >= least)  # else the pair can't be seen so often
             rows = []
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                k = order[cuts[s] : cuts[s + 1]]
-                rows.append((s, planes(np.diff(key[k], prepend=np.uint64(0))), planes(n[k].astype(np.uint64))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "keys", "counts"])
+
+            def add(context: np.ndarray, word: np.ndarray, n: np.ndarray, shard: np.ndarray, first: int) -> None:
+                by = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    k = by[cuts[s] : cuts[s + 1]]
+                    rows.append((first + s, planes(np.diff(context[k], prepend=np.uint64(0))), word[k].astype("<u4").tobytes(), n[k].astype("<u4").tobytes()))
+
+            key, at, n = np.unique(pair[ok], return_index=True, return_counts=True)
+            add(key >> np.uint64(32), key & np.uint64(0xFFFFFFFF), n, shard_of(u[ok][at], w[ok][at], c_u[ok][at], shards), 0)
+            if order > 2:
+                at, before, word = _triples(pair, w, u, end)
+                may = ok[at] & ok[at - 1]
+                kinds, rank = np.unique(before[may], return_inverse=True)
+                key, n = np.unique((rank.astype(np.uint64) << np.uint64(32)) | word[may].astype(np.uint64), return_counts=True)
+                context = kinds[(key >> np.uint64(32)).astype(np.int64)]
+                add(context, key & np.uint64(0xFFFFFFFF), n, (mixed(context) % np.uint64(shards)).astype(np.int64), shards)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], names=["shard", "keys", "words", "counts"])
 
     return run
 
 
-def _build_pairs(root: str, words_meta: list[tuple[int, int, int, int]]):
-    """A shard's rows to its file; returns what each context gives to words it was seen with."""
+def _build_pairs(root: str, words_meta: list[tuple[int, int, int, int]], shards: int, least: int):
+    """A shard's rows to its file; returns what each level 2 context gives to words it was seen with.
+
+    Level 3 contexts are whole in their shard, so what they have left is in its file.
+    """
     schema = pa.schema([("u", pa.int64()), ("given", pa.float64())])
 
     def run(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
-        keys, inverse = np.unique(np.concatenate([np.cumsum(unplanes(x.as_py()), dtype=np.uint64) for x in t.column("keys")]), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([unplanes(x.as_py()) for x in t.column("counts")]).astype(np.float64))
-        keep = counts > 1
-        keys, counts = keys[keep], counts[keep]
-        if not len(keys):
+        u = np.concatenate([np.cumsum(unplanes(x.as_py()), dtype=np.uint64) for x in t.column("keys")])
+        w, counts = (np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t.column(c)]) for c in ("words", "counts"))
+        contexts, rank = np.unique(u, return_inverse=True)
+        keys, inverse = np.unique((rank.astype(np.uint64) << np.uint64(32)) | w, return_inverse=True)
+        counts = np.bincount(inverse, counts.astype(np.float64))
+        u, w = contexts[(keys >> np.uint64(32)).astype(np.int64)], keys & np.uint64(0xFFFFFFFF)
+        third = shard >= shards
+        if third:
+            total = np.bincount((keys >> np.uint64(32)).astype(np.int64), counts)
+        keep = counts >= least
+        if third:
+            total = total[np.unique((keys >> np.uint64(32))[keep]).astype(np.int64)]
+        u, w, counts = u[keep], w[keep], counts[keep]
+        if not len(u):
             return schema.empty_table()
-        u, w = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         contexts, starts, sizes = np.unique(u, return_index=True, return_counts=True)
-        total = Lexicon(root, words_meta).by_id(contexts.astype(np.int64), False)
+        if not third:
+            total = Lexicon(root, words_meta).by_id(contexts.astype(np.int64), False)
         share = np.log((counts - DISCOUNT) / np.repeat(total, sizes))
-        # A byte for a share: 256 values that have equally many shares, rounded down to the least of each.
-        book = np.quantile(share, np.linspace(0, 1, 256), method="lower")
+        # A byte for a share: 256 values that have equally many shares, rounded down to the least of each. Where many
+        # shares are alike, as those of words seen once, the values that this leaves over are for the other shares.
+        book = np.unique(np.quantile(share, np.linspace(0, 1, 256), method="lower"))
+        others = share[book[np.searchsorted(book, share, side="right") - 1] != share]
+        if len(book) < 256:
+            more = np.quantile(others, np.linspace(0, 1, 256 - len(book)), method="lower") if len(others) else np.full(256 - len(book), book[-1])
+            book = np.sort(np.concatenate([book, more]))
         code = np.clip(np.searchsorted(book, share, side="right") - 1, 0, 255).astype(np.uint8)
         # Children become monotone over all contexts: each context adds the last sum of the one before.
         last = w[starts + sizes - 1] + np.uint64(1)
         base = np.concatenate([[np.uint64(0)], np.cumsum(last, dtype=np.uint64)[:-1]])
         children = w + np.repeat(base, sizes)
-        write_file(root, f"pairs-{shard}", b"".join([encode(contexts), encode(starts.astype(np.uint64)), encode(children), book.astype("<f8").tobytes(), code.tobytes()]))
         given = np.add.reduceat(np.exp(book)[code], starts)
+        rest = np.floor(np.clip(1.0 - given, 0, 1) * 65_535).astype("<u2").tobytes() if third else b""
+        write_file(root, f"pairs-{shard}", b"".join([encode(contexts), encode(starts.astype(np.uint64)), encode(children), book.astype("<f8").tobytes(), code.tobytes(), rest]))
+        if third:
+            return schema.empty_table()
         return pa.table([pa.array(contexts.astype(np.int64)), pa.array(given)], schema=schema)
 
     return run
@@ -301,13 +340,14 @@ def _write_rest(root: str, sizes: dict[int, int]):
     return run
 
 
-def pair_shares(root: str, shard: int, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """max(c(uw) - D, 0) / c(u) of pairs sorted by (u, w), all of one shard; 0 for unseen ones."""
-    out = np.zeros(len(u), np.float64)
+def pair_shares(root: str, shard: int, u: np.ndarray, w: np.ndarray, third: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """max(c(uw) - D, 0) / c(u) of pairs sorted by (u, w), all of one shard; 0 for unseen ones. For level 3, u are
+    pairs, and what their contexts have left is returned too; 1 for unseen ones."""
+    out, rest = np.zeros(len(u), np.float64), np.ones(len(u), np.float64)
     try:
         data = map_file(root, f"pairs-{shard}")
-    except FileNotFoundError:  # no pair of this shard was seen twice
-        return out
+    except FileNotFoundError:  # no pair of this shard was seen often enough
+        return out, rest
     contexts = decode(data)
     data = data[size_of(data) :]
     starts = decode(data).astype(np.int64)
@@ -325,13 +365,25 @@ def pair_shares(root: str, shard: int, u: np.ndarray, w: np.ndarray) -> np.ndarr
         k, equal = successors(children, w[rows].astype(np.uint64) + base)
         hit = equal & (k < ends[at]) & (k >= starts[at])
         out[rows[hit]] = book[code[k[hit]]]
-    return out
+        if third:
+            rest[rows] = np.frombuffer(data[256 * 8 + n :].tobytes(), "<u2")[at] / 65_535.0
+    return out, rest
 
 
 # --- scoring --------------------------------------------------------------------------------------------------
 
 
-def _score(root: str, words_meta: list[tuple[int, int, int, int]], shards: int, key: pa.DataType):
+def _looked_up(root: str, a: np.ndarray, b: np.ndarray, where: np.ndarray, shards: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    by = np.argsort(where, kind="stable")
+    cuts = np.searchsorted(where[by], np.arange(shards + 1))
+    found, rest = np.zeros(len(a)), np.ones(len(a))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        k = by[cuts[s] : cuts[s + 1]]
+        found[k], rest[k] = pair_shares(root, first + s, a[k], b[k], first > 0)
+    return found, rest
+
+
+def _score(root: str, words_meta: list[tuple[int, int, int, int]], shards: int, key: pa.DataType, order: int, least: int):
     n_words = sum(m[1] for m in words_meta)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,23 +395,28 @@ def _score(root: str, words_meta: list[tuple[int, int, int, int]], shards: int,
             u, c_u = _pairs(w, c_w, end, end_count)
             plain = (c_w + 1.0) / (total + n_words + 1.0)
             share, rest = np.zeros(len(w)), np.ones(len(w))
-            rows = np.flatnonzero(c_u > 1)
+            rows = np.flatnonzero(c_u >= least)
             if len(rows):
                 kinds, inverse = np.unique(u[rows], return_inverse=True)
                 rest[rows] = lexicon.by_id(kinds, True)[inverse]
-            # Only contexts that gave something away, and words seen twice, can be in level 2.
-            rows = rows[(c_w[rows] > 1) & (rest[rows] < 1)]
+            # Only contexts that gave something away, and words seen as often as pairs must be, can be in level 2.
+            rows = rows[(c_w[rows] >= least) & (rest[rows] < 1)]
             if len(rows):
                 pair, first, inverse = np.unique((u[rows].astype(np.uint64) << np.uint64(32)) | w[rows].astype(np.uint64), return_index=True, return_inverse=True)
                 a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                where = shard_of(a, b, c_u[rows][first], shards)
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(shards + 1))
-                found = np.zeros(len(pair))
-                for s in np.flatnonzero(np.diff(cuts)).tolist():
-                    k = order[cuts[s] : cuts[s + 1]]
-                    found[k] = pair_shares(root, s, a[k], b[k])
-                share[rows] = found[inverse]
+                share[rows] = _looked_up(root, a, b, shard_of(a, b, c_u[rows][first], shards), shards)[0][inverse]
+            p = share + rest * plain
+            if order > 2:
+                # A context of two words must be in level 2; a word that is unknown gets its context's remainder.
+                at, before, word = _triples((u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), w, u, end)
+                known = share[at - 1] > 0
+                at, before, word = at[known], before[known], np.maximum(word[known], 0)
+                if len(at):
+                    kinds, rank = np.unique(before, return_inverse=True)
+                    triple, inverse = np.unique((rank.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_inverse=True)
+                    a, b = kinds[(triple >> np.uint64(32)).astype(np.int64)], (triple & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    found, left = _looked_up(root, a, b, (mixed(a) % np.uint64(shards)).astype(np.int64), shards, shards)
+                    p[at] = np.where(c_w[at] > 0, found[inverse], 0.0) + left[inverse] * p[at]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -367,7 +424,7 @@ def _score(root: str, words_meta: list[tuple[int, int, int, int]], shards: int,
                     pa.array(sizes.astype(np.int64)),
                     pa.array(np.add.reduceat((c_w > 0).astype(np.int64), starts)),
                     pa.array(np.add.reduceat(np.log10(plain), starts)),
-                    pa.array(np.add.reduceat(np.log10(share + rest * plain), starts)),
+                    pa.array(np.add.reduceat(np.log10(p), starts)),
                 ],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
@@ -379,8 +436,8 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 7 == 2
 
 
-def train(texts: DataFrame, scratch: Scratch) -> tuple[str, list[tuple[int, int, int, int]], int]:
-    """(folder, shards of level 1, number of shards of level 2) from texts (key, text); writes the trie's files."""
+def train(texts: DataFrame, scratch: Scratch, order: int = 2, least: int = 2) -> tuple[str, list[tuple[int, int, int, int]], int]:
+    """(folder, shards of level 1, number of shards of each level from 2 on) from texts (key, text); writes the trie's files."""
     root = scratch.path("trie")
     if not re.match(r"\w+://", root):
         root = "file://" + root.removeprefix("file:")
@@ -393,8 +450,8 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[str, list[tuple[int, int,
     if not meta:
         return root, [], 1
     shards = max(1, -(-sum(m[2] for m in meta) // PAIRS))
-    rows = texts.mapInArrow(_count_pairs(root, meta, shards), "shard long, keys binary, counts binary")
-    given = rows.groupBy("shard").applyInArrow(_build_pairs(root, meta), "u long, given double").groupBy("u").agg(F.sum("given").alias("given"))
+    rows = texts.mapInArrow(_count_pairs(root, meta, shards, order, least), "shard long, keys binary, words binary, counts binary")
+    given = rows.groupBy("shard").applyInArrow(_build_pairs(root, meta, shards, least), "u long, given double").groupBy("u").agg(F.sum("given").alias("given"))
     given = scratch.cut(given, "given")
     starts = np.concatenate([[0], np.cumsum([m[1] for m in meta])]).tolist()
     bounds = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(m[0]).cast("long").alias("shard")) for m, a, b in zip(meta, starts[:-1], starts[1:], strict=True)])
@@ -404,19 +461,19 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[str, list[tuple[int, int,
     return root, meta, shards
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, least: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`.
 
     Tokens are words without space and U+0009 to U+000D, A-Z lower-cased, then one end; a null or blank text has the
     end only. Rows whose crc32 of the id as text leaves 2 modulo 7 are held out, all others are trained on; a null id
     counts as empty text, which is trained on. base_score is the sum of log10((c + 1) / (N + V + 1)), score the
-    model's log10 probability. Repeated rows count as often as they come. An empty table gives an empty result.
+    model's log10 probability, of `order` 2 or 3 from pairs and triples seen `least` times or more. Repeated rows count as often as they come. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    root, meta, shards = train(given.where(~held_out(F.col("doc_id"))), scratch)
+    root, meta, shards = train(given.where(~held_out(F.col("doc_id"))), scratch, order, least)
     key_type = given.schema["doc_id"].dataType
     arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type.simpleString()]
-    scored = given.mapInArrow(_score(root, meta, shards, arrow_key), f"doc_id {key_type.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    scored = given.mapInArrow(_score(root, meta, shards, arrow_key, order, least), f"doc_id {key_type.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(sum(m[2] for m in meta)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -70,8 +70,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's unigram and model scores."""
-    return ngram_lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Every document's unigram and model scores, from all pairs and triples of words."""
+    return ngram_lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"), order=3, least=1)
 
 
 OP8_SQL = """

@@ -326,3 +326,39 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "text", "bucket", "batch"} <= set(out.columns)
     assert {r.doc_id for r in out.collect()} <= {r[0] for r in rows}
+
+
+def test_language_model_of_triples_seen_once(spark):
+    rows = corpus(9, 120)
+    got = {r.doc_id: r.score for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=3, least=1).collect()}
+    seq = lambda t: [*word_list(t), b" end"]
+    c, pairs, triples = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w = [b" end", *seq(t)]
+            c.update(w[1:])
+            pairs.update(zip(w, w[1:], strict=False))
+            triples.update(zip(w, w[1:], w[2:], strict=False))
+    n, v = sum(c.values()), len(c)
+
+    def left(counts):
+        kinds, total = collections.Counter(k[:-1] for k in counts), collections.Counter()
+        for k, x in counts.items():
+            total[k[:-1]] += x
+        return kinds, total
+
+    (k2, t2), (k3, t3) = left(pairs), left(triples)
+
+    def mixed(counts, kinds, total, key, lower):
+        t = total[key[:-1]]
+        return lower if not t else max(counts[key] - 0.75, 0) / t + 0.75 * kinds[key[:-1]] / t * lower
+
+    def model(t, u, w):
+        p = mixed(pairs, k2, t2, (u, w), (c[w] + 1) / (n + v + 1))
+        return p if t is None else mixed(triples, k3, t3, (t, u, w), p)
+
+    assert sum(x == 1 for x in pairs.values()) and sum(x == 1 for x in triples.values())
+    for i, t in rows:
+        w = [None, b" end", *seq(t)]
+        want = sum(math.log10(model(*x)) for x in zip(w, w[1:], w[2:], strict=False))
+        assert got[i] == pytest.approx(want, abs=0.02 * len(w) + 1e-9)
