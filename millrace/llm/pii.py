@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and bootstrapped contexts.
 
 Base matches of four kinds (email, ip, card, phone) are seeds. The two words before a match are its lexical
-pattern. Other words with digits are candidates of the kind that they look like. Patterns and the values found in
+pattern. Other words with digits or an at sign, and runs of numbers, are candidates of the kind that they look like. Patterns and the values found in
 them form a graph: a pattern is as sure as the values in it are known, a value as sure as the patterns around it.
 Scores go back and forth over the graph; candidates in patterns that end up sure enough are added. All of it is
 DataFrame functions.
@@ -29,13 +29,15 @@ PATTERNS = (
 )
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = ("@", r"[0-9]\.[0-9]", r"[0-9][\x20-]?[0-9]", r"\+[0-9]")
-DIGIT_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+WORD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*?(?:[0-9@]|\(at\)|\[at\]))[^\x20\x09-\x0D]++"
+#: Numbers of a run are separated by single blanks. The group is possessive, which needs no stack.
+RUN = r"(?<![^\x20\x09-\x0D])[+(]?[0-9][0-9()._/-]*+(?:\x20[(]?[0-9][0-9()._/-]*+)++"
 #: What a candidate must look like: of mixed or obscured forms that the base patterns miss.
 LOOKS = (
-    r"^[A-Za-z0-9._%+-]+(?:\(at\)|\[at\]|@)[A-Za-z0-9.-]+$",
+    r"^[A-Za-z0-9._%+-]++(?:\(at\)|\[at\]|@)[A-Za-z0-9.-]+$",
     r"^(?:[0-9]{1,3}[.,:_-]){3}[0-9]{1,3}$|^(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4}$",
-    r"^[0-9](?:[._/-]?[0-9]){13,18}$",
-    r"^\+?[0-9](?:[()._/-]{0,2}[0-9]){9,14}$",
+    r"^[0-9](?:[\x20._/-]?[0-9]){13,18}$",
+    r"^\+?\(?[0-9](?:[\x20()._/-]{0,3}[0-9]){9,14}$",
 )
 SPAN = "array<struct<s:int,k:int,e:int,m:string,l:string>>"
 #: Code points before a match in which its two context words are looked for, and matches in one step of a sum.
@@ -50,26 +52,33 @@ def _let(value: Column, body) -> Column:
 def _found(text: Column, pattern: str, kind: int) -> Column:
     """Leftmost matches that don't overlap: start, kind, end, the match, and what stands before it.
 
-    The pieces between matches and the matches together are the text, so lengths add up to positions. Sums
-    run in steps, each from its own offset, as arrays that grow are copied.
+    The pieces between matches and the matches together are the text, so lengths add up to positions, and their
+    ends to the BEFORE code points before a match. Sums run in steps, each from its own offset, as arrays that grow
+    are copied.
     """
     both = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
     def positions(z: Column) -> Column:
         n = F.size(z["m"])
+        end = lambda *x: F.right(F.concat(*[F.right(c, F.lit(BEFORE)) for c in x]), F.lit(BEFORE))
         width = lambda i: F.length(F.get(z["p"], i)) + F.length(F.get(z["m"], i))
 
         def step(c: Column) -> Column:
             first = c * STEP
             offset = F.when(c > 0, F.aggregate(F.sequence(F.lit(0), first - 1), F.lit(0), lambda a, i: a + width(i))).otherwise(F.lit(0))
 
+            # Each piece with its match has a code point at least, so BEFORE of them reach back far enough.
+            back = F.sequence(F.greatest(F.lit(0), first - BEFORE), first - 1)
+            tail = F.when(c > 0, F.aggregate(back, F.lit(""), lambda a, i: end(a, F.get(z["p"], i), F.get(z["m"], i)))).otherwise(F.lit(""))
+
             def add(a: Column, i: Column) -> Column:
+                left = end(a["tail"], F.get(z["p"], i))
                 s = a["at"] + F.length(F.get(z["p"], i))
                 e = s + F.length(F.get(z["m"], i))
-                one = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.get(z["m"], i).alias("m"), F.right(F.get(z["p"], i), F.lit(BEFORE)).alias("l"))
-                return F.struct(e.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+                one = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.get(z["m"], i).alias("m"), left.alias("l"))
+                return F.struct(e.alias("at"), end(left, F.get(z["m"], i)).alias("tail"), F.concat(a["out"], F.array(one)).alias("out"))
 
-            start = F.struct(offset.alias("at"), F.array().cast(SPAN).alias("out"))
+            start = F.struct(offset.alias("at"), tail.alias("tail"), F.array().cast(SPAN).alias("out"))
             return F.aggregate(F.sequence(first, F.least(n, first + STEP) - 1), start, add, lambda a: a["out"])
 
         steps = F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int"))
@@ -108,24 +117,31 @@ def _base(text: Column, kind: int) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Words with digits that look like one of the kinds and touch no base match, less what encloses them."""
+    """Words and runs of numbers that look like one of the kinds and touch no base match, less what encloses them.
+
+    A run that touches a word which is a candidate by itself is none.
+    """
+    touches = lambda x, spans: F.exists(spans, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
 
     def bare(x: Column) -> Column:
         lead = F.regexp_replace(x["m"], r"^[^A-Za-z0-9+(]+", "")
-        core = F.regexp_replace(lead, r"[^A-Za-z0-9]++$", "")
+        core = F.regexp_replace(lead, r"(?<=[A-Za-z0-9])[^A-Za-z0-9]++$", "")
         s = x["s"] + F.length(x["m"]) - F.length(lead)
         look = F.lit(-1)
         for k in reversed(range(len(LOOKS))):
             look = F.when(F.rlike(core, F.lit(LOOKS[k])), F.lit(k)).otherwise(look)
-        return F.struct(s.alias("s"), look.alias("k"), (s + F.length(core)).alias("e"), core.alias("m"), x["l"].alias("l"))
+        return F.struct(s.alias("s"), look.alias("k"), (s + F.length(core)).alias("e"), core.alias("m"), F.right(F.concat(x["l"], F.left(x["m"], s - x["s"])), F.lit(BEFORE)).alias("l"))
+
+    def free(pattern: str, needs: str) -> Column:
+        found = F.filter(F.transform(_found(text, pattern, -1), bare), lambda x: (x["k"] >= 0) & ~touches(x, base))
+        return F.when(F.rlike(text, F.lit(needs)), found).otherwise(F.array().cast(SPAN))
 
-    words = F.filter(_found(text, DIGIT_WORD, -1), lambda x: F.length(x["m"]).between(7, 80))
-    free = F.filter(F.transform(words, bare), lambda x: (x["k"] >= 0) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    return F.when(F.rlike(text, F.lit("[0-9]")), free).otherwise(F.array().cast(SPAN))
+    words, runs = free(WORD, r"[0-9@]|\(at\)|\[at\]"), free(RUN, r"[0-9)._/-]\x20[(]?[0-9]")
+    return _let(words, lambda w: F.concat(w, F.filter(runs, lambda x: ~touches(x, w))))
 
 
 def _context(before: Column) -> Column:
-    """The last two words, without digits and lower-cased; fewer at the start of a text or after a match."""
+    """The last two words, without digits and lower-cased; fewer at the start of a text. Whether a match is among them is all the same."""
     words = F.filter(F.split(F.regexp_replace(F.lower(before), "[0-9]+", "0"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 1), F.lit(2)), " ")
 

@@ -362,3 +362,12 @@ def test_language_model_of_triples_seen_once(spark):
         w = [None, b" end", *seq(t)]
         want = sum(math.log10(model(*x)) for x in zip(w, w[1:], w[2:], strict=False))
         assert got[i] == pytest.approx(want, abs=0.02 * len(w) + 1e-9)
+
+
+def test_pii_candidates_of_all_forms(spark):
+    long = "j" * 90
+    text = [f"write to u{i}@mail.com now, call me at +1 (201) 555-01{i:02d} or not" for i in range(12)] + [f"Line 2 phone: +1 (301) 555-01{i:02d} x" for i in range(12)]
+    text += ["write to jane(at)example.org", "call me at (555) 123-4567 today", "call me at 020 7946 0958", f"write to {long}(at)example.org", "Line 2 phone: 301-555-0199", "1@" + "@" * 30_000 + "1", "1 (2 " * 3000]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.detect(docs).select("doc_id", pii.listed("all_spans").alias("s")).collect()}
+    assert [got[i] for i in range(24, 31)] == ["email:9:28", "phone:11:25", "phone:11:24", "email:9:114", "phone:14:26", "", ""]
