@@ -90,3 +90,10 @@ def test_hard_negatives_read_the_whole_table(spark, duck):
     whole = entry.oracle_sql()["q34_hard_negatives"].replace(" WHERE p_partkey % 10 = 0", "")
     got, want = entry.queries()["q34_hard_negatives"](spark, SF), duck.sql(whole)
     assert _plain([tuple(r) for r in got.collect()], got.columns) == _plain(want.fetchall(), want.columns)
+
+
+def test_best_version_keeps_texts_that_only_open_alike(spark, tmp_path):
+    texts = [(i, "One opening of forty characters or more, " + t) for i, t in enumerate(["and a tale", "and a letter", "And  a tale", "and a tale   "])]
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "cast(length(text) as long) n_chars")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in entry.queries()["q07_best_version"](spark, str(tmp_path)).collect()) == [1, 3]
