@@ -94,9 +94,9 @@ r AS (SELECT CASE
 SELECT reason, count(*) AS n FROM r GROUP BY reason
 """)
 def q03_reason_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule for runs of one character is left out here, as DuckDB has no back-references; tests cover it."""
+    """The whole cascade; the SQL beside it has no rule for runs of one character, as DuckDB has no back-references."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("turns"))
-    return c.select(F.coalesce(convo.quality_reason(F.col("turns"), repeats=False), F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return c.select(F.coalesce(convo.quality_reason(F.col("turns")), F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""

@@ -97,3 +97,9 @@ def test_best_version_keeps_texts_that_only_open_alike(spark, tmp_path):
     df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "cast(length(text) as long) n_chars")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r.doc_id for r in entry.queries()["q07_best_version"](spark, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_cascade_has_the_rule_for_runs(spark, tmp_path):
+    rows = [(1, 1, "你好吗朋友"), (1, 2, "好好好好好好"), (2, 1, "你好吗朋友"), (2, 2, "我很好")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {tuple(r) for r in entry.queries()["q03_reason_cascade"](spark, str(tmp_path)).collect()} == {("character_run", 1), ("kept", 1)}
