@@ -52,12 +52,10 @@ class Scratch:
     def cut(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Writes `df` as Parquet and reads it back; the schema is passed on, so an empty table works too.
 
-        Rows that are written make the shuffle files before them useless. The JVM deletes those when it collects
-        what refers to them, so a collection is asked for.
+        Rows that are written make the shuffle files before them useless, so Spark removes those with the action.
         """
-        with arrow_batches(self.spark):
+        with arrow_batches(self.spark), settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
             df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
-        self.spark.sparkContext._jvm.System.gc()
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:
@@ -72,15 +70,21 @@ class Scratch:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, size: str = "16m") -> Iterator[None]:
-    """Bounds the bytes of the Arrow batches of the actions inside, as a few rows can be very long."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, size)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for the actions inside; what they were before holds again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def arrow_batches(spark: SparkSession, size: str = "16m"):
+    """Bounds the bytes of the Arrow batches of the actions inside, as a few rows can be very long."""
+    return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": size})
