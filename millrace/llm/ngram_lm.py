@@ -1,15 +1,22 @@
-"""An n-gram language model in an Elias-Fano trie.
+"""An n-gram language model in an Elias-Fano trie, built and asked in one exchange a level.
 
 Level 1 has the words: their hashes, ascending, and the running sums of their counts, both monotone and in
-Elias-Fano code; a word's id is its rank. Level 2 has the word pairs: pointers, monotone, to where each context's
-children begin, and the children's ids, made monotone by adding to each the last sum of the context before it. Level 3
-has the same for words after two words, whose ids side by side are the context. Probabilities are quantised to a byte. All levels are cut into shards of bounded size, files in the
-shared folder that workers map into memory. Queries come sorted, so that looking up a child is a successor search
-relative to its context's sum.
+Elias-Fano code; a word's id is its rank. Level 2 has the word pairs: contexts, pointers, monotone, to where each
+context's children begin, and the children's ids, made monotone by adding to each the last sum of the context before
+it. Level 3 has the same for words after two words, whose ids side by side are the context. Probabilities are quantised
+to a byte. All levels are cut into shards of bounded size, files in the shared folder that their owners map into memory.
+Looking up a child is a successor search relative to its context's sum, on the mapped bits.
+
+Texts are cut into portions. A portion sends each of its words and n-grams once, with how often its training texts have
+it, to the shard that owns it. The shard adds up, writes its part of the trie, answers from it what every portion asked, and
+the answers return to the portions. So each n-gram travels twice, and work grows with the texts, not with texts times model.
 
 The probability of a word w after u is max(c(uw) - D, 0) / c(u) + r(u) * p(w), where p(w) = (c(w) + 1) / (N + V + 1)
 and r(u) is what makes the sum over all w one; after t and u it is max(c(tuw) - D, 0) / c(tu) + r(tu) * p(w after u).
 Pairs and triples seen less often than `least` count as unseen. A text's first word has only the end before it.
+
+A context that may have more than CROWDED tokens has its children in several shards. These keep numerators, and what the
+shards together have of a context comes from a second exchange, by contexts.
 """
 
 from __future__ import annotations
@@ -19,25 +26,31 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.elias_fano import decode, encode, header, size_of, successors
+from millrace.llm.elias_fano import Sequence, encode, whole
 from millrace.llm.shingles import Words, mixed
 from millrace.session import Scratch
 
-#: Words in a shard of level 1, tokens whose pairs share a shard of level 2, and words that a worker counts at once.
-WORDS, PAIRS, TOKENS = 1_000_000, 1_000_000, 1_000_000
-#: A context with more tokens than this has its pairs in several shards, by the second word.
+#: Portions' words in a shard of level 1, and tokens whose pairs and triples share a shard of levels 2 and 3.
+WORDS, PAIRS = 1_000_000, 1_000_000
+#: A context that may have more tokens than this has its children in several shards, by the word.
 CROWDED = 100_000
 DISCOUNT = 0.75
-#: The hash of the end token, and of no word, as words have hashes that are mixed from their bytes and lengths.
+#: The hash of the end token. That of a word is it with a probability of 2**-64.
 END = np.uint64(0x5EED0FE4D0F7E575)
-#: Bytes of texts that are hashed at once, and whose tokens are looked up at once.
-BATCH, LOOKUP = 1 << 20, 8 << 20
+#: Bytes of texts that are hashed at once, and of texts in a portion; a longer text is a portion by itself.
+BATCH, PORTION = 1 << 20, 8 << 20
+#: Values in a codebook, and how many of them are quantiles; the others are spread evenly over the logarithms.
+BOOK, QUANTILES = 256, 160
+IDS = 1 << 32
 
 
 def tokens_of(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -60,21 +73,27 @@ def tokens_of(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(out), np.concatenate(sizes)
 
 
-def portions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes]]]:
-    """(keys, texts) of rows (key, text) by portions of about `limit` bytes, over the bounds of batches."""
-    keys: list = []
-    texts: list[bytes] = []
-    held = 0
-    for batch in batches:
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            keys.append(k)
-            texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
-            held += len(texts[-1]) + 1
-            if held >= limit:
-                yield keys, texts
-                keys, texts, held = [], [], 0
-    if keys:
-        yield keys, texts
+# --- numbers as bytes -----------------------------------------------------------------------------------------
+
+
+def pack(x: np.ndarray, size: int) -> bytes:
+    """Numbers of `size` bytes, by bytes of equal weight, which compress well where high ones are mostly 0."""
+    flat = np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T)
+    return zstandard.ZstdCompressor(level=1).compress(flat.tobytes())
+
+
+def unpack(data: bytes, size: int) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(f"<u{size}").ravel()
+
+
+def pack_rising(x: np.ndarray) -> bytes:
+    """Rising 64-bit numbers, as differences."""
+    return pack(np.diff(x, prepend=np.uint64(0)), 8)
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, 8), dtype=np.uint64)
 
 
 # --- files in the shared folder -------------------------------------------------------------------------------
@@ -107,327 +126,442 @@ def map_file(root: str, name: str) -> np.ndarray:
     return mapped
 
 
-# --- level 1 --------------------------------------------------------------------------------------------------
+# --- portions -------------------------------------------------------------------------------------------------
+
+
+def _portions(limit: int):
+    """Rows (key, held out, text) to portions: keys, which are held out, their sizes, kinds of tokens, and tokens as kinds."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, number = Words(), TaskContext.get().partitionId() << 33
+
+        def portion(ids: list[pa.Array], held: list[bool], texts: list[bytes]) -> pa.RecordBatch:
+            nonlocal number
+            h, sizes = tokens_of(texts, words)
+            kinds, tokens = np.unique(h, return_inverse=True)
+            number += 1
+            values = pa.concat_arrays(ids)
+            row = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.array([pack(np.array(held), 1)], pa.binary()), pa.array([pack(sizes, 4)], pa.binary())]
+            row += [pa.array([len(kinds)]), pa.array([pack_rising(kinds)], pa.binary()), pa.array([pack(tokens, 4)], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, names=["portion", "ids", "held", "sizes", "n_kinds", "kinds", "tokens"])
+
+        ids: list[pa.Array] = []
+        held: list[bool] = []
+        texts: list[bytes] = []
+        size = 0
+        for batch in batches:
+            first = 0
+            out = batch.column(1).to_pylist()
+            for k, t in enumerate(batch.column(2)):
+                texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+                held.append(out[k])
+                size += len(texts[-1]) + 1
+                if size >= limit:
+                    ids.append(batch.column(0).slice(first, k + 1 - first))
+                    yield portion(ids, held, texts)
+                    ids, held, texts, size, first = [], [], [], 0, k + 1
+            if first < batch.num_rows:
+                ids.append(batch.column(0).slice(first))
+        if texts:
+            yield portion(ids, held, texts)
+
+    return run
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, held, size = Words(), [], 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        h, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        return h, np.bincount(inverse, np.concatenate([c for _, c in held])).astype(np.int64)
+def _binary_rows(names: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
 
-    for _, texts in portions(batches, BATCH):
-        h, c = np.unique(tokens_of(texts, words)[0], return_counts=True)
-        held.append((h, c))
-        size += len(h)
-        if size > 2 * TOKENS:
-            held = [merged()]
-            size = len(held[0][0])
-            if size > TOKENS:  # as many words as that are passed on
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["w", "c"])
-                held, size = [], 0
-    if held:
-        h, c = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["w", "c"])
 
+def _weights(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of each text, 1 for each token to learn from and 0 for held-out ones)."""
+    sizes = unpack(row["sizes"], 4).astype(np.int64)
+    return sizes, np.repeat(1 - unpack(row["held"], 1).astype(np.int64), sizes)
 
-def _ordered(h: np.ndarray) -> np.ndarray:
-    """Unsigned hashes as signed ones that sort alike."""
-    return (h ^ np.uint64(1 << 63)).view(np.int64)
 
+def word_shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """Equal ranges of hashes, so that a shard's ids follow those of the shard before."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-def _write_words(root: str):
+
+WORD_ASK = [("shard", pa.int64()), ("portion", pa.int64()), ("kinds", pa.binary()), ("counts", pa.binary())]
+
+
+def _ask_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, keys, counts = None, [], []
         for batch in batches:
-            if batch.num_rows:
-                shard = batch.column(0)[0].as_py()
-                keys.append(batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63))
-                counts.append(batch.column(2).to_numpy())
-        if shard is not None:
-            h, c = np.concatenate(keys), np.concatenate(counts)
-            sums = np.cumsum(c)
-            write_file(root, f"words-{shard}", encode(h) + encode(sums))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([int(sums[-1])], pa.int64()), pa.array([int(_ordered(h[:1])[0])], pa.int64())], names=["shard", "n", "total", "first"])
+            for row in batch.to_pylist():
+                kinds = unpack_rising(row["kinds"])
+                counts = np.bincount(unpack(row["tokens"], 4), _weights(row)[1], len(kinds)).astype(np.uint64)
+                cuts = np.searchsorted(word_shard(kinds, shards), np.arange(shards + 1))
+                yield _binary_rows(WORD_ASK, [(s, row["portion"], pack_rising(kinds[cuts[s] : cuts[s + 1]]), pack(counts[cuts[s] : cuts[s + 1]], 8)) for s in np.flatnonzero(np.diff(cuts)).tolist()])
 
     return run
 
 
-class Lexicon:
-    """Level 1 as a worker sees it: ids and counts of sorted hashes, counts and remainders of sorted ids."""
-
-    def __init__(self, root: str, shards: list[tuple[int, int, int, int]]):
-        """shards: (number, words, tokens, first hash as an ordered signed number), ascending."""
-        self.root, self.numbers = root, [s[0] for s in shards]
-        self.sizes = np.array([s[1] for s in shards], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.total = sum(s[2] for s in shards)
-        self.firsts = np.array([s[3] for s in shards], np.int64)
-
-    def _sums(self, data: np.ndarray) -> np.ndarray:
-        return np.diff(decode(data[size_of(data) :]).astype(np.int64), prepend=0)
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id or -1, count) of ascending hashes."""
-        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        bounds = np.searchsorted(_ordered(h), self.firsts[1:]) if len(self.firsts) else []
-        bounds = np.concatenate([[0], bounds, [len(h)]]).astype(np.int64)
-        for k, number in enumerate(self.numbers):
-            a, b = bounds[k], bounds[k + 1]
-            if a < b:
-                data = map_file(self.root, f"words-{number}")
-                at, known = successors(decode(data), h[a:b])
-                sums = self._sums(data)
-                ids[a:b][known] = self.starts[k] + at[known]
-                counts[a:b][known] = sums[at[known]]
-        return ids, counts
-
-    def by_id(self, ids: np.ndarray, remainders: bool) -> np.ndarray:
-        """Counts, or shares left for words that a context was not seen with, of ascending ids."""
-        out = np.ones(len(ids), np.float64)
-        bounds = np.searchsorted(ids, self.starts)
-        for k, number in enumerate(self.numbers):
-            a, b = bounds[k], bounds[k + 1]
-            if a < b:
-                at = ids[a:b] - self.starts[k]
-                if remainders:
-                    try:
-                        data = map_file(self.root, f"rest-{number}")
-                    except FileNotFoundError:  # no context of this shard has a word in level 2
-                        continue
-                    out[a:b] = data.view(np.uint16)[at] / 65_535.0
-                else:
-                    out[a:b] = self._sums(map_file(self.root, f"words-{number}"))[at]
-        return out
+# --- level 1 --------------------------------------------------------------------------------------------------
 
+WORD_ANSWER = "shard long, portion long, n long, total long, ranks binary, counts binary"
 
-# --- levels 2 and 3 -------------------------------------------------------------------------------------------
 
+def _level_1(root: str):
+    """A shard's words: adds up, writes its file, and answers each portion with ranks, -1 if unknown, and counts.
 
-def shard_of(u: np.ndarray, w: np.ndarray, c_u: np.ndarray, shards: int) -> np.ndarray:
-    """Where a pair of ids is kept. Crowded contexts are spread over as many shards as they need."""
-    spread = np.where(c_u > CROWDED, mixed(w.astype(np.uint64) + np.uint64(7)) % np.uint64(max(1, shards)), np.uint64(0))
-    return ((mixed(u.astype(np.uint64)) + spread) % np.uint64(max(1, shards))).astype(np.int64)
+    One row without a portion has the shard's number of words and tokens.
+    """
 
+    def run(t: pa.Table) -> pa.Table:
+        shard, rows = t.column("shard")[0].as_py(), t.select(["portion", "kinds", "counts"]).to_pylist()
+        asked = [unpack_rising(r["kinds"]) for r in rows]
+        h, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+        c = np.bincount(inverse, np.concatenate([unpack(r["counts"], 8) for r in rows]).astype(np.float64)).astype(np.int64)
+        h, c = h[c > 0], c[c > 0]
+        write_file(root, f"words-{shard}", encode(h) + encode(np.cumsum(c)))
+        data = map_file(root, f"words-{shard}")
+        words = Sequence(data)
+        sums = Sequence(data, words.end)
+        out = [(shard, None, len(h), int(c.sum()), None, None)]
+        for r, kinds in zip(rows, asked, strict=True):
+            at, known = words.successors(kinds)
+            ranks, counts = np.full(len(kinds), 0xFFFFFFFF, np.uint64), np.zeros(len(kinds), np.uint64)
+            k = at[known]
+            ranks[known] = k
+            if len(k):
+                upto, before = sums[k], sums[np.maximum(k - 1, 0)]
+                counts[known] = upto - np.where(k > 0, before, np.uint64(0))
+            out.append((shard, r["portion"], None, None, pack(ranks, 4), pack(counts, 8)))
+        return pa.table(_binary_rows([("shard", pa.int64()), ("portion", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("ranks", pa.binary()), ("counts", pa.binary())], out).columns, names=["shard", "portion", "n", "total", "ranks", "counts"])
 
-def _token_ids(texts: list[bytes], words: Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id or -1, count) of each token, and the number of tokens of each text."""
-    h, sizes = tokens_of(texts, words)
-    kinds, inverse = np.unique(h, return_inverse=True)
-    ids, counts = lexicon.find(kinds)
-    return ids[inverse], counts[inverse], sizes
+    return run
 
 
-def _pairs(ids: np.ndarray, counts: np.ndarray, end: int, end_count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, count) of the token before each; texts follow each other, so before a first token stands an end."""
-    return np.concatenate([[end], ids[:-1]]), np.concatenate([[end_count], counts[:-1]])
+def _named(starts: dict[int, int]):
+    """Portions with their answers of level 1, to portions with the ids and counts of their kinds."""
+    fields = ("portion", "ids", "held", "sizes", "tokens")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            ids, counts, end = [], [], []
+            for kinds, answers in zip(batch.column(names.index("kinds")), batch.column(names.index("answers")), strict=True):
+                answers = sorted(answers.as_py(), key=lambda a: a["shard"])
+                ranks = [(unpack(a["ranks"], 4).astype(np.int64), starts[a["shard"]]) for a in answers]
+                # An id is stored plus one, so that 0 is an unknown word.
+                ids.append(pack(np.concatenate([np.where(r == 0xFFFFFFFF, 0, r + s + 1) for r, s in ranks]).astype(np.uint64), 8))
+                counts.append(pack(np.concatenate([unpack(a["counts"], 8) for a in answers]), 8))
+                end.append(int(np.searchsorted(unpack_rising(kinds.as_py()), END)))
+            kept = [batch.column(names.index(f)) for f in fields]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), pa.array(end, pa.int64())], names=[*fields, "words", "counts", "end"])
 
-def planes(x: np.ndarray) -> bytes:
-    """64-bit numbers by bytes of equal weight, which compress well where high ones are mostly 0."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return run
 
 
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+# --- what a portion asks of levels 2 and 3 --------------------------------------------------------------------
+
+
+def shard_of(context: np.ndarray, w: np.ndarray, room: np.ndarray, shards: int, crowded: int) -> np.ndarray:
+    """Where a child is kept. A context that may have `room` tokens has its children in a shard for each `crowded` of them."""
+    spread = np.maximum(1, -(-room // crowded)).astype(np.uint64)
+    turn = mixed(w.astype(np.uint64) + np.uint64(7)) % spread
+    return ((mixed(context) + turn) % np.uint64(shards)).astype(np.int64)
+
+
+@dataclass
+class Asked:
+    """A level's different (context, word) of a portion, by shard, context and word; `of` has each of `at` tokens' place."""
+
+    at: np.ndarray
+    of: np.ndarray
+    shard: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+    crowded: np.ndarray
+
+    @classmethod
+    def from_tokens(cls, at: np.ndarray, rank: np.ndarray, contexts: np.ndarray, room: np.ndarray, word: np.ndarray, weight: np.ndarray, shards: int, crowded: int) -> Asked:
+        """rank says which of `contexts`, ascending, a token has; `room` is how many tokens each of them may have."""
+        key, of = np.unique((rank.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_inverse=True)
+        n = np.bincount(of, weight, len(key)).astype(np.uint64)
+        rank, word = (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+        shard = shard_of(contexts[rank], word, room[rank], shards, crowded)
+        by = np.argsort(shard, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        return cls(at, place[of], shard[by], contexts[rank][by], word[by], n[by], room[rank][by] > crowded)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first entries of runs with one shard and context, their sizes)."""
+        if not len(self.shard):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        new = np.concatenate([[True], (self.context[1:] != self.context[:-1]) | (self.shard[1:] != self.shard[:-1])])
+        first = np.flatnonzero(new)
+        return first, np.diff(np.concatenate([first, [len(new)]]))
+
+
+@dataclass
+class Portion:
+    """Tokens of a portion with ids (-1 if unknown) and counts, and what it asks of levels 2 and 3, always in one order."""
+
+    sizes: np.ndarray
+    counts: np.ndarray
+    levels: list[Asked]
+
+    @classmethod
+    def of(cls, row: dict, shards: int, order: int, crowded: int) -> Portion:
+        sizes, weight = _weights(row)
+        kind = unpack(row["tokens"], 4)
+        ids, c = unpack(row["words"], 8).astype(np.int64) - 1, unpack(row["counts"], 8).astype(np.int64)
+        end, end_count = ids[row["end"]], c[row["end"]]
+        w, c_w = ids[kind], c[kind]
+        # Texts follow each other, so before a first token stands an end.
+        u, c_u = np.concatenate([[end], w[:-1]]), np.concatenate([[end_count], c_w[:-1]])
+        # A context must be known; an unknown word asks for its context's remainder by way of word 0.
+        at = np.flatnonzero(u >= 0)
+        contexts, first, rank = np.unique(u[at], return_index=True, return_inverse=True)
+        word = np.maximum(w, 0)
+        weight = np.where(w >= 0, weight, 0)
+        levels = [Asked.from_tokens(at, rank, contexts.astype(np.uint64), c_u[at][first], word[at], weight[at], shards, crowded)]
+        if order > 2:
+            starts = np.zeros(len(w), bool)
+            starts[np.cumsum(sizes)[:-1]] = True
+            starts[0] = True
+            at = np.flatnonzero(~starts & (u >= 0) & np.concatenate([[False], u[:-1] >= 0]))
+            contexts, first, rank = np.unique((u[at - 1].astype(np.uint64) << np.uint64(32)) | u[at].astype(np.uint64), return_index=True, return_inverse=True)
+            room = np.minimum(c_u[at - 1], c_u[at])[first]
+            levels.append(Asked.from_tokens(at, rank, contexts, room, word[at], weight[at], shards, crowded))
+        return cls(sizes, c_w, levels)
+
+
+GRAM_ASK = [("shard", pa.int64()), ("portion", pa.int64()), ("contexts", pa.binary()), ("crowded", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())]
+
+
+def _ask_grams(shards: int, order: int, crowded: int):
+    """Portions to a row for each shard that owns some of their n-grams. Shards of level 3 have numbers from `shards` on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for level, asked in enumerate(Portion.of(row, shards, order, crowded).levels):
+                    first, sizes = asked.runs()
+                    cuts, run_cuts = (np.searchsorted(s, np.arange(shards + 1)) for s in (asked.shard, asked.shard[first]))
+                    rows = []
+                    for s in np.flatnonzero(np.diff(cuts)).tolist():
+                        a, b = cuts[s], cuts[s + 1]
+                        f, g = run_cuts[s], run_cuts[s + 1]
+                        rows.append((s + level * shards, row["portion"], pack_rising(asked.context[first[f:g]]), pack(asked.crowded[first[f:g]], 1), pack(sizes[f:g], 4), pack(asked.word[a:b], 4), pack(asked.n[a:b], 4)))
+                    if rows:
+                        yield _binary_rows(GRAM_ASK, rows)
 
-def _triples(pair: np.ndarray, w: np.ndarray, u: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, pair before, word) of the tokens that two tokens of their text stand before, or a word and the end."""
-    at = np.flatnonzero(u != end)
-    return at, pair[at - 1], w[at]
+    return run
 
 
-def _count_pairs(root: str, words_meta: list[tuple[int, int, int, int]], shards: int, order: int, least: int):
-    """Texts to a row for each portion and shard: sorted contexts as differences, words after them, and counts.
+# --- levels 2 and 3 -------------------------------------------------------------------------------------------
 
-    Shards of level 3 have numbers from `shards` on. A level 3 context has all its words in one shard.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lexicon = Words(), Lexicon(root, words_meta)
-        end, end_count = (int(x[0]) for x in lexicon.find(np.array([END], np.uint64)))
-        for _, texts in portions(batches, LOOKUP):
-            w, c_w, _ = _token_ids(texts, words, lexicon)
-            u, c_u = _pairs(w, c_w, end, end_count)
-            pair = (u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
-            ok = (c_u >= least) & (c_w >= least)  # else the pair can't be seen so often
-            rows = []
-
-            def add(context: np.ndarray, word: np.ndarray, n: np.ndarray, shard: np.ndarray, first: int) -> None:
-                by = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(cuts)).tolist():
-                    k = by[cuts[s] : cuts[s + 1]]
-                    rows.append((first + s, planes(np.diff(context[k], prepend=np.uint64(0))), word[k].astype("<u4").tobytes(), n[k].astype("<u4").tobytes()))
-
-            key, at, n = np.unique(pair[ok], return_index=True, return_counts=True)
-            add(key >> np.uint64(32), key & np.uint64(0xFFFFFFFF), n, shard_of(u[ok][at], w[ok][at], c_u[ok][at], shards), 0)
-            if order > 2:
-                at, before, word = _triples(pair, w, u, end)
-                may = ok[at] & ok[at - 1]
-                kinds, rank = np.unique(before[may], return_inverse=True)
-                key, n = np.unique((rank.astype(np.uint64) << np.uint64(32)) | word[may].astype(np.uint64), return_counts=True)
-                context = kinds[(key >> np.uint64(32)).astype(np.int64)]
-                add(context, key & np.uint64(0xFFFFFFFF), n, (mixed(context) % np.uint64(shards)).astype(np.int64), shards)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], names=["shard", "keys", "words", "counts"])
+def codebook(values: np.ndarray) -> np.ndarray:
+    """Up to BOOK of the values, ascending, the least among them: quantiles, and values next to an even grid."""
+    values = np.sort(values)
+    kinds = values[np.concatenate([[True], values[1:] != values[:-1]])]
+    if len(kinds) <= BOOK:
+        return kinds
+    picks = values[(np.linspace(0, 1, QUANTILES) * (len(values) - 1)).astype(np.int64)]
+    grid = kinds[np.minimum(np.searchsorted(kinds, np.linspace(kinds[0], kinds[-1], BOOK - QUANTILES)), len(kinds) - 1)]
+    return np.unique(np.concatenate([picks, grid]))
+
+
+class Shard:
+    """A file of level 2 or 3, mapped: contexts, pointers to their children, children, and quantised values."""
+
+    def __init__(self, root: str, shard: int):
+        data = map_file(root, f"grams-{shard}")
+        self.contexts = Sequence(data)
+        self.starts = Sequence(data, self.contexts.end)
+        self.children = Sequence(data, self.starts.end)
+        n, at = self.children.n, self.children.end
+        self.book = np.exp(data[at : at + 8 * BOOK].view("<f8"))
+        self.codes = data[at + 8 * BOOK : at + 8 * BOOK + n]
+
+    @staticmethod
+    def write(root: str, shard: int, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Children by context and word; returns their values as quantised, rounded down."""
+        starts = np.cumsum(sizes) - sizes
+        # Children become monotone over all contexts: each context adds the last sum of the one before.
+        last = words[starts + sizes - 1] + np.uint64(1)
+        base = np.cumsum(last, dtype=np.uint64) - last
+        book = codebook(logs)
+        codes = (np.searchsorted(book, logs, side="right") - 1).astype(np.uint8)
+        filled = np.concatenate([book, np.full(BOOK - len(book), book[-1])])
+        write_file(root, f"grams-{shard}", b"".join([encode(contexts), encode(starts.astype(np.uint64)), encode(words + np.repeat(base, sizes)), filled.astype("<f8").tobytes(), whole(codes.tobytes())]))
+        return np.exp(book)[codes]
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Values of (context, word), 0 for unseen ones."""
+        out = np.zeros(len(context), np.float64)
+        if not self.contexts.n:
+            return out
+        at, known = self.contexts.successors(context)
+        rows, at = np.flatnonzero(known), at[known]
+        start = self.starts[at].astype(np.int64)
+        upto = np.where(at + 1 < self.contexts.n, self.starts[np.minimum(at + 1, self.contexts.n - 1)].astype(np.int64), self.children.n)
+        # The sum that a context's children start from ends the context before it, plus one.
+        base = np.where(start > 0, self.children[np.maximum(start - 1, 0)] + np.uint64(1), np.uint64(0))
+        k, equal = self.children.successors(word[rows].astype(np.uint64) + base)
+        hit = equal & (k >= start) & (k < upto)
+        out[rows[hit]] = self.book[self.codes[k[hit]]]
+        return out
 
-    return run
 
+#: shares and rests answer a portion; owner, contexts, given and totals are what a shard has of crowded contexts.
+GRAM_ANSWER = "shard long, portion long, shares binary, rests binary, owner long, contexts binary, given binary, totals binary"
+GRAM_FIELDS = [("shard", pa.int64()), ("portion", pa.int64()), ("shares", pa.binary()), ("rests", pa.binary()), ("owner", pa.int64()), ("contexts", pa.binary()), ("given", pa.binary()), ("totals", pa.binary())]
 
-def _build_pairs(root: str, words_meta: list[tuple[int, int, int, int]], shards: int, least: int):
-    """A shard's rows to its file; returns what each level 2 context gives to words it was seen with.
 
-    Level 3 contexts are whole in their shard, so what they have left is in its file.
-    """
-    schema = pa.schema([("u", pa.int64()), ("given", pa.float64())])
+def owner_of(context: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(context ^ np.uint64(0xA5A5)) % np.uint64(shards)).astype(np.int64)
+
+
+def _by_owner(context: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    owner = owner_of(context, shards)
+    by = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[by], np.arange(shards + 1))
+    return [(k, by[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def _levels_2_3(root: str, shards: int, least: int):
+    """A shard's n-grams: adds up, writes its file, and answers each portion with values and what contexts have left."""
 
     def run(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        u = np.concatenate([np.cumsum(unplanes(x.as_py()), dtype=np.uint64) for x in t.column("keys")])
-        w, counts = (np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t.column(c)]) for c in ("words", "counts"))
-        contexts, rank = np.unique(u, return_inverse=True)
-        keys, inverse = np.unique((rank.astype(np.uint64) << np.uint64(32)) | w, return_inverse=True)
-        counts = np.bincount(inverse, counts.astype(np.float64))
-        u, w = contexts[(keys >> np.uint64(32)).astype(np.int64)], keys & np.uint64(0xFFFFFFFF)
-        third = shard >= shards
-        if third:
-            total = np.bincount((keys >> np.uint64(32)).astype(np.int64), counts)
-        keep = counts >= least
-        if third:
-            total = total[np.unique((keys >> np.uint64(32))[keep]).astype(np.int64)]
-        u, w, counts = u[keep], w[keep], counts[keep]
-        if not len(u):
-            return schema.empty_table()
-        contexts, starts, sizes = np.unique(u, return_index=True, return_counts=True)
-        if not third:
-            total = Lexicon(root, words_meta).by_id(contexts.astype(np.int64), False)
-        share = np.log((counts - DISCOUNT) / np.repeat(total, sizes))
-        # A byte for a share: 256 values that have equally many shares, rounded down to the least of each. Where many
-        # shares are alike, as those of words seen once, the values that this leaves over are for the other shares.
-        book = np.unique(np.quantile(share, np.linspace(0, 1, 256), method="lower"))
-        others = share[book[np.searchsorted(book, share, side="right") - 1] != share]
-        if len(book) < 256:
-            more = np.quantile(others, np.linspace(0, 1, 256 - len(book)), method="lower") if len(others) else np.full(256 - len(book), book[-1])
-            book = np.sort(np.concatenate([book, more]))
-        code = np.clip(np.searchsorted(book, share, side="right") - 1, 0, 255).astype(np.uint8)
-        # Children become monotone over all contexts: each context adds the last sum of the one before.
-        last = w[starts + sizes - 1] + np.uint64(1)
-        base = np.concatenate([[np.uint64(0)], np.cumsum(last, dtype=np.uint64)[:-1]])
-        children = w + np.repeat(base, sizes)
-        given = np.add.reduceat(np.exp(book)[code], starts)
-        rest = np.floor(np.clip(1.0 - given, 0, 1) * 65_535).astype("<u2").tobytes() if third else b""
-        write_file(root, f"pairs-{shard}", b"".join([encode(contexts), encode(starts.astype(np.uint64)), encode(children), book.astype("<f8").tobytes(), code.tobytes(), rest]))
-        if third:
-            return schema.empty_table()
-        return pa.table([pa.array(contexts.astype(np.int64)), pa.array(given)], schema=schema)
+        shard, rows = t.column("shard")[0].as_py(), t.drop_columns(["shard"]).to_pylist()
+        contexts = [unpack_rising(r["contexts"]) for r in rows]
+        sizes = [unpack(r["sizes"], 4).astype(np.int64) for r in rows]
+        kinds, rank = np.unique(np.concatenate(contexts), return_inverse=True)
+        crowded = np.zeros(len(kinds), bool)
+        crowded[rank[np.concatenate([unpack(r["crowded"], 1) for r in rows]) > 0]] = True
+        words = np.concatenate([unpack(r["words"], 4) for r in rows]).astype(np.uint64)
+        key, inverse = np.unique((np.repeat(rank, np.concatenate(sizes)).astype(np.uint64) << np.uint64(32)) | words, return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([unpack(r["counts"], 4) for r in rows]).astype(np.float64))
+        of, words = (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+        total = np.bincount(of, n, len(kinds))
+        seen = np.flatnonzero(n >= max(1, least))
+        given = np.zeros(len(kinds))
+        if len(seen):
+            have, have_sizes = np.unique(of[seen], return_counts=True)
+            # Of crowded contexts, this shard doesn't have all; it keeps numerators.
+            logs = np.log((n[seen] - DISCOUNT) / np.where(crowded, 1.0, total)[of[seen]])
+            given[have] = np.add.reduceat(Shard.write(root, shard, kinds[have], have_sizes, words[seen], logs), np.cumsum(have_sizes) - have_sizes)
+            found = Shard(root, shard).find(kinds[of], words)
+        else:
+            found = np.zeros(len(key))
+        rest = np.floor(np.clip(1.0 - given, 0, 1) * 65_535)
+        shares = found.astype("<f4").view("<u4")[inverse]
+        out, a, f = [], 0, 0
+        for r, c, s in zip(rows, contexts, sizes, strict=True):
+            b, g = a + int(s.sum()), f + len(c)
+            out.append((shard, r["portion"], pack(shares[a:b], 4), pack(rest[rank[f:g]], 2), None, None, None, None))
+            a, f = b, g
+        some = np.flatnonzero(crowded & (total > 0))
+        first = shards if shard >= shards else 0
+        for k, i in _by_owner(kinds[some], shards):
+            i = some[i]
+            out.append((shard, None, None, None, first + k, pack_rising(kinds[i]), given[i].astype("<f8").tobytes(), total[i].astype("<f8").tobytes()))
+        return pa.table(_binary_rows(GRAM_FIELDS, out).columns, names=[n for n, _ in GRAM_FIELDS])
 
     return run
 
 
-def _write_rest(root: str, sizes: dict[int, int]):
-    """What contexts have left, as 16-bit shares by rank in the shard of level 1, rounded down."""
+def _ask_rests(shards: int, order: int, crowded: int):
+    """Portions to the crowded contexts that they ask for, by owner."""
+    names = [("owner", pa.int64()), ("portion", pa.int64()), ("contexts", pa.binary())]
 
-    def run(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        rest = np.full(sizes[shard], 65_535, np.uint16)
-        rest[t.column("rank").to_numpy()] = np.floor(np.clip(1.0 - t.column("given").to_numpy(), 0, 1) * 65_535)
-        write_file(root, f"rest-{shard}", rest.tobytes())
-        return pa.table([pa.array([shard], pa.int64()), pa.array([len(t)], pa.int64())], names=["shard", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = []
+                for level, asked in enumerate(Portion.of(row, shards, order, crowded).levels):
+                    context = np.unique(asked.context[asked.crowded])
+                    rows += [(k + level * shards, row["portion"], pack_rising(context[i])) for k, i in _by_owner(context, shards)]
+                if rows:
+                    yield _binary_rows(names, rows)
 
     return run
 
 
-def pair_shares(root: str, shard: int, u: np.ndarray, w: np.ndarray, third: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """max(c(uw) - D, 0) / c(u) of pairs sorted by (u, w), all of one shard; 0 for unseen ones. For level 3, u are
-    pairs, and what their contexts have left is returned too; 1 for unseen ones."""
-    out, rest = np.zeros(len(u), np.float64), np.ones(len(u), np.float64)
-    try:
-        data = map_file(root, f"pairs-{shard}")
-    except FileNotFoundError:  # no pair of this shard was seen often enough
-        return out, rest
-    contexts = decode(data)
-    data = data[size_of(data) :]
-    starts = decode(data).astype(np.int64)
-    data = data[size_of(data) :]
-    children, n = decode(data), header(data)[0]
-    data = data[size_of(data) :]
-    book, code = np.exp(np.frombuffer(data[: 256 * 8].tobytes(), "<f8")), data[256 * 8 : 256 * 8 + n]
-    at, known = successors(contexts, u.astype(np.uint64))
-    rows = np.flatnonzero(known)
-    if len(rows):
-        at = at[rows]
-        ends = np.concatenate([starts[1:], [n]])
-        # The sum that a context's children start from ends the context before it, plus one.
-        base = np.where(starts[at] > 0, children[np.maximum(starts[at] - 1, 0)] + np.uint64(1), np.uint64(0))
-        k, equal = successors(children, w[rows].astype(np.uint64) + base)
-        hit = equal & (k < ends[at]) & (k >= starts[at])
-        out[rows[hit]] = book[code[k[hit]]]
-        if third:
-            rest[rows] = np.frombuffer(data[256 * 8 + n :].tobytes(), "<u2")[at] / 65_535.0
-    return out, rest
+REST_ANSWER = "owner long, portion long, totals binary, rests binary"
 
 
-# --- scoring --------------------------------------------------------------------------------------------------
+def _rests(root: str):
+    """An owner's crowded contexts: adds up what shards have, keeps it in a file, and answers portions with totals and rests."""
+
+    def run(t: pa.Table) -> pa.Table:
+        owner, rows = t.column("owner")[0].as_py(), t.drop_columns(["owner"]).to_pylist()
+        parts = [r for r in rows if r["portion"] is None]
+        parted = np.concatenate([np.empty(0, np.uint64), *[unpack_rising(r["contexts"]) for r in parts]])
+        kinds, of = np.unique(parted, return_inverse=True)
+        given, total = (np.bincount(of, np.concatenate([np.empty(0), *[np.frombuffer(r[c], "<f8") for r in parts]]), len(kinds)) for c in ("given", "totals"))
+        rest = np.floor(np.clip(1.0 - given / np.maximum(total, 1), 0, 1) * 65_535)
+        write_file(root, f"rests-{owner}", encode(kinds) + total.astype("<f8").tobytes() + rest.astype("<u2").tobytes())
+        data = map_file(root, f"rests-{owner}")
+        held = Sequence(data)
+        total = data[held.end : held.end + 8 * held.n].view("<f8")
+        rest = data[held.end + 8 * held.n :].view("<u2")
+        out = []
+        for r in rows:
+            if r["portion"] is not None:
+                asked = unpack_rising(r["contexts"])
+                at, known = held.successors(asked)
+                totals, rests = np.ones(len(asked)), np.full(len(asked), 65_535, np.uint64)
+                totals[known], rests[known] = total[at[known]], rest[at[known]]
+                out.append((owner, r["portion"], totals.astype("<f8").tobytes(), pack(rests, 2)))
+        names = [("owner", pa.int64()), ("portion", pa.int64()), ("totals", pa.binary()), ("rests", pa.binary())]
+        return pa.table(_binary_rows(names, out).columns, names=[n for n, _ in names])
+
+    return run
 
 
-def _looked_up(root: str, a: np.ndarray, b: np.ndarray, where: np.ndarray, shards: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    by = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[by], np.arange(shards + 1))
-    found, rest = np.zeros(len(a)), np.ones(len(a))
-    for s in np.flatnonzero(np.diff(cuts)).tolist():
-        k = by[cuts[s] : cuts[s + 1]]
-        found[k], rest[k] = pair_shares(root, first + s, a[k], b[k], first > 0)
-    return found, rest
+# --- scoring --------------------------------------------------------------------------------------------------
 
 
-def _score(root: str, words_meta: list[tuple[int, int, int, int]], shards: int, key: pa.DataType, order: int, least: int):
-    n_words = sum(m[1] for m in words_meta)
+def _score(total: int, n_words: int, shards: int, order: int, crowded: int):
+    """Portions with their answers to a row for each text."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def answered(asked: Asked, level: int, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(share, rest) of each entry."""
+        mine = lambda answers, field: sorted((a for a in answers or [] if level * shards <= a[field] < (level + 1) * shards), key=lambda a: a[field])
+        got = mine(row["answers"], "shard")
+        share = np.concatenate([np.empty(0), *[unpack(a["shares"], 4).view("<f4").astype(np.float64) for a in got]])
+        left = np.concatenate([np.empty(0), *[unpack(a["rests"], 2) / 65_535.0 for a in got]])
+        rest = np.repeat(left, asked.runs()[1])
+        if asked.crowded.any():
+            context = np.unique(asked.context[asked.crowded])
+            order_ = np.concatenate([i for _, i in _by_owner(context, shards)])
+            totals, rests = np.empty(len(context)), np.empty(len(context))
+            got = mine(row["rests"], "owner")
+            totals[order_] = np.concatenate([np.frombuffer(a["totals"], "<f8") for a in got])
+            rests[order_] = np.concatenate([unpack(a["rests"], 2) / 65_535.0 for a in got])
+            k = np.searchsorted(context, asked.context[asked.crowded])
+            share[asked.crowded] /= totals[k]
+            rest[asked.crowded] = rests[k]
+        return share, rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lexicon = Words(), Lexicon(root, words_meta)
-        total = lexicon.total
-        end, end_count = (int(x[0]) for x in lexicon.find(np.array([END], np.uint64)))
-        for keys, texts in portions(batches, LOOKUP):
-            w, c_w, sizes = _token_ids(texts, words, lexicon)
-            u, c_u = _pairs(w, c_w, end, end_count)
-            plain = (c_w + 1.0) / (total + n_words + 1.0)
-            share, rest = np.zeros(len(w)), np.ones(len(w))
-            rows = np.flatnonzero(c_u >= least)
-            if len(rows):
-                kinds, inverse = np.unique(u[rows], return_inverse=True)
-                rest[rows] = lexicon.by_id(kinds, True)[inverse]
-            # Only contexts that gave something away, and words seen as often as pairs must be, can be in level 2.
-            rows = rows[(c_w[rows] >= least) & (rest[rows] < 1)]
-            if len(rows):
-                pair, first, inverse = np.unique((u[rows].astype(np.uint64) << np.uint64(32)) | w[rows].astype(np.uint64), return_index=True, return_inverse=True)
-                a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                share[rows] = _looked_up(root, a, b, shard_of(a, b, c_u[rows][first], shards), shards)[0][inverse]
-            p = share + rest * plain
-            if order > 2:
-                # A context of two words must be in level 2; a word that is unknown gets its context's remainder.
-                at, before, word = _triples((u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), w, u, end)
-                known = share[at - 1] > 0
-                at, before, word = at[known], before[known], np.maximum(word[known], 0)
-                if len(at):
-                    kinds, rank = np.unique(before, return_inverse=True)
-                    triple, inverse = np.unique((rank.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_inverse=True)
-                    a, b = kinds[(triple >> np.uint64(32)).astype(np.int64)], (triple & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    found, left = _looked_up(root, a, b, (mixed(a) % np.uint64(shards)).astype(np.int64), shards, shards)
-                    p[at] = np.where(c_w[at] > 0, found[inverse], 0.0) + left[inverse] * p[at]
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, key),
-                    pa.array(sizes.astype(np.int64)),
-                    pa.array(np.add.reduceat((c_w > 0).astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(np.log10(plain), starts)),
-                    pa.array(np.add.reduceat(np.log10(p), starts)),
-                ],
-                names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
-            )
+        for batch in batches:
+            ids = batch.column(batch.schema.names.index("ids"))
+            for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+                p = Portion.of(row, shards, order, crowded)
+                known = p.counts > 0
+                plain = (p.counts + 1.0) / (total + n_words + 1.0)
+                model = plain
+                for level, asked in enumerate(p.levels):
+                    share, rest = answered(asked, level, row)
+                    model = model.copy()
+                    model[asked.at] = np.where(known[asked.at], share[asked.of], 0.0) + rest[asked.of] * model[asked.at]
+                starts = np.cumsum(p.sizes) - p.sizes
+                add = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [ids[k].values, pa.array(unpack(row["held"], 1) > 0), pa.array(p.sizes), pa.array(add(known.astype(np.int64))), pa.array(add(np.log10(plain))), pa.array(add(np.log10(model)))],
+                    names=names,
+                )
 
     return run
 
@@ -436,44 +570,53 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 7 == 2
 
 
-def train(texts: DataFrame, scratch: Scratch, order: int = 2, least: int = 2) -> tuple[str, list[tuple[int, int, int, int]], int]:
-    """(folder, shards of level 1, number of shards of each level from 2 on) from texts (key, text); writes the trie's files."""
-    root = scratch.path("trie")
-    if not re.match(r"\w+://", root):
-        root = "file://" + root.removeprefix("file:")
-    counts = texts.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    counts = scratch.cut(counts.select(F.col("w").bitwiseXOR(F.lit(-(1 << 63))).alias("w"), "c"), "words")
-    n = counts.count()
-    ranged = counts.repartitionByRange(max(1, -(-n // WORDS)), "w").sortWithinPartitions("w").select(F.spark_partition_id().cast("long").alias("shard"), "w", "c")
-    meta = ranged.mapInArrow(_write_words(root), "shard long, n long, total long, first long").collect()  # a row a shard
-    meta = sorted(((r["shard"], r["n"], r["total"], r["first"]) for r in meta), key=lambda m: m[3])
-    if not meta:
-        return root, [], 1
-    shards = max(1, -(-sum(m[2] for m in meta) // PAIRS))
-    rows = texts.mapInArrow(_count_pairs(root, meta, shards, order, least), "shard long, keys binary, words binary, counts binary")
-    given = rows.groupBy("shard").applyInArrow(_build_pairs(root, meta, shards, least), "u long, given double").groupBy("u").agg(F.sum("given").alias("given"))
-    given = scratch.cut(given, "given")
-    starts = np.concatenate([[0], np.cumsum([m[1] for m in meta])]).tolist()
-    bounds = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(m[0]).cast("long").alias("shard")) for m, a, b in zip(meta, starts[:-1], starts[1:], strict=True)])
-    place = F.get(F.filter(bounds, lambda x: (F.col("u") >= x["a"]) & (F.col("u") < x["b"])), F.lit(0))
-    placed = given.withColumn("p", place).select(F.col("p.shard").alias("shard"), (F.col("u") - F.col("p.a")).alias("rank"), "given")
-    placed.groupBy("shard").applyInArrow(_write_rest(root, {m[0]: m[1] for m in meta}), "shard long, n long").agg(F.sum("n")).collect()
-    return root, meta, shards
-
-
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, least: int = 2) -> DataFrame:
+def _returned(portions: DataFrame, answers: DataFrame, name: str, *fields: str) -> DataFrame:
+    """`portions` with the array of their answers."""
+    got = answers.where("portion is not null").groupBy("portion").agg(F.collect_list(F.struct(*fields)).alias(name))
+    return portions.join(got, "portion", "left")
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, least: int = 2, portion: int = PORTION, words: int = WORDS, pairs: int = PAIRS, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`.
 
     Tokens are words without space and U+0009 to U+000D, A-Z lower-cased, then one end; a null or blank text has the
     end only. Rows whose crc32 of the id as text leaves 2 modulo 7 are held out, all others are trained on; a null id
     counts as empty text, which is trained on. base_score is the sum of log10((c + 1) / (N + V + 1)), score the
-    model's log10 probability, of `order` 2 or 3 from pairs and triples seen `least` times or more. Repeated rows count as often as they come. An empty table gives an empty result.
+    model's log10 probability, of `order` 2 or 3 from pairs and triples seen `least` times or more. Repeated rows count
+    as often as they come; an id may have any type. An empty table gives an empty result. Words may number 2**32 at most.
+    A task holds a portion of about `portion` bytes of text, or one longer text, or the n-grams of a shard. `words`,
+    `pairs` and `crowded` are the sizes of shards and what a context may have to be kept in one; they change no result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    root, meta, shards = train(given.where(~held_out(F.col("doc_id"))), scratch, order, least)
-    key_type = given.schema["doc_id"].dataType
-    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type.simpleString()]
-    scored = given.mapInArrow(_score(root, meta, shards, arrow_key, order, least), f"doc_id {key_type.simpleString()}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(sum(m[2] for m in meta)).cast("long").alias("train_tokens"), "base_score", "score")
+    scratch = Scratch(docs.sparkSession, "lm")
+    root = scratch.path("trie")
+    if not re.match(r"\w+://", root):
+        root = "file://" + root.removeprefix("file:")
+    id_type = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType
+    given = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
+
+    schema = f"portion long, ids array<{id_type.simpleString()}>, held binary, sizes binary, n_kinds long, kinds binary, tokens binary"
+    portions = scratch.cut(given.mapInArrow(_portions(portion), schema), "portions")
+    asked = portions.agg(F.sum("n_kinds")).first()[0] or 0
+    asks = portions.mapInArrow(_ask_words(max(1, -(-asked // words))), "shard long, portion long, kinds binary, counts binary")
+    answers = scratch.cut(asks.groupBy("shard").applyInArrow(_level_1(root), WORD_ANSWER), "words")
+    sizes = sorted((r["shard"], r["n"], r["total"]) for r in answers.where("portion is null").select("shard", "n", "total").collect())  # a row a shard
+    n_words, total = sum(s[1] for s in sizes), sum(s[2] for s in sizes)
+    if n_words >= IDS:
+        raise ValueError(f"{n_words} words; ids have 32 bits")
+    starts = dict(zip([s[0] for s in sizes], np.concatenate([[0], np.cumsum([s[1] for s in sizes])]).astype(int).tolist(), strict=False))
+    named_schema = f"portion long, ids array<{id_type.simpleString()}>, held binary, sizes binary, tokens binary, words binary, counts binary, end long"
+    named = scratch.cut(_returned(portions, answers, "answers", "shard", "ranks", "counts").mapInArrow(_named(starts), named_schema), "named")
+    scratch.drop("portions", "words")
+
+    shards = max(1, -(-total // pairs))
+    asks = named.drop("ids").mapInArrow(_ask_grams(shards, order, crowded), "shard long, portion long, contexts binary, crowded binary, sizes binary, words binary, counts binary")
+    answers = scratch.cut(asks.groupBy("shard").applyInArrow(_levels_2_3(root, shards, least), GRAM_ANSWER), "grams")
+    crowds = answers.where("portion is null").select("owner", "portion", "contexts", "given", "totals")
+    asks = named.drop("ids").mapInArrow(_ask_rests(shards, order, crowded), "owner long, portion long, contexts binary")
+    asks = asks.select("owner", "portion", "contexts", F.lit(None).cast("binary").alias("given"), F.lit(None).cast("binary").alias("totals"))
+    rests = scratch.cut(crowds.unionByName(asks).groupBy("owner").applyInArrow(_rests(root), REST_ANSWER), "rests")
+
+    ready = _returned(_returned(named, answers, "answers", "shard", "shares", "rests"), rests, "rests", "owner", "totals", "rests")
+    scored = ready.mapInArrow(_score(total, n_words, shards, order, crowded), f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 #: Odd multipliers. Any would do; all workers must have the same.
-BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0x9FB21C651E98DF25)
 PLACES = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 SPACE = np.zeros(256, bool)
@@ -20,35 +19,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _placed(value: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A 64-bit number for a byte at a place of its word, without any linear structure."""
+    return mixed((place.astype(np.uint64) << np.uint64(8) | value.astype(np.uint64)) * PLACES[2] + PLACES[3])
+
+
 class Words:
-    """Hashes of the lower-cased words of texts, in bytes; holds powers of BASE as far as texts so far needed."""
+    """Hashes of the lower-cased words of texts, in bytes.
 
-    def __init__(self) -> None:
-        self.size = 0
-        self._grow(1 << 16)
+    A hash is the sum of a mixed number for every (byte, place), mixed again with the length: tabulation hashing, with a
+    computed table. Two different words collide with a probability of 2**-64, whatever structure they have; a
+    polynomial modulo 2**64 would be the same for words such as that of Thue and Morse and its complement.
+    """
 
-    def _grow(self, n: int) -> None:
-        if n > self.size:
-            self.size = 1 << (n - 1).bit_length()
-            up, down = np.full(self.size, BASE, np.uint64), np.full(self.size, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    #: Places with a ready table; numbers of later ones are computed.
+    NEAR = 64
+
+    def __init__(self) -> None:
+        place, value = np.divmod(np.arange(self.NEAR * 256, dtype=np.int64), 256)
+        self.table = _placed(value, place)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hash of every word, words up to the end of each text). A-Z count as a-z."""
         joined = b"\n".join(texts) + b"\n"
         data = np.frombuffer(joined.lower(), np.uint8)
-        self._grow(len(data) + 1)
         space = SPACE[data]
         # A text's words end where the next text begins, as a line feed lies between.
         word = ~space
         starts = np.flatnonzero(word & np.concatenate([[True], space[:-1]]))
         ends = np.flatnonzero(space & np.concatenate([[False], word[:-1]]))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.down[starts]
-        h = mixed(h ^ (ends - starts).astype(np.uint64) * PLACES[1])
         bounds = np.cumsum([len(t) + 1 for t in texts])
+        if not len(starts):
+            return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        sizes = ends - starts
+        first = np.cumsum(sizes) - sizes
+        value = data[word]
+        place = np.arange(len(value)) - np.repeat(first, sizes)
+        if int(sizes.max()) <= self.NEAR:
+            numbers = self.table[place << 8 | value]
+        else:
+            near = place < self.NEAR
+            numbers = np.empty(len(value), np.uint64)
+            numbers[near] = self.table[place[near] << 8 | value[near]]
+            numbers[~near] = _placed(value[~near], place[~near])
+        h = mixed(np.add.reduceat(numbers, first) ^ sizes.astype(np.uint64) * PLACES[1])
         return h, np.searchsorted(starts, bounds)
 
 

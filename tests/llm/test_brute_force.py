@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import elias_fano, html_text, mixing, neardup, ngram_lm, packing, pii, quality, sharding, suffix_dedup, topk
+from millrace.llm import elias_fano, html_text, mixing, neardup, ngram_lm, packing, pii, quality, sharding, shingles, suffix_dedup, topk
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -236,6 +236,38 @@ def test_language_model(spark):
     assert ngram_lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "smallint", "decimal(9,2)"])
+def test_language_model_takes_ids_of_any_type(spark, kind):
+    rows = [(i, "a b c a b") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    out = ngram_lm.score(docs, order=3, least=1)
+    assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_words_of_two_letters_dont_collide():
+    # The word of Thue and Morse and its complement are equal under any polynomial modulo 2**64.
+    word = lambda n, a, b: "".join(a if i.bit_count() % 2 == 0 else b for i in range(n)).encode()
+    for n in (512, 1024, 8192):
+        one, two = shingles.Words().of([word(n, "a", "b"), word(n, "b", "a")])[0]
+        assert one != two
+
+
+def test_near_duplicates_keep_long_words_apart(spark):
+    word = lambda a, b: "".join(a if i.bit_count() % 2 == 0 else b for i in range(1024))
+    rows = neardup.near_duplicates(spark.createDataFrame([(1, word("a", "b")), (2, word("b", "a"))], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(1, 1, True), (2, 2, True)]
+
+
+def test_successor_search():
+    rng = np.random.default_rng(5)
+    for values in (np.array([0, 2**64 - 1], np.uint64), np.sort(rng.integers(0, 2**64 - 1, 3000, np.uint64)), np.cumsum(rng.integers(0, 3, 5000)).astype(np.uint64), np.concatenate([np.arange(700), np.arange(700) + 2**40]).astype(np.uint64)):
+        s = elias_fano.Sequence(np.frombuffer(elias_fano.encode(values), np.uint8))
+        queries = np.concatenate([values, values + np.uint64(1), values - np.uint64(1), rng.integers(0, 2**64 - 1, 300, np.uint64)])
+        at, equal = s.successors(queries)
+        assert np.array_equal(at, np.searchsorted(values, queries)) and np.array_equal(equal, np.isin(queries, values))
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(3)
     for values in (np.empty(0, np.uint64), np.array([0], np.uint64), np.array([2**63], np.uint64), np.sort(rng.integers(0, 2**64 - 1, 5000, np.uint64)), np.repeat(np.arange(50, dtype=np.uint64), 7)):
@@ -328,9 +360,10 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} <= {r[0] for r in rows}
 
 
-def test_language_model_of_triples_seen_once(spark):
+@pytest.mark.parametrize("sizes", [{}, {"portion": 3000, "words": 40, "pairs": 700, "crowded": 5}], ids=["usual", "crowded"])
+def test_language_model_of_triples_seen_once(spark, sizes):
     rows = corpus(9, 120)
-    got = {r.doc_id: r.score for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=3, least=1).collect()}
+    got = {r.doc_id: r.score for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=3, least=1, **sizes).collect()}
     seq = lambda t: [*word_list(t), b" end"]
     c, pairs, triples = collections.Counter(), collections.Counter(), collections.Counter()
     for i, t in rows:
