@@ -96,6 +96,17 @@ def unpack_rising(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, 8), dtype=np.uint64)
 
 
+def pack_few(codes: np.ndarray, values: np.ndarray) -> bytes:
+    """values[codes], as those of the values that occur, and which of them each is: BOOK + 1 at most."""
+    used, code = np.unique(codes, return_inverse=True)
+    return len(used).to_bytes(2, "little") + values[used].astype("<f4").tobytes() + pack(code, 2 if len(used) > 256 else 1)
+
+
+def unpack_few(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:2], "little")
+    return np.frombuffer(data[2 : 2 + 4 * n], "<f4").astype(np.float64)[unpack(data[2 + 4 * n :], 2 if n > 256 else 1)]
+
+
 # --- files in the shared folder -------------------------------------------------------------------------------
 
 
@@ -258,11 +269,39 @@ def _named(starts: dict[int, int]):
 # --- what a portion asks of levels 2 and 3 --------------------------------------------------------------------
 
 
-def shard_of(context: np.ndarray, w: np.ndarray, room: np.ndarray, shards: int, crowded: int) -> np.ndarray:
-    """Where a child is kept. A context that may have `room` tokens has its children in a shard for each `crowded` of them."""
-    spread = np.maximum(1, -(-room // crowded)).astype(np.uint64)
-    turn = mixed(w.astype(np.uint64) + np.uint64(7)) % spread
-    return ((mixed(context) + turn) % np.uint64(shards)).astype(np.int64)
+@dataclass(frozen=True)
+class Layout:
+    """How n-grams are dealt over `shards`. Pairs are numbered u * n_words + w.
+
+    A context's place follows its first word's id, so that a portion's contexts in a shard lie close together. As ids
+    follow hashes, words with few tokens spread evenly over the shards; those with more than `crowded` go on into the
+    shards behind theirs, level 3 contexts by their second word, and children of one context by a hash of the child.
+    """
+
+    shards: int
+    n_words: int
+    order: int
+    crowded: int
+
+    def pair(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return u.astype(np.uint64) * np.uint64(self.n_words) + w.astype(np.uint64)
+
+    def parts(self, room: np.ndarray) -> np.ndarray:
+        """Shards that something with `room` tokens goes to."""
+        return np.maximum(1, -(-room // self.crowded))
+
+    def shard_of(self, first: np.ndarray, second: np.ndarray | None, c_first: np.ndarray, w: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Where child w of the context of one word, or of two, is kept; the context may have `room` tokens."""
+        at = first.astype(np.int64) * self.shards // self.n_words
+        if second is not None:
+            at += second.astype(np.int64) * np.minimum(self.parts(c_first), self.shards) // self.n_words
+        at += (mixed(w.astype(np.uint64) + np.uint64(7)) % self.parts(room).astype(np.uint64)).astype(np.int64)
+        return at % self.shards
+
+
+def by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
+    """A stable order by shard; small numbers are sorted by radix."""
+    return np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
 
 
 @dataclass
@@ -278,16 +317,13 @@ class Asked:
     crowded: np.ndarray
 
     @classmethod
-    def from_tokens(cls, at: np.ndarray, rank: np.ndarray, contexts: np.ndarray, room: np.ndarray, word: np.ndarray, weight: np.ndarray, shards: int, crowded: int) -> Asked:
-        """rank says which of `contexts`, ascending, a token has; `room` is how many tokens each of them may have."""
-        key, of = np.unique((rank.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_inverse=True)
-        n = np.bincount(of, weight, len(key)).astype(np.uint64)
-        rank, word = (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
-        shard = shard_of(contexts[rank], word, room[rank], shards, crowded)
-        by = np.argsort(shard, kind="stable")
+    def from_keys(cls, at: np.ndarray, of: np.ndarray, context: np.ndarray, word: np.ndarray, shard: np.ndarray, room: np.ndarray, weight: np.ndarray, to: Layout) -> Asked:
+        """Entries by context and word, and which of them each token has; `room` is how many tokens their contexts may have."""
+        n = np.bincount(of, weight, len(context)).astype(np.uint64)
+        by = by_shard(shard, to.shards)
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        return cls(at, place[of], shard[by], contexts[rank][by], word[by], n[by], room[rank][by] > crowded)
+        return cls(at, place[of], shard[by], context[by], word[by], n[by], room[by] > to.crowded)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """(first entries of runs with one shard and context, their sizes)."""
@@ -307,7 +343,7 @@ class Portion:
     levels: list[Asked]
 
     @classmethod
-    def of(cls, row: dict, shards: int, order: int, crowded: int) -> Portion:
+    def of(cls, row: dict, to: Layout) -> Portion:
         sizes, weight = _weights(row)
         kind = unpack(row["tokens"], 4)
         ids, c = unpack(row["words"], 8).astype(np.int64) - 1, unpack(row["counts"], 8).astype(np.int64)
@@ -316,32 +352,43 @@ class Portion:
         # Texts follow each other, so before a first token stands an end.
         u, c_u = np.concatenate([[end], w[:-1]]), np.concatenate([[end_count], c_w[:-1]])
         # A context must be known; an unknown word asks for its context's remainder by way of word 0.
-        at = np.flatnonzero(u >= 0)
-        contexts, first, rank = np.unique(u[at], return_index=True, return_inverse=True)
-        word = np.maximum(w, 0)
+        word = np.maximum(w, 0).astype(np.uint64)
         weight = np.where(w >= 0, weight, 0)
-        levels = [Asked.from_tokens(at, rank, contexts.astype(np.uint64), c_u[at][first], word[at], weight[at], shards, crowded)]
-        if order > 2:
-            starts = np.zeros(len(w), bool)
-            starts[np.cumsum(sizes)[:-1]] = True
-            starts[0] = True
-            at = np.flatnonzero(~starts & (u >= 0) & np.concatenate([[False], u[:-1] >= 0]))
-            contexts, first, rank = np.unique((u[at - 1].astype(np.uint64) << np.uint64(32)) | u[at].astype(np.uint64), return_index=True, return_inverse=True)
-            room = np.minimum(c_u[at - 1], c_u[at])[first]
-            levels.append(Asked.from_tokens(at, rank, contexts, room, word[at], weight[at], shards, crowded))
+        at = np.flatnonzero(u >= 0)
+        pair, of = np.unique(to.pair(u[at], word[at]), return_inverse=True)
+        one, two = np.divmod(pair, np.uint64(to.n_words))
+        room, next_room = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+        room[of], next_room[of] = c_u[at], c_w[at]
+        levels = [Asked.from_keys(at, of, one, two, to.shard_of(one, None, room, two, room), room, weight[at], to)]
+        if to.order > 2:
+            # The pair before a token is its context; unless the token is its text's first one, or a part is unknown.
+            pair_of = np.full(len(w), -1)
+            pair_of[at] = of
+            before = np.concatenate([[-1], np.where(w >= 0, pair_of, -1)[:-1]])
+            before[np.cumsum(sizes)[:-1]] = -1
+            at = np.flatnonzero(before >= 0)
+            key, of = np.unique((before[at].astype(np.uint64) << np.uint64(32)) | word[at], return_inverse=True)
+            rank, third = (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+            both = np.minimum(room, next_room)[rank]
+            levels.append(Asked.from_keys(at, of, pair[rank], third, to.shard_of(one[rank], two[rank], room[rank], third, both), both, weight[at], to))
         return cls(sizes, c_w, levels)
 
 
 GRAM_ASK = [("shard", pa.int64()), ("portion", pa.int64()), ("contexts", pa.binary()), ("crowded", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())]
+GRAM_ASK_SCHEMA = "shard long, portion long, contexts binary, crowded binary, sizes binary, words binary, counts binary"
+
 
+def _ask_grams(to: Layout):
+    """Portions to a row for each shard that owns some of their n-grams. Shards of level 3 have numbers from `shards` on.
 
-def _ask_grams(shards: int, order: int, crowded: int):
-    """Portions to a row for each shard that owns some of their n-grams. Shards of level 3 have numbers from `shards` on."""
+    Crowded contexts are asked for with rows of their owners' numbers, from 2 * shards on, which have no words.
+    """
+    shards = to.shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for level, asked in enumerate(Portion.of(row, shards, order, crowded).levels):
+                for level, asked in enumerate(Portion.of(row, to).levels):
                     first, sizes = asked.runs()
                     cuts, run_cuts = (np.searchsorted(s, np.arange(shards + 1)) for s in (asked.shard, asked.shard[first]))
                     rows = []
@@ -349,6 +396,8 @@ def _ask_grams(shards: int, order: int, crowded: int):
                         a, b = cuts[s], cuts[s + 1]
                         f, g = run_cuts[s], run_cuts[s + 1]
                         rows.append((s + level * shards, row["portion"], pack_rising(asked.context[first[f:g]]), pack(asked.crowded[first[f:g]], 1), pack(sizes[f:g], 4), pack(asked.word[a:b], 4), pack(asked.n[a:b], 4)))
+                    context = np.unique(asked.context[asked.crowded])
+                    rows += [(k + (level + 2) * shards, row["portion"], pack_rising(context[i]), None, None, None, None) for k, i in _by_owner(context, shards)]
                     if rows:
                         yield _binary_rows(GRAM_ASK, rows)
 
@@ -370,11 +419,12 @@ def codebook(values: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A file of level 2 or 3, mapped: contexts, pointers to their children, children, and quantised values."""
+    """A file of level 2 or 3, mapped: contexts less the least of them, pointers to their children, children, and quantised values."""
 
     def __init__(self, root: str, shard: int):
         data = map_file(root, f"grams-{shard}")
-        self.contexts = Sequence(data)
+        self.least = data[:8].view("<u8")[0]
+        self.contexts = Sequence(data, 8)
         self.starts = Sequence(data, self.contexts.end)
         self.children = Sequence(data, self.starts.end)
         n, at = self.children.n, self.children.end
@@ -391,15 +441,16 @@ class Shard:
         book = codebook(logs)
         codes = (np.searchsorted(book, logs, side="right") - 1).astype(np.uint8)
         filled = np.concatenate([book, np.full(BOOK - len(book), book[-1])])
-        write_file(root, f"grams-{shard}", b"".join([encode(contexts), encode(starts.astype(np.uint64)), encode(words + np.repeat(base, sizes)), filled.astype("<f8").tobytes(), whole(codes.tobytes())]))
+        write_file(root, f"grams-{shard}", b"".join([contexts[:1].astype("<u8").tobytes(), encode(contexts - contexts[0]), encode(starts.astype(np.uint64)), encode(words + np.repeat(base, sizes)), filled.astype("<f8").tobytes(), whole(codes.tobytes())]))
         return np.exp(book)[codes]
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Values of (context, word), 0 for unseen ones."""
-        out = np.zeros(len(context), np.float64)
+        """One more than the codes of (context, word), 0 for unseen ones."""
+        out = np.zeros(len(context), np.int64)
         if not self.contexts.n:
             return out
-        at, known = self.contexts.successors(context)
+        at, known = self.contexts.successors(np.maximum(context, self.least) - self.least)
+        known &= context >= self.least
         rows, at = np.flatnonzero(known), at[known]
         start = self.starts[at].astype(np.int64)
         upto = np.where(at + 1 < self.contexts.n, self.starts[np.minimum(at + 1, self.contexts.n - 1)].astype(np.int64), self.children.n)
@@ -407,11 +458,12 @@ class Shard:
         base = np.where(start > 0, self.children[np.maximum(start - 1, 0)] + np.uint64(1), np.uint64(0))
         k, equal = self.children.successors(word[rows].astype(np.uint64) + base)
         hit = equal & (k >= start) & (k < upto)
-        out[rows[hit]] = self.book[self.codes[k[hit]]]
+        out[rows[hit]] = self.codes[k[hit]] + 1
         return out
 
 
-#: shares and rests answer a portion; owner, contexts, given and totals are what a shard has of crowded contexts.
+#: shares and rests answer a portion; owner, contexts, given and totals are what a shard has of crowded contexts, or
+#: contexts that a portion asks an owner for.
 GRAM_ANSWER = "shard long, portion long, shares binary, rests binary, owner long, contexts binary, given binary, totals binary"
 GRAM_FIELDS = [("shard", pa.int64()), ("portion", pa.int64()), ("shares", pa.binary()), ("rests", pa.binary()), ("owner", pa.int64()), ("contexts", pa.binary()), ("given", pa.binary()), ("totals", pa.binary())]
 
@@ -422,7 +474,7 @@ def owner_of(context: np.ndarray, shards: int) -> np.ndarray:
 
 def _by_owner(context: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     owner = owner_of(context, shards)
-    by = np.argsort(owner, kind="stable")
+    by = by_shard(owner, shards)
     cuts = np.searchsorted(owner[by], np.arange(shards + 1))
     return [(k, by[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts)).tolist()]
 
@@ -432,6 +484,9 @@ def _levels_2_3(root: str, shards: int, least: int):
 
     def run(t: pa.Table) -> pa.Table:
         shard, rows = t.column("shard")[0].as_py(), t.drop_columns(["shard"]).to_pylist()
+        if shard >= 2 * shards:  # what portions ask owners of crowded contexts is only passed on
+            out = [(shard, r["portion"], None, None, shard - 2 * shards, r["contexts"], None, None) for r in rows]
+            return pa.table(_binary_rows(GRAM_FIELDS, out).columns, names=[n for n, _ in GRAM_FIELDS])
         contexts = [unpack_rising(r["contexts"]) for r in rows]
         sizes = [unpack(r["sizes"], 4).astype(np.int64) for r in rows]
         kinds, rank = np.unique(np.concatenate(contexts), return_inverse=True)
@@ -449,15 +504,16 @@ def _levels_2_3(root: str, shards: int, least: int):
             # Of crowded contexts, this shard doesn't have all; it keeps numerators.
             logs = np.log((n[seen] - DISCOUNT) / np.where(crowded, 1.0, total)[of[seen]])
             given[have] = np.add.reduceat(Shard.write(root, shard, kinds[have], have_sizes, words[seen], logs), np.cumsum(have_sizes) - have_sizes)
-            found = Shard(root, shard).find(kinds[of], words)
+            mapped = Shard(root, shard)
+            found, values = mapped.find(kinds[of], words), np.concatenate([[0.0], mapped.book])
         else:
-            found = np.zeros(len(key))
+            found, values = np.zeros(len(key), np.int64), np.zeros(1)
         rest = np.floor(np.clip(1.0 - given, 0, 1) * 65_535)
-        shares = found.astype("<f4").view("<u4")[inverse]
+        codes = found[inverse]
         out, a, f = [], 0, 0
         for r, c, s in zip(rows, contexts, sizes, strict=True):
             b, g = a + int(s.sum()), f + len(c)
-            out.append((shard, r["portion"], pack(shares[a:b], 4), pack(rest[rank[f:g]], 2), None, None, None, None))
+            out.append((shard, r["portion"], pack_few(codes[a:b], values), pack(rest[rank[f:g]], 2), None, None, None, None))
             a, f = b, g
         some = np.flatnonzero(crowded & (total > 0))
         first = shards if shard >= shards else 0
@@ -469,23 +525,6 @@ def _levels_2_3(root: str, shards: int, least: int):
     return run
 
 
-def _ask_rests(shards: int, order: int, crowded: int):
-    """Portions to the crowded contexts that they ask for, by owner."""
-    names = [("owner", pa.int64()), ("portion", pa.int64()), ("contexts", pa.binary())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = []
-                for level, asked in enumerate(Portion.of(row, shards, order, crowded).levels):
-                    context = np.unique(asked.context[asked.crowded])
-                    rows += [(k + level * shards, row["portion"], pack_rising(context[i])) for k, i in _by_owner(context, shards)]
-                if rows:
-                    yield _binary_rows(names, rows)
-
-    return run
-
-
 REST_ANSWER = "owner long, portion long, totals binary, rests binary"
 
 
@@ -521,15 +560,16 @@ def _rests(root: str):
 # --- scoring --------------------------------------------------------------------------------------------------
 
 
-def _score(total: int, n_words: int, shards: int, order: int, crowded: int):
+def _score(total: int, n_words: int, to: Layout):
     """Portions with their answers to a row for each text."""
+    shards = to.shards
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def answered(asked: Asked, level: int, row: dict) -> tuple[np.ndarray, np.ndarray]:
         """(share, rest) of each entry."""
         mine = lambda answers, field: sorted((a for a in answers or [] if level * shards <= a[field] < (level + 1) * shards), key=lambda a: a[field])
         got = mine(row["answers"], "shard")
-        share = np.concatenate([np.empty(0), *[unpack(a["shares"], 4).view("<f4").astype(np.float64) for a in got]])
+        share = np.concatenate([np.empty(0), *[unpack_few(a["shares"]) for a in got]])
         left = np.concatenate([np.empty(0), *[unpack(a["rests"], 2) / 65_535.0 for a in got]])
         rest = np.repeat(left, asked.runs()[1])
         if asked.crowded.any():
@@ -548,7 +588,7 @@ def _score(total: int, n_words: int, shards: int, order: int, crowded: int):
         for batch in batches:
             ids = batch.column(batch.schema.names.index("ids"))
             for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
-                p = Portion.of(row, shards, order, crowded)
+                p = Portion.of(row, to)
                 known = p.counts > 0
                 plain = (p.counts + 1.0) / (total + n_words + 1.0)
                 model = plain
@@ -609,14 +649,14 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     scratch.drop("portions", "words")
 
     shards = max(1, -(-total // pairs))
-    asks = named.drop("ids").mapInArrow(_ask_grams(shards, order, crowded), "shard long, portion long, contexts binary, crowded binary, sizes binary, words binary, counts binary")
+    to = Layout(shards, max(1, n_words), order, crowded)
+    asks = named.drop("ids").mapInArrow(_ask_grams(to), GRAM_ASK_SCHEMA)
     answers = scratch.cut(asks.groupBy("shard").applyInArrow(_levels_2_3(root, shards, least), GRAM_ANSWER), "grams")
-    crowds = answers.where("portion is null").select("owner", "portion", "contexts", "given", "totals")
-    asks = named.drop("ids").mapInArrow(_ask_rests(shards, order, crowded), "owner long, portion long, contexts binary")
-    asks = asks.select("owner", "portion", "contexts", F.lit(None).cast("binary").alias("given"), F.lit(None).cast("binary").alias("totals"))
-    rests = scratch.cut(crowds.unionByName(asks).groupBy("owner").applyInArrow(_rests(root), REST_ANSWER), "rests")
+    crowds = answers.where("owner is not null").select("owner", "portion", "contexts", "given", "totals")
+    rests = scratch.cut(crowds.groupBy("owner").applyInArrow(_rests(root), REST_ANSWER), "rests")
+    answers = answers.where("owner is null")
 
     ready = _returned(_returned(named, answers, "answers", "shard", "shares", "rests"), rests, "rests", "owner", "totals", "rests")
-    scored = ready.mapInArrow(_score(total, n_words, shards, order, crowded), f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = ready.mapInArrow(_score(total, n_words, to), f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
