@@ -13,15 +13,19 @@ whatever the hashes do:
    a shard, the shards' suffix arrays need no further merge.
 4. A shard builds the suffix array of its contexts by Larsson-Sadakane refinement, the longest common prefixes
    by Kasai's recurrence, and marks strings that start at two or more places.
-5. An anchor with more bytes of contexts than a task should hold has its strings matched through a global
-   aggregation of their digests instead, without any group in one task.
+5. An anchor with more bytes of contexts than a task should hold is dealt over many shards. Each builds its suffix
+   array as before and passes on one row for each different string of `length` bytes: its digest, and where it starts
+   first and last. These rows are merged across shards by their digests; copies in one shard meet before the merge,
+   so that a passage of a third of all rows is a row for each shard, not for each copy.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -186,32 +190,47 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, key: np.ndarray, chars:
     return (shared[source] + source - i)[order]
 
 
-def repeats(contexts: list[bytes], places: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
-    """For each context the spans in it of strings of `length` bytes that start at two places or more.
+@dataclass
+class Sorted:
+    """The suffix array of contexts: for each suffix in order whether it begins a group of equal first `length` bytes,
+    whether it has so many, the context and the position in it where it starts, and its place in its text."""
+
+    data: bytes
+    order: np.ndarray
+    new: np.ndarray
+    whole: np.ndarray
+    owner: np.ndarray
+    inner: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, contexts: list[bytes], places: list[tuple[int, int]], length: int) -> Sorted:
+        """places: the text and the position in it where each context starts, as contexts may overlap in a text."""
+        sizes = np.array([len(c) for c in contexts])
+        ends = np.cumsum(sizes)
+        joined = b"".join(contexts)
+        data = np.frombuffer(joined, np.uint8)
+        order, key, chars, bits = suffix_array(data, length)
+        new = common_prefixes(data, order, key, chars, bits) < length
+        owner = np.repeat(np.arange(len(contexts)), sizes)
+        inner = np.arange(len(data)) - (ends - sizes)[owner]
+        whole = (sizes[owner] - inner) >= length
+        names = {t: k for k, t in enumerate(dict.fromkeys(t for t, _ in places))}
+        start = np.array([(names[t] << 40) + p for t, p in places], np.int64)
+        return cls(joined, order, new, whole[order], owner[order], inner[order], (start[owner] + inner)[order])
 
-    places: the text and the position in it where each context starts, as contexts may overlap in a text.
-    """
-    sizes = np.array([len(c) for c in contexts])
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    order, key, chars, bits = suffix_array(data, length)
-    new = common_prefixes(data, order, key, chars, bits) < length
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    inner = np.arange(len(data)) - (ends - sizes)[owner]
-    whole = (sizes[owner] - inner) >= length
-    names = {t: k for k, t in enumerate(dict.fromkeys(t for t, _ in places))}
-    start = np.array([(names[t] << 40) + p for t, p in places], np.int64)
-    place = (start[owner] + inner)[order]
-    ok = whole[order]
-    heads = np.flatnonzero(new)
-    low = np.minimum.reduceat(np.where(ok, place, np.iinfo(np.int64).max), heads)
-    high = np.maximum.reduceat(np.where(ok, place, -1), heads)
-    twice = (low < high)[np.cumsum(new) - 1] & ok
-    hit = np.zeros(len(data), bool)
-    hit[order[twice]] = True
+
+def repeats(contexts: list[bytes], places: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
+    """For each context the spans in it of strings of `length` bytes that start at two places or more."""
+    s = Sorted.of(contexts, places, length)
+    heads = np.flatnonzero(s.new)
+    low = np.minimum.reduceat(np.where(s.whole, s.place, np.iinfo(np.int64).max), heads)
+    high = np.maximum.reduceat(np.where(s.whole, s.place, -1), heads)
+    twice = np.flatnonzero((low < high)[np.cumsum(s.new) - 1] & s.whole)
+    by = np.lexsort((s.inner[twice], s.owner[twice]))
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    for at in np.flatnonzero(hit).tolist():
-        spans, x = out[owner[at]], int(inner[at])
+    for k, x in zip(s.owner[twice][by].tolist(), s.inner[twice][by].tolist(), strict=True):
+        spans = out[k]
         if spans and x <= spans[-1][1]:
             spans[-1] = (spans[-1][0], x + length)
         else:
@@ -275,38 +294,63 @@ def _shard(length: int, block: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held = 0
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held >= block and row[0] != rows[-1][0]:
-                    yield answer(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[5])
-        if rows:
+        for rows in _portions(batches, block, True):
             yield answer(rows)
 
     return run
 
 
-def _gram_rows(length: int):
-    """Digests of all strings in a context, for anchors with very many contexts."""
-    schema = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("tid", pa.int64()), ("start", pa.int64()), ("at", pa.int32())])
+def _portions(batches: Iterator[pa.RecordBatch], block: int, whole_anchors: bool) -> Iterator[list[tuple]]:
+    """Rows of contexts, sorted by anchor, in portions of about `block` bytes; with whole_anchors, none splits an anchor."""
+    rows: list[tuple] = []
+    held = 0
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held >= block and not (whole_anchors and row[0] == rows[-1][0]):
+                yield rows
+                rows, held = [], 0
+            rows.append(row)
+            held += len(row[5])
+    if rows:
+        yield rows
+
+
+MEMBER = pa.struct([("c", pa.int32()), ("at", pa.int32())])
+KEY = pa.struct([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+GRAM_SCHEMA = "shard string, keys array<struct<h:long,c1:long,c2:long>>, g1 long, g2 long, t1 long, p1 long, t2 long, p2 long, members array<struct<c:int,at:int>>"
+
+
+def _gram_rows(length: int, block: int):
+    """Contexts of crowded anchors to rows for their different strings: the digest, the least and the greatest place (text
+    and position), and members (context, position in it). A shard has one more row, with the keys of its contexts."""
+    names = ["shard", "keys", "g1", "g2", "t1", "p1", "t2", "p2", "members"]
+    types = [pa.string(), pa.list_(KEY), *[pa.int64()] * 6, pa.list_(MEMBER)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c1, c2, tid, start, context in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                n = len(context) - length + 1
-                grams = [_digest(context[j : j + length]) for j in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([g for g, _ in grams], pa.int64()), pa.array([g for _, g in grams], pa.int64())]
-                    + [pa.array([x] * n, pa.int64()) for x in (h, c1, c2, tid, start)]
-                    + [pa.array(range(n), pa.int32())],
-                    schema=schema,
-                )
+        for rows in _portions(batches, block, False):
+            shard = uuid.uuid4().hex
+            s = Sorted.of([r[5] for r in rows], [(r[3], r[4]) for r in rows], length)
+            # Only strings of whole length; those of one group are side by side.
+            at = np.flatnonzero(s.whole)
+            group = (np.cumsum(s.new) - 1)[at]
+            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(at) else at
+            tids = np.array([r[3] for r in rows], np.int64)[s.owner[at]]
+            starts = np.array([r[4] for r in rows], np.int64)[s.owner[at]] + s.inner[at]
+            by = np.lexsort((starts, tids, group))
+            ends = np.concatenate([heads[1:], [len(at)]]) - 1 if len(at) else at
+            first, last = by[heads], by[ends]
+            sums = [_digest(s.data[p : p + length]) for p in s.order[at[heads]].tolist()]
+            members = pa.StructArray.from_arrays([pa.array(s.owner[at].astype(np.int32)), pa.array(s.inner[at].astype(np.int32))], fields=list(MEMBER))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([shard], [[{"h": r[0], "c1": r[1], "c2": r[2]} for r in rows]], *[[None]] * 7), types, strict=True)], names=names)
+            for a in range(0, len(heads), 4096):
+                b = min(a + 4096, len(heads))
+                upto = int(heads[b]) if b < len(heads) else len(at)
+                offsets = pa.array(np.concatenate([heads[a:b], [upto]]).astype(np.int32) - np.int32(heads[a]))
+                part = [pa.array([shard] * (b - a)), pa.nulls(b - a, types[1]), pa.array([g for g, _ in sums[a:b]], pa.int64()), pa.array([g for _, g in sums[a:b]], pa.int64())]
+                part += [pa.array(x) for x in (tids[first[a:b]], starts[first[a:b]], tids[last[a:b]], starts[last[a:b]])]
+                yield pa.RecordBatch.from_arrays([*part, pa.ListArray.from_arrays(offsets, members.slice(int(heads[a]), upto - int(heads[a])))], schema=pa.schema(list(zip(names, types, strict=True))))
 
-    return run, "g1 long, g2 long, h long, c1 long, c2 long, tid long, start long, at int"
+    return run
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -383,11 +427,13 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 400
     crowded = wanted.where(F.col("bytes") > hot).select("h").distinct()
     few = bytes_of.join(crowded, "h", "left_anti").repartitionByRange("h").sortWithinPartitions("h").select(*same, "tid", "start", "context")
     few = few.mapInArrow(_shard(length, block), SPAN_SCHEMA)
-    run, schema = _gram_rows(length)
-    grams = bytes_of.join(crowded, "h", "left_semi").select(*same, "tid", "start", "context").mapInArrow(run, schema)
-    place = F.struct("tid", (F.col("start") + F.col("at")).alias("p"))
-    twice = grams.groupBy("g1", "g2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("g1", "g2")
-    many = grams.join(twice, ["g1", "g2"], "left_semi").groupBy(*same).agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b"))).alias("spans"))
+    dealt = bytes_of.join(crowded, "h", "left_semi").repartitionByRange("h", "c1").sortWithinPartitions("h", "c1").select(*same, "tid", "start", "context")
+    grams = scratch.cut(dealt.mapInArrow(_gram_rows(length, block), GRAM_SCHEMA), "grams")
+    strings = grams.where("keys is null")
+    twice = strings.groupBy("g1", "g2").agg(F.min(F.struct("t1", "p1")).alias("low"), F.max(F.struct("t2", "p2")).alias("high")).where("low < high").select("g1", "g2")
+    hit = strings.join(twice, ["g1", "g2"], "left_semi").select("shard", F.explode("members").alias("m")).groupBy("shard", "m.c").agg(F.collect_list("m.at").alias("at"))
+    keyed_by = grams.where("keys is not null").select("shard", F.posexplode("keys").alias("c", "key"))
+    many = hit.join(keyed_by, ["shard", "c"]).select("key.*", F.transform("at", lambda a: F.struct(a.alias("a"), (a + length).alias("b"))).alias("spans"))
     many = many.select(*same, "spans").mapInArrow(_merged_rows, SPAN_SCHEMA)
     spans = scratch.cut(plain.unionByName(few).unionByName(many), "spans")
 
