@@ -313,7 +313,7 @@ def test_quality(spark):
     assert all(rows[i].kept for i in range(150)) and not any(rows[i].kept for i in range(150, len(texts)))
 
 
-@pytest.mark.parametrize(("hot", "block"), [(10**9, 900_000), (0, 900_000), (0, 3_000)], ids=["ranges", "crowded", "crowded shards"])
+@pytest.mark.parametrize(("hot", "block"), [(10**9, 5_000), (0, 900_000), (0, 3_000)], ids=["ranges", "crowded", "crowded shards"])
 def test_suffix_dedup(spark, hot, block):
     rows = corpus(12, 45)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("SHA", F.lit(1))
@@ -329,7 +329,7 @@ def test_suffix_dedup(spark, hot, block):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want[i, len(b), int(gone.sum()), spans, kept] += 1
-    left, kept = suffix_dedup.remove_repeats(docs, length=length, block=5000, hot=hot, block=block)
+    left, kept = suffix_dedup.remove_repeats(docs, length=length, hot=hot, block=block)
     got = collections.Counter()
     texts = dict(rows)
     for r in left.join(kept.withColumnRenamed("sha", "of"), F.col("__mr_sha") == F.col("of"), "left").collect():
