@@ -8,9 +8,10 @@ tells article blocks from boilerplate.
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,6 @@ ARTICLE_WORDS = frozenset("article articlebody content entry entrycontent main m
 BOILERPLATE_ROLES = frozenset("banner navigation complementary contentinfo search form dialog alert menu menubar toolbar".split())
 
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-PLAIN = HEADINGS | {"p", "li", "dt", "dd", "hr"}
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 MARKING = re.compile("class|id|role|style|hidden", re.IGNORECASE)
@@ -51,8 +51,10 @@ OPEN_QUOTE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
 WORD = re.compile(r"[a-zA-Z]+")
 FEATURES = (
     "words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density",
-    "in_boilerplate", "in_article", "page_has_article", "container_words", "container_link_density", "heading",
+    "near_words", "near_link_density", "in_boilerplate", "in_article", "page_has_article", "heading",
 )
+#: Blocks on either side that count as near.
+NEAR = 3
 
 
 @dataclass
@@ -63,7 +65,6 @@ class Block:
     boilerplate: bool
     article: bool
     heading: bool
-    container: int
 
 
 @dataclass
@@ -71,8 +72,6 @@ class _Element:
     name: str
     boilerplate: bool
     article: bool
-    container: int
-    extra: dict = field(default_factory=dict)
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -116,10 +115,10 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool]:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; linear in its length. Broken markup is read as browsers do, roughly."""
     out: list[Block] = []
-    stack: list[_Element] = [_Element("#root", False, False, 0)]
+    stack: list[_Element] = [_Element("#root", False, False)]
     open_names: dict[str, int] = {}
     pieces: list[tuple[str, bool]] = []
-    links, containers = 0, 0
+    links = 0
 
     def flush() -> None:
         if not pieces:
@@ -129,7 +128,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             linked = sum([len(p.split()) for p, in_link in pieces if in_link])
             n, top = len(parts), stack[-1]
-            out.append(Block(" ".join(parts), n, min(1.0, linked / n), top.boilerplate, top.article, any([e.name in HEADINGS for e in stack[-3:]]), top.container))
+            out.append(Block(" ".join(parts), n, min(1.0, linked / n), top.boilerplate, top.article, any([e.name in HEADINGS for e in stack[-3:]])))
         pieces.clear()
 
     def pop_to(k: int) -> None:
@@ -204,35 +203,32 @@ def blocks(page: str) -> list[Block]:
         if name in ("header", "footer", "form", "body", "html", "main", "article"):
             # The head of an article holds its title; whole-page elements may have any class.
             boilerplate = boilerplate and not (name == "header" and top.article) and name not in ("body", "html", "main", "article")
-        if name in BLOCK and name not in PLAIN:
-            containers += 1
-            box = containers
-        else:
-            box = top.container
         links += name == "a"
         open_names[name] = open_names.get(name, 0) + 1
-        stack.append(_Element(name, top.boilerplate or boilerplate, top.article or article, box))
+        stack.append(_Element(name, top.boilerplate or boilerplate, top.article or article))
     flush()
     return out
 
 
 def block_features(found: list[Block]) -> list[tuple[float, ...]]:
-    """The FEATURES of each block of a page."""
+    """The FEATURES of each block of a page; near_words counts the words outside links of the NEAR blocks on either side."""
     has = float(any(b.article and not b.boilerplate for b in found))
-    total: dict[int, list[float]] = {}
+    words, linked = [0.0], [0.0]
     for b in found:
-        t = total.setdefault(b.container, [0.0, 0.0])
-        t[0] += b.words
-        t[1] += b.words * b.link_density
+        words.append(words[-1] + b.words)
+        linked.append(linked[-1] + b.words * b.link_density)
     out = []
     for i, b in enumerate(found):
         p, q = (found[i - 1] if i else None), (found[i + 1] if i + 1 < len(found) else None)
-        w, linked = total[b.container]
-        out.append((float(b.words), b.link_density, float(p.words if p else 0), p.link_density if p else 0.0, float(q.words if q else 0), q.link_density if q else 0.0, float(b.boilerplate), float(b.article), has, w, linked / w, float(b.heading)))
+        low, high = max(0, i - NEAR), min(len(found), i + NEAR + 1)
+        w = words[high] - words[low] - b.words
+        in_links = linked[high] - linked[low] - b.words * b.link_density
+        sides = (float(p.words if p else 0), p.link_density if p else 0.0, float(q.words if q else 0), q.link_density if q else 0.0)
+        out.append((float(b.words), b.link_density, *sides, max(0.0, w - in_links), in_links / w if w else 0.0, float(b.boilerplate), float(b.article), has, float(b.heading)))
     return out
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8, least: int = 1):
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 12, least: int = 2):
     """A CART tree by Gini impurity: (feature, threshold, below, above), or True or False at a leaf."""
     share = labels.mean() if len(labels) else 0.0
     if depth == 0 or share in (0.0, 1.0) or len(labels) < 2 * least:
@@ -264,43 +260,104 @@ def decide(tree, row: tuple[float, ...]) -> bool:
     return tree
 
 
-def labelled_pages() -> list[tuple[str, list[bool]]]:
-    """Small invented pages, with a label for each of their blocks: whether it is the article's.
+def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, list[bool]]]:
+    """`n` invented pages, with a label for each of their blocks: whether it is the article's.
 
-    They vary the layout (with and without an article element, with menus, forms, comments, sidebars, notices)
-    and the lengths of paragraphs, as short ones are as much of an article as long ones.
+    A third says by tags, roles or class names what is what. A third has no such mark at all, only divisions and
+    tables, so that words, link densities and those of the neighbours must do. In the last third a mark misleads:
+    a list of links stands inside what is marked as the article, or whole pages are marked as the main content.
+    Articles have headings, short and long paragraphs, and links inside paragraphs.
     """
-    word = lambda n, k=0: " ".join(f"w{(i * 7 + k) % 23}" for i in range(n))
-    link = lambda n, k=0: f'<a href="/x{k}">{word(n, k)}</a>'
+    rng = random.Random(seed)
+    word = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    link = lambda n: f'<a href="/{rng.randrange(99)}">{word(n)}</a>'
+
+    def menu(least: int = 3) -> tuple[str, int]:
+        k, form = rng.randint(least, 8), rng.randrange(3)
+        items = [link(rng.randint(1, 4)) for _ in range(k)]
+        if form == 0:
+            return f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>", k
+        if form == 1:
+            return f"<table><tr>{''.join(f'<td>{x}</td>' for x in items)}</tr></table>", k
+        return f"<div>{' | '.join(items)}</div>", 1
+
+    def article() -> tuple[str, int]:
+        out = [rng.choice(("<h1>{}</h1>", "<h2>{}</h2>", "<div><h1>{}</h1></div>")).format(word(rng.randint(1, 10)))]
+        sizes = [rng.choice((rng.randint(20, 140), rng.randint(20, 140), rng.randint(5, 20), rng.randint(1, 4))) for _ in range(rng.choice((1, 1, 2, 2, 3, 4, 5, 6, 7, 8)))]
+        if sum(sizes) < 50:
+            sizes.insert(rng.randrange(len(sizes) + 1), rng.randint(50, 160))
+        for s in sizes:
+            inner = word(s)
+            if s > 12 and rng.random() < 0.3:
+                inner = f"{word(s // 2)} {link(rng.randint(1, 3))} {word(s - s // 2)}"
+            out.append(rng.choice(("<p>{}</p>", "<p>{}", "<div>{}</div>", "<blockquote>{}</blockquote>") if s > 4 else ("<p>{}</p>", "<p>{}")).format(inner))
+            if out[-1].startswith("<p>") and rng.random() < 0.1:
+                out.append(f"<h3>{word(rng.randint(1, 5))}</h3>")
+        return "".join(out), len(out)
+
+    def aside() -> tuple[str, int]:
+        """Boilerplate that says so."""
+        form = rng.randrange(7)
+        text = word(rng.randint(2, 160))
+        if form == 0:
+            m, k = menu()
+            return f"<nav>{m}</nav>", k
+        if form == 1:
+            return f"<footer><p>{text}</p></footer>", 1
+        if form == 2:
+            m, k = menu()
+            return f"<aside><p>{text}</p>{m}</aside>", k + 1
+        if form == 3:
+            return f"<form><p>{text}</p><p>{word(3)}</p></form>", 2
+        if form == 4:
+            return f"<header><p>{text}</p></header>", 1
+        name = rng.choice(("ad", "sidebar", "cookie-notice", "promo box", "comment-list", "comments", "related", "newsletter signup", "share-buttons"))
+        return f"<div class='{name}'><p>{text}</p><p>{word(rng.randint(1, 40))}</p></div>", 2
+
+    def stub() -> tuple[str, int]:
+        """A line of boilerplate without a mark: a site's name, a date, a copyright."""
+        inner = rng.choice((word(rng.randint(1, 8)), f"{word(rng.randint(1, 4))} {link(rng.randint(1, 3))}", link(rng.randint(1, 5))))
+        return f"<div>{inner}</div>", 1
+
     out = []
-    for v, sizes in enumerate([(60, 45, 80), (3, 70, 12, 55), (120, 1, 2, 90), (25, 30, 1), (8, 4, 2), (200, 150, 3, 1, 40), (1,), (35, 2, 2, 2, 60)]):
-        paragraphs = "".join(f"<p>{word(s, v)}</p>" for s in sizes)
-        inline = "".join(f"<p>{word(s, v)} {link(1, v)}</p>" if s > 20 else f"<p>{word(s, v)}</p>" for s in sizes)
-        kept = [True] * (len(sizes) + 1)
-        menu = f"<ul>{''.join(f'<li>{link(1 + i % 2, i)}</li>' for i in range(4))}</ul>"
-        # Marked-up pages.
-        for body in (paragraphs, inline):
-            article = f"<article><h1>{word(6, v)}</h1>{body}</article>"
-            out.append((f"<body><nav>{menu}</nav><div class='ad'>{word(9, v)}</div>{article}<footer>{word(12, v)}</footer></body>", [False] * 5 + kept + [False]))
-            out.append((f"<header><p>{word(30, v)}</p></header>{article}<aside><p>{word(40, v)}</p>{menu}</aside>", [False] + kept + [False] * 5))
-            out.append((f"<main><h1>{word(5, v)}</h1>{body}<div class='comments'><p>{word(45, v)}</p><p>{word(3, v)}</p></div></main><form><p>{word(20, v)}</p></form>", kept + [False] * 3))
-            out.append((f"<div>{word(25, v)}</div>{article}<div>{word(4, v)} {link(3)}</div><p>{word(40, v)}</p>", [False] + kept + [False, False]))
-            out.append((f"<article><h1>{word(4, v)}</h1>{body}<aside class='notice'>{word(30, v)}</aside></article><section>{word(60)}</section>", kept + [False, False]))
-            out.append((f"<section><p>{word(150, v)}</p><p>{word(90, v)}</p></section>{article}<div>{word(220, v)}</div><p>{word(3)}</p>", [False] * 2 + kept + [False] * 2))
-            out.append((f"<article><h2>{word(4, v)}</h2>{body}<div class='related'><h3>{word(2)}</h3><p>{word(150, v)}</p>{menu}</div></article>", kept + [False] * 6))
-        # Pages without any such mark: words, link density, and the neighbours' must do.
-        if sum(sizes) > 100:
-            out.append((f"<div>{menu}</div><div><h2>{word(6, v)}</h2>{inline}</div><div>{word(7, v)} {link(3)}</div>", [False] * 4 + kept + [False]))
-            out.append((f"<table><tr><td>{link(2)}</td><td>{link(1, 3)}</td></tr></table><div><h1>{word(7, v)}</h1>{paragraphs}</div><div>{link(4)}</div><div>{word(5)}</div>", [False] * 2 + kept + [False] * 2))
-        for cls in ("sidebar", "cookie-notice", "promo box", "comment-list"):
-            out.append((f"<div class='{cls}'><p>{word(sizes[0] + 30, v)}</p></div><div><h1>{word(6)}</h1><p>{word(90, v)}</p><p>{word(2)}</p><p>{word(70)}</p></div>", [False, True, True, True, True]))
+    for k in range(n):
+        parts: list[tuple[str, list[bool]]] = []
+        add = lambda made, label: parts.append((made[0], [label] * made[1]))  # noqa: B023, E731
+        if k % 3 == 0:
+            for _ in range(rng.randint(0, 3)):
+                add(aside() if rng.random() < 0.7 else stub(), False)
+            inner, count = article()
+            labels = [True] * count
+            if rng.random() < 0.5:
+                more, extra = aside()
+                if not more.startswith("<header"):
+                    inner, labels = inner + "</p>" + more, labels + [False] * extra
+            open_tag, close_tag = rng.choice((("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-content'>", "</div>"), ("<div role='main'>", "</div>"), ("<div id='content'>", "</div>")))
+            parts.append((open_tag + inner + close_tag, labels))
+            for _ in range(rng.randint(0, 3)):
+                add(aside() if rng.random() < 0.7 else stub(), False)
+        else:
+            whole = k % 3 == 2 and k % 2 == 0
+            for _ in range(rng.randint(1, 3)):
+                add(menu() if rng.random() < 0.6 else stub(), False)
+            made = article()
+            if k % 3 == 2 and not whole:
+                links, count = menu(4)
+                parts.append((f"<article>{made[0]}</p><ul>{links}</ul></article>", [True] * made[1] + [False] * count))
+            else:
+                parts.append((f"<div>{made[0]}</div>", [True] * made[1]))
+            for _ in range(rng.randint(1, 3)):
+                add(menu() if rng.random() < 0.6 else stub(), False)
+            if whole:
+                parts = [("<div id='content'>" + "".join(p for p, _ in parts) + "</div>", [x for _, labels in parts for x in labels])]
+        out.append(("<body>" + "".join(p for p, _ in parts) + "</body>", [x for _, labels in parts for x in labels]))
     return out
 
 
-def labelled_table() -> list[tuple[tuple[float, ...], bool]]:
-    """(features, label) of every block of labelled_pages()."""
+def labelled_table(n: int = 600, seed: int = 7) -> list[tuple[tuple[float, ...], bool]]:
+    """(features, label) of every block of labelled_pages(n, seed)."""
     out = []
-    for page, labels in labelled_pages():
+    for page, labels in labelled_pages(n, seed):
         found = blocks(page)
         if len(found) != len(labels):
             raise ValueError(f"{len(labels)} labels for {len(found)} blocks: {page}")
@@ -327,15 +384,17 @@ def extract(pages: DataFrame, *, html_col: str = "html", table: list[tuple[tuple
     """
     tree = train(table)
     rest = [c for c in without(pages, "text", "n_chars", html_col).columns]
-    given = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(html_col).alias("__mr_html"))
+    # Plain names on the way, as mapInArrow can't resolve names with dots.
+    plain = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]
+    given = pages.select(*plain, F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py(), tree) for x in batch.column(len(rest))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(rest))] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=[*rest, "text", "n_chars"],
+                names=[*[f"c{i}" for i in range(len(rest))], "text", "n_chars"],
             )
 
-    schema = pages.select(*[F.col(f"`{c}`") for c in rest], F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
-    return given.mapInArrow(run, schema)
+    schema = pages.select(*plain, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    return given.mapInArrow(run, schema).toDF(*rest, "text", "n_chars")

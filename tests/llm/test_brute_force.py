@@ -110,7 +110,6 @@ def test_sharding(spark, docs):
 
 def test_html():
     tree = html_text.train()
-    assert all(html_text.decide(tree, r) == y for r, y in html_text.labelled_table())
     page = (
         "<html><head><title>t</title><style>p{}</style><script>x='<p>no</p>'</script></head><body><header><p>site head</p></header><nav><a href='/'>home</a></nav>"
         "<article><header><h1>Title &amp; more</h1></header><p>First <b>bold</b>er&nbsp;text\n here<p>Hi.<!-- <p>gone</p> --><aside>side note</aside>"
@@ -124,6 +123,48 @@ def test_html():
         html_text.main_text(odd, tree)
 
 
+def test_html_tree_uses_neighbours_and_holds_on_unseen_pages():
+    tree = html_text.train()
+    used = set()
+
+    def walk(t):
+        if not isinstance(t, bool):
+            used.add(html_text.FEATURES[t[0]])
+            walk(t[2])
+            walk(t[3])
+
+    walk(tree)
+    assert {"words", "link_density", "previous_words", "next_words", "previous_link_density", "next_link_density"} <= used
+    for seed in (101, 102, 103):
+        table = html_text.labelled_table(150, seed)
+        assert sum(html_text.decide(tree, r) == y for r, y in table) >= 0.985 * len(table)
+        # Without any mark, where only words and links of blocks and neighbours tell.
+        plain = [(r, y) for r, y in table if not r[html_text.FEATURES.index("page_has_article")] and not r[html_text.FEATURES.index("in_boilerplate")]]
+        assert len(plain) > 300 and sum(html_text.decide(tree, r) == y for r, y in plain) >= 0.97 * len(plain)
+
+
+def test_html_features_match_their_definition():
+    for page, _ in html_text.labelled_pages(40, 5):
+        found = html_text.blocks(page)
+        for i, (b, row) in enumerate(zip(found, html_text.block_features(found), strict=True)):
+            near = [o for j, o in enumerate(found) if j != i and abs(j - i) <= html_text.NEAR]
+            words, linked = sum(o.words for o in near), sum(o.words * o.link_density for o in near)
+            p, q = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
+            want = (b.words, b.link_density, p.words if p else 0, p.link_density if p else 0, q.words if q else 0, q.link_density if q else 0, words - linked, linked / words if words else 0)
+            assert row[:8] == pytest.approx(want)
+
+
+def test_html_of_given_pages_is_their_article(spark):
+    rows = html_text.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("a.b", F.lit(1)).withColumn("raw", F.col("html"))).collect()
+    assert rows and {"a.b", "raw"} <= set(rows[0].asDict())
+    for r in rows:
+        page = r.raw or ""
+        if "</article>" in page:
+            article = page[page.index("<article>") : page.index("</article>")]
+            assert r.text == "\n".join(b.text for b in html_text.blocks(article)) and r.n_chars == len(r.text)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>x</p></article>", "t", 9), (2, None, None, "t", 9), (1, "u", "<article><p>x</p></article>", "t", 9)], "page_id long, url string, html string, TEXT string, other int")
     rows = sorted((r.page_id, r.text, r.n_chars, r.other) for r in html_text.extract(pages).collect())
