@@ -263,7 +263,7 @@ def decide(tree, row: tuple[float, ...]) -> bool:
 def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, list[bool]]]:
     """`n` invented pages, with a label for each of their blocks: whether it is the article's.
 
-    A third says by tags, roles or class names what is what. A third has no such mark at all, only divisions and
+    A third says by tags, roles or class names what is what; some articles there have few words. A third has no such mark at all, only divisions and
     tables, so that words, link densities and those of the neighbours must do. In the last third a mark misleads:
     a list of links stands inside what is marked as the article, or whole pages are marked as the main content.
     Articles have headings, short and long paragraphs, and links inside paragraphs.
@@ -295,6 +295,11 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, list[bool]]]:
                 out.append(f"<h3>{word(rng.randint(1, 5))}</h3>")
         return "".join(out), len(out)
 
+    def brief() -> tuple[str, int]:
+        """An article of few words, which only marks can tell from boilerplate."""
+        k = rng.randint(1, 3)
+        return "".join(f"<p>{word(rng.randint(1, 9))}</p>" for _ in range(k)), k
+
     def aside() -> tuple[str, int]:
         """Boilerplate that says so."""
         form = rng.randrange(7)
@@ -326,7 +331,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, list[bool]]]:
         if k % 3 == 0:
             for _ in range(rng.randint(0, 3)):
                 add(aside() if rng.random() < 0.7 else stub(), False)
-            inner, count = article()
+            inner, count = article() if rng.random() < 0.6 else brief()
             labels = [True] * count
             if rng.random() < 0.5:
                 more, extra = aside()
@@ -337,7 +342,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, list[bool]]]:
             for _ in range(rng.randint(0, 3)):
                 add(aside() if rng.random() < 0.7 else stub(), False)
         else:
-            whole = k % 3 == 2 and k % 2 == 0
+            whole = k % 12 == 2
             for _ in range(rng.randint(1, 3)):
                 add(menu() if rng.random() < 0.6 else stub(), False)
             made = article()
