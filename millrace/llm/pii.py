@@ -40,8 +40,9 @@ LOOKS = (
     r"^\+?\(?[0-9](?:[\x20()._/-]{0,3}[0-9]){9,14}$",
 )
 SPAN = "array<struct<s:int,k:int,e:int,m:string,l:string>>"
-#: Code points before a match in which its two context words are looked for, and matches in one step of a sum.
-BEFORE, STEP = 64, 256
+#: Code points before a match that its context, the last two words, is read from: a feature of fixed size, as words may
+#: be glued to each other without end. And matches in one step of a sum.
+BEFORE, STEP = 256, 256
 
 
 def _let(value: Column, body) -> Column:
@@ -50,43 +51,50 @@ def _let(value: Column, body) -> Column:
 
 
 def _found(text: Column, pattern: str, kind: int) -> Column:
-    """Leftmost matches that don't overlap: start, kind, end, the match, and what stands before it.
+    """Leftmost matches that don't overlap: start, kind, end, the match, and the BEFORE code points before it.
 
-    The pieces between matches and the matches together are the text, so lengths add up to positions, and their
-    ends to the BEFORE code points before a match. Sums run in steps, each from its own offset, as arrays that grow
-    are copied.
+    The pieces between matches and the matches together are the text, so lengths add up to positions. Sums run in
+    steps, each from its own offset, as arrays that grow are copied; a step's width and its end are computed once.
     """
     both = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
     def positions(z: Column) -> Column:
         n = F.size(z["m"])
-        end = lambda *x: F.right(F.concat(*[F.right(c, F.lit(BEFORE)) for c in x]), F.lit(BEFORE))
-        width = lambda i: F.length(F.get(z["p"], i)) + F.length(F.get(z["m"], i))
+        piece = lambda i: F.concat(F.get(z["p"], i), F.get(z["m"], i))
+        within = lambda c: F.sequence(c * STEP, F.least(n, c * STEP + STEP) - 1)
+        steps = F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int"))
+        one = lambda c: _let(F.array_join(F.transform(within(c), piece), ""), lambda t: F.struct(F.length(t).alias("width"), _end(t).alias("tail")))
 
-        def step(c: Column) -> Column:
-            first = c * STEP
-            offset = F.when(c > 0, F.aggregate(F.sequence(F.lit(0), first - 1), F.lit(0), lambda a, i: a + width(i))).otherwise(F.lit(0))
+        def ahead(a: Column, s: Column) -> Column:
+            now = F.struct((a["at"] + s["width"]).alias("at"), _end(F.concat(a["tail"], s["tail"])).alias("tail"))
+            return F.struct(now["at"].alias("at"), now["tail"].alias("tail"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), a["tail"].alias("tail")))).alias("out"))
 
-            # Each piece with its match has a code point at least, so BEFORE of them reach back far enough.
-            back = F.sequence(F.greatest(F.lit(0), first - BEFORE), first - 1)
-            tail = F.when(c > 0, F.aggregate(back, F.lit(""), lambda a, i: end(a, F.get(z["p"], i), F.get(z["m"], i)))).otherwise(F.lit(""))
+        none = F.array().cast("array<struct<at:int,tail:string>>")
+        origin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
+        # Where each step starts; with one step, that is the origin.
+        origins = F.when(n > STEP, F.aggregate(F.transform(steps, one), origin, ahead, lambda a: a["out"])).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))))
 
+        def step(c: Column, first: Column) -> Column:
             def add(a: Column, i: Column) -> Column:
-                left = end(a["tail"], F.get(z["p"], i))
+                left = _end(F.concat(a["tail"], F.get(z["p"], i)))
                 s = a["at"] + F.length(F.get(z["p"], i))
                 e = s + F.length(F.get(z["m"], i))
-                one = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.get(z["m"], i).alias("m"), left.alias("l"))
-                return F.struct(e.alias("at"), end(left, F.get(z["m"], i)).alias("tail"), F.concat(a["out"], F.array(one)).alias("out"))
+                found = lambda x: F.struct(e.alias("at"), _end(F.concat(x, F.get(z["m"], i))).alias("tail"), F.concat(a["out"], F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.get(z["m"], i).alias("m"), x.alias("l")))).alias("out"))
+                return _let(left, found)
 
-            start = F.struct(offset.alias("at"), tail.alias("tail"), F.array().cast(SPAN).alias("out"))
-            return F.aggregate(F.sequence(first, F.least(n, first + STEP) - 1), start, add, lambda a: a["out"])
+            start = F.struct(first["at"].alias("at"), first["tail"].alias("tail"), F.array().cast(SPAN).alias("out"))
+            return F.aggregate(within(c), start, add, lambda a: a["out"])
 
-        steps = F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int"))
-        return F.when(n > 0, F.flatten(F.transform(steps, step))).otherwise(F.array().cast(SPAN))
+        stepped = _let(origins, lambda o: F.flatten(F.transform(steps, lambda c: step(c, F.get(o, c)))))
+        return F.when(n > 0, stepped).otherwise(F.array().cast(SPAN))
 
     return _let(both, positions)
 
 
+def _end(text: Column) -> Column:
+    return F.right(text, F.lit(BEFORE))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -130,7 +138,7 @@ def _candidates(text: Column, base: Column) -> Column:
         look = F.lit(-1)
         for k in reversed(range(len(LOOKS))):
             look = F.when(F.rlike(core, F.lit(LOOKS[k])), F.lit(k)).otherwise(look)
-        return F.struct(s.alias("s"), look.alias("k"), (s + F.length(core)).alias("e"), core.alias("m"), F.right(F.concat(x["l"], F.left(x["m"], s - x["s"])), F.lit(BEFORE)).alias("l"))
+        return F.struct(s.alias("s"), look.alias("k"), (s + F.length(core)).alias("e"), core.alias("m"), _end(F.concat(x["l"], F.left(x["m"], s - x["s"]))).alias("l"))
 
     def free(pattern: str, needs: str) -> Column:
         found = F.filter(F.transform(_found(text, pattern, -1), bare), lambda x: (x["k"] >= 0) & ~touches(x, base))

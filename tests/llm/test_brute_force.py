@@ -438,6 +438,73 @@ def test_language_model_of_triples_seen_once(spark, sizes):
         assert got[i] == pytest.approx(want, abs=0.02 * len(w) + 1e-9)
 
 
+BASE = (
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+)
+
+
+def base_spans(t):
+    """The contract's base matches, by plain matchers."""
+    out = []
+    for k, (name, pattern) in enumerate(BASE):
+        for m in pattern.finditer(t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+            if name == "email" or (name == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (name == "card" and 14 <= len(d) <= 19 and luhn) or (name == "phone" and 10 <= len(d) <= 15):
+                out.append((m.start(), k, m.end()))
+    return ",".join(f"{BASE[k][0]}:{s}:{e}" for s, k, e in sorted(out))
+
+
+def test_pii_base_matches_plain_matchers(spark):
+    rng = random.Random(4)
+    bits = ["a@b.co", "@", ".", "1.2.3.4", "256.1.1.1", "+1 (201) 555-0199", "4111 1111 1111 1111", "4111-1111-1111-1112", "é", " ", "-", "+", "x", "7", "00", "\n", "j.d@x-y.org.uk", "(", ")", "9807915762804490"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["1.2.3.4," * 700, "1.2.3.4 " * 700, "4111111111111111 a@b.co\n" * 300, None, ""]
+    got = {r.doc_id: r.s for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), carry_text=False).select("doc_id", pii.listed("base_spans").alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == [base_spans(t) for t in texts]
+
+
+def test_pii_graph_matches_plain_scores(spark):
+    rng = random.Random(6)
+    rows = []
+    for rid in range(80):
+        items = {kind: [(10 * i, rng.randrange(2), 10 * i + 5, f"v{rng.randrange(30)}{'s' if kind else 'c'}" if rng.random() < 0.8 else f"v{rng.randrange(9)}", f"p{rng.randrange(6)} q{rng.randrange(3)}") for i in range(rng.randint(0, 4))] for kind in (1, 0)}
+        rows.append((rid, items[1], items[0]))
+    schema = "rid long, base array<struct<s:int,k:int,e:int,m:string,l:string>>, candidates array<struct<s:int,k:int,e:int,m:string,l:string>>"
+    from millrace.session import Scratch
+
+    got = {r.rid: sorted(map(tuple, r.extra)) for r in pii.discovered(spark.createDataFrame(rows, schema), Scratch(spark, "graph"), confidence=0.5).collect()}
+    n, seed = collections.Counter(), collections.defaultdict(bool)
+    for _, base, candidates in rows:
+        for kind, items in ((True, base), (False, candidates)):
+            for _, k, _, m, p in items:
+                p = re.sub("[0-9]+", "0", p)
+                n[k, p, m] += 1
+                seed[k, p, m] |= kind
+    value = collections.defaultdict(float)
+    for k, p, m in n:
+        value[k, m] = max(value[k, m], float(seed[k, p, m]))
+    seeded = {k: v == 1.0 for k, v in value.items()}
+    for turn in range(3):
+        sure = {}
+        for k, p in {(k, p) for k, p, _ in n}:
+            edges = [e for e in n if e[:2] == (k, p)]
+            if sum(seed[e] for e in edges) >= 3:
+                sure[k, p] = sum(n[e] * value[k, e[2]] for e in edges) / sum(n[e] for e in edges)
+        if turn < 2:
+            for k, m in list(value):
+                doubt = math.prod(1 - min(sure.get((k, p), 0.0), 0.999) for kk, p, mm in n if (kk, mm) == (k, m))
+                value[k, m] = 1.0 if seeded[k, m] else 1 - doubt
+    want = {}
+    for rid, _, candidates in rows:
+        hit = sorted({(s, k, e) for s, k, e, _, p in candidates if sure.get((k, re.sub("[0-9]+", "0", p)), 0) >= 0.5})
+        if hit:
+            want[rid] = hit
+    assert want and got == want
+
+
 def test_pii_candidates_of_all_forms(spark):
     long = "j" * 90
     text = [f"write to u{i}@mail.com now, call me at +1 (201) 555-01{i:02d} or not" for i in range(12)] + [f"Line 2 phone: +1 (301) 555-01{i:02d} x" for i in range(12)]
