@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 
@@ -21,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm.shingles import PLACES, Words, minima, mixed, shingle_sets, universal
 from millrace.operators.graph import components
@@ -222,11 +222,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     unsettled = scratch.cut(labelled.join(unsettled, "key").select("cid", "component", "first"), "unsettled")
     groups = components(unsettled.select(F.col("cid").alias("u"), F.col("first").alias("v")), scratch, "groups")
     rows = unsettled.select("cid", "component").distinct().join(groups.select(F.col("node").alias("cid"), F.col("component").alias("grp")), "cid")
-    place = F.row_number().over(Window.partitionBy("grp").orderBy("component", "cid")) - 1
-    rows = scratch.cut(rows.withColumn("block", F.floor(place / BLOCK).cast("int")), "blocks")
-    blocks = rows.groupBy("grp", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    left, right = (blocks.select("grp", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in ("1", "2"))
-    meet = left.join(right, "grp").where("block_1 <= block_2 and not (low_1 = high_2 and low_2 = high_1)").select("grp", F.col("block_1").alias("one"), F.col("block_2").alias("two"))
+    # A component with many classes in a group has blocks of its own, as it needs no comparison with itself; others share
+    # blocks. Sets of a link differ in size by percent at most, so blocks have sets of similar sizes, and meet only
+    # blocks of the same sizes or the next. Classes are dealt by hash within counted blocks, so that no task numbers a group.
+    rows = rows.join(classes.select("cid", F.floor(F.log("n") / F.lit(max(1e-9, -math.log(percent / 100)) * (1 + 1e-9))).cast("int").alias("sizes")), "cid")
+    kinds = rows.groupBy("grp", "sizes", "component").agg(F.count(F.lit(1)).alias("n"))
+    own = kinds.where(F.col("n") >= BLOCK).select("grp", "sizes", "component", F.ceil(F.col("n") / BLOCK).cast("long").alias("own"))
+    few = kinds.where(F.col("n") < BLOCK).groupBy("grp", "sizes").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("few"))
+    placed = rows.join(own, ["grp", "sizes", "component"], "left").join(few, ["grp", "sizes"], "left")
+    turn = F.pmod(F.xxhash64("cid"), F.coalesce("own", "few"))
+    owner = F.when(F.col("own").isNotNull(), F.col("component")).otherwise(F.lit(-1))
+    rows = scratch.cut(placed.select("cid", "component", "grp", "sizes", F.concat_ws(":", owner.cast("string"), "sizes", turn.cast("string")).alias("block")), "blocks")
+    blocks = rows.groupBy("grp", "sizes", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left, right = (blocks.select("grp", *[F.col(c).alias(f"{c}_{side}") for c in ("sizes", "block", "low", "high")]) for side in ("1", "2"))
+    ordered = "(sizes_2 = sizes_1 + 1 or (sizes_1 = sizes_2 and block_1 <= block_2))"
+    meet = left.join(right, "grp").where(f"{ordered} and not (low_1 = high_2 and low_2 = high_1)").select("grp", F.col("block_1").alias("one"), F.col("block_2").alias("two"))
     meet = meet.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
     dealt = rows.join(sets, "cid").join(meet, ["grp", "block"])
     out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
