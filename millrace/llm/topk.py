@@ -9,6 +9,7 @@ pruning). What is left is verified by exact products. Buckets come in descending
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,21 +48,30 @@ def _products(q: np.ndarray, c: np.ndarray, fits: bool) -> np.ndarray:
     return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64) if fits else q @ c.T
 
 
-def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, candidate ids, scores) with the k best candidates for each query; ties go to the smaller id."""
+def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, reached: list[tuple[int, int] | None] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, candidate ids, scores) with the k best candidates for each query; ties go to the smaller id.
+
+    reached: for each query the k-th best (score, id) that is known from elsewhere, or None; only better ones are returned.
+    """
     qn, cn = np.sqrt((q.astype(np.float64) ** 2).sum(1)), np.sqrt((c.astype(np.float64) ** 2).sum(1))
+    if float(qn.max(initial=0)) * float(cn.max(initial=0)) * (1 + SLACK) >= 2.0**63:
+        raise OverflowError("inner products may pass 64 bits")
     order = np.lexsort((ids, -cn))
     ids, c, cn = ids[order], c[order], cn[order]
     fits = float(qn.max(initial=0)) * float(cn.max(initial=0)) < 2.0**52
     best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(len(q))]
     theta = np.full(len(q), -np.inf)
+    known = [r if r else (None, None) for r in (reached or [None] * len(q))]
+    for j, (score, _) in enumerate(known):
+        if score is not None:
+            theta[j] = score
 
     def offer(j: int, got: np.ndarray, scores: np.ndarray) -> None:
         got, scores = np.concatenate([best[j][0], got]), np.concatenate([best[j][1], scores])
         top = np.lexsort((got, -scores))[:k]
         best[j] = got[top], scores[top]
         if len(top) == k:
-            theta[j] = scores[top[-1]]
+            theta[j] = max(theta[j], scores[top[-1]])
 
     unit_q = q / np.where(qn > 0, qn, 1)[:, None]
     focus = np.argsort(-np.abs(unit_q), axis=1, kind="stable")[:, :2]
@@ -104,6 +114,10 @@ def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray,
                 if len(good):
                     offer(j, b_ids[good], scores[r][good])
     for j, (got, scores) in enumerate(best):
+        least, tie = known[j]
+        if least is not None:
+            better = (scores > least) | ((scores == least) & (got < tie))
+            got, scores = got[better], scores[better]
         if len(got):
             yield int(query_ids[j]), got, scores
 
@@ -119,7 +133,9 @@ def top_k(
     Ties go to the smaller id. Fewer than k candidates are all returned; an empty side gives an empty result.
 
     A grid of (chunk of candidates, group of queries) is dealt over the cluster: each task reads at most about
-    CHUNK vectors and GROUP queries, whatever the input, and returns k rows a query.
+    CHUNK vectors and GROUP queries, whatever the input, and returns k rows a query. The chunk of the longest vectors comes
+    first; others see only queries that they may still have a better vector for, and return only better ones. Raises
+    OverflowError where a product could pass 64 bits.
     """
     base = clean_vectors(vectors, id_col, vector_col, scale)
     asked = clean_vectors(queries, id_col, vector_col, scale).dropDuplicates(["vec_id"])
@@ -129,19 +145,23 @@ def top_k(
     dim = F.size("v").alias("dim")
     ranged = base.withColumn("n2", norm).repartitionByRange(chunks, F.desc("n2"), "vec_id")
     # Written, as the bounds of range partitions are sampled and may differ when computed again.
-    chunked = Scratch(vectors.sparkSession, "topk").cut(ranged.select("vec_id", "v", dim, F.spark_partition_id().alias("chunk")), "chunks")
+    scratch = Scratch(vectors.sparkSession, "topk")
+    chunked = scratch.cut(ranged.select("vec_id", "v", dim, "n2", F.spark_partition_id().alias("chunk")), "chunks")
     chunks = (chunked.agg(F.max("chunk")).first()[0] or 0) + 1
-    left = asked.select(
-        "vec_id", "v", dim, F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-    )
-    right = chunked.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    schema = "query_id long, vec_id long, score long"
+    asked = scratch.cut(asked.select("vec_id", "v", dim, norm.alias("n2"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("grp")), "queries")
+    # Chunks are in descending length. The longest chunk gives each query a k-th best; a query goes on only to chunks
+    # with a vector that is long enough to pass it, which are the next ones up to a point, and brings it along.
+    tops = {r["chunk"]: math.sqrt(r["top"]) for r in chunked.groupBy("chunk").agg(F.max("n2").alias("top")).collect()}  # a row for CHUNK vectors
+    tops = [max([t for c, t in tops.items() if c >= k], default=-1.0) for k in range(chunks)]
+    none = F.lit(None).cast("long")
+    start = asked.select("vec_id", "v", "dim", "grp", F.lit(0).alias("chunk"), none.alias("least"), none.alias("tie"))
     out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(qs: pa.Table, cs: pa.Table) -> pa.Table:
         if not len(qs) or not len(cs):
             return out_schema.empty_table()
-        found = list(search(qs.column("vec_id").to_numpy(), _matrix(qs), cs.column("vec_id").to_numpy(), _matrix(cs), k))
+        reached = [None if a is None else (a, b) for a, b in zip(qs.column("least").to_pylist(), qs.column("tie").to_pylist(), strict=True)]
+        found = list(search(qs.column("vec_id").to_numpy(), _matrix(qs), cs.column("vec_id").to_numpy(), _matrix(cs), k, reached))
         if not found:
             return out_schema.empty_table()
         return pa.table(
@@ -149,7 +169,21 @@ def top_k(
             schema=out_schema,
         )
 
-    keys = ("chunk", "grp", "dim")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+    def grid(queries_: DataFrame, candidates: DataFrame) -> DataFrame:
+        keys = ("chunk", "grp", "dim")
+        wide = candidates.select("vec_id", "v", "dim", "chunk", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+        return queries_.groupBy(*keys).cogroup(wide.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+
+    found = scratch.cut(grid(start, chunked.where("chunk = 0")), "first")
+    if chunks > 1:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        edge = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"), F.col("vec_id").alias("tie"))
+        more = asked.join(edge, "vec_id", "left")
+        # |q| * |c| is a bound of the product: chunks whose longest vector is under least / |q| hold nothing better.
+        need = F.when(F.col("least") > 0, F.col("least") / F.sqrt("n2") * F.lit(1 - SLACK)).otherwise(F.lit(0.0))
+        upto = F.size(F.filter(F.array(*[F.lit(float(t)) for t in tops]), lambda t: t >= F.coalesce(need, F.lit(0.0)))) - 1
+        more = more.select("vec_id", "v", "dim", "grp", "least", "tie", upto.alias("upto")).where("upto >= 1")
+        more = more.select("vec_id", "v", "dim", "grp", F.explode(F.sequence(F.lit(1), F.col("upto"))).alias("chunk"), "least", "tie")
+        found = found.unionByName(grid(more, chunked.where("chunk > 0")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
