@@ -72,7 +72,8 @@ RULES = (
     Rule("capitals", "n_upper > 0.35 * n_letters", "n_upper < 0.15 * n_letters"),
     Rule("repeated_lines", "n_dup_lines > 0.25 * n_lines", "n_lines >= 3 and n_dup_lines <= 0.05 * n_lines"),
     Rule("repeated_windows", "n_repeat_words > 0.3 * n_words", "n_repeat_words < 0.1 * n_words"),
-    Rule("vocabulary", "n_words < 2000 and n_distinct < 0.25 * n_words", "n_distinct > 0.5 * n_words"),
+    # Vocabulary grows with a power of length (Heaps), so its measure holds for texts of any length.
+    Rule("vocabulary", "n_distinct < 0.8 * power(n_words, 0.7)", "n_distinct > 1.5 * power(n_words, 0.7)"),
     Rule("letters", "n_letters < 0.6 * word_chars", "n_letters > 0.9 * word_chars"),
     Rule("exclamation", "n_bangs > 0.1 * n_words", "n_bangs < 0.02 * n_words"),
 )
