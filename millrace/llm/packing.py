@@ -6,16 +6,16 @@ boundaries that minimise padding. Inside each bucket, rows fill batches of a fix
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm.columns import hash_long, without, word_count
 
-#: Lengths up to 2**(PRECISION + 1) have a histogram bin of their own, longer ones 2**PRECISION bins an octave.
-#: So the histogram, which goes to the driver, has under 2**PRECISION * 64 rows, whatever the input.
-PRECISION = 10
+#: Lengths up to 2**(PRECISION + 1) = 65,536 have a histogram bin of their own, longer ones 2**PRECISION bins an octave,
+#: where bounds are within a 32,768th of the best ones. So the histogram, which goes to the driver, has a row for each
+#: length that occurs up to there, and 2**PRECISION more for each octave of longer ones, whatever the input.
+PRECISION = 15
 OUT = ("n_tokens", "bucket", "bucket_len", "slot", "batch", "batch_row")
 
 
@@ -39,24 +39,38 @@ def histogram(lengths: DataFrame, length: str) -> list[tuple[int, int, int]]:
 def boundaries(hist: list[tuple[int, int, int]], buckets: int) -> list[int]:
     """The upper lengths of at most `buckets` buckets with the least padding in all.
 
-    best[j] is the least padding of bins up to j; a bucket over bins i..j costs
-    top[j] * rows(i..j) - tokens(i..j). One pass for each bucket, O(bins**2) steps, vectorised over i.
-    Ties go to the earlier boundary. An empty histogram gives no bucket.
+    best[j] is the least padding of bins up to j; a bucket over bins i..j costs top[j] * rows(i..j) - tokens(i..j). For a
+    fixed i that is a line in top[j], whose slope falls as i grows, while top[j] rises: the lower hull of the lines gives
+    each minimum in constant time, and a pass for a bucket takes O(bins). Ties go to the earlier boundary. An empty
+    histogram gives no bucket.
     """
     if not hist:
         return []
-    top = np.array([h[0] for h in hist], dtype=np.float64)
-    rows = np.concatenate([[0.0], np.cumsum([h[1] for h in hist], dtype=np.float64)])
-    tokens = np.concatenate([[0.0], np.cumsum([h[2] for h in hist], dtype=np.float64)])
     n = len(hist)
-    best = np.concatenate([[0.0], top * rows[1:] - tokens[1:]])
+    top = [h[0] for h in hist]
+    rows, tokens = [0], [0]
+    for _, r, t in hist:
+        rows.append(rows[-1] + r)
+        tokens.append(tokens[-1] + t)
+    best: list[int | None] = [0, *[top[j] * rows[j + 1] - tokens[j + 1] for j in range(n)]]
     cuts = []
     for _ in range(min(buckets, n) - 1):
-        nxt, cut = best.copy(), np.zeros(n + 1, dtype=np.int64)
+        nxt, cut = list(best), [0] * (n + 1)
+        hull: list[tuple[int, int, int]] = []  # (slope, intercept, i), the best of which moves to the end as top rises
+        at = 0
         for j in range(1, n + 1):
-            cost = best[:j] + top[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
-            k = int(np.argmin(cost))
-            nxt[j], cut[j] = cost[k], k
+            i = j - 1
+            line = (-rows[i], best[i] + tokens[i], i)
+            # Integers all along, so comparisons are exact.
+            while len(hull) > 1 and (line[1] - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) < (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - line[0]):
+                hull.pop()
+            hull.append(line)
+            at = min(at, len(hull) - 1)
+            x = top[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] < hull[at][0] * x + hull[at][1]:
+                at += 1
+            slope, intercept, i = hull[at]
+            nxt[j], cut[j] = slope * x + intercept + x * rows[j] - tokens[j], i
         cuts.append(cut)
         best = nxt
     j, out = n, []
@@ -93,6 +107,8 @@ def pack(
     columns with the names of output columns are replaced.
     """
     length = word_count(F.col(text_col)) + F.lit(1) if length is None else length
+    # Rows with one id, or without any, are spread by their texts' hash, equal rows without an id by where they are read.
+    spread = F.concat_ws(":", F.xxhash64(text_col) if text_col in docs.columns else F.lit(""), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
     named = docs.withColumn("__mr_len", F.greatest(F.lit(0), F.coalesce(length.cast("long"), F.lit(0))))
     hist = histogram(named.select("__mr_len"), "__mr_len")
     edges = boundaries(hist, buckets)
@@ -115,10 +131,9 @@ def pack(
         F.col("__mr_len").alias("n_tokens"),
         pick(list(range(len(edges))), "int").alias("bucket"),
         pick(edges, "long").alias("bucket_len"),
-        hash_long(seed, F.col(id_col)).alias("__mr_order"),
+        hash_long(seed, F.col(id_col), spread).alias("__mr_order"),
     )
     placed = placed.withColumn("slot", F.pmod(F.col("__mr_order"), pick(slots, "long")).cast("int"))
-    # Rows with one id share a hash and so a slot; that id's copies are spread by their order in the slot only.
     rank = F.row_number().over(Window.partitionBy("bucket", "slot").orderBy("__mr_order", id_col)) - 1
     capacity = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.lit(1), F.col("bucket_len")))).cast("int")
     return (
