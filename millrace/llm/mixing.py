@@ -82,12 +82,15 @@ def mix(
     return (
         without(docs, *OUT)
         .withColumn("__mr_u", uniform(seed + ":count", F.col(id_col)))
+        .withColumn("__mr_spread", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
         .join(side, F.col(source_col).eqNullSafe(F.col("__mr_source")))
         .withColumn("n_copies", F.size(F.filter("__mr_cdf", lambda c: c < u)))
         .where("n_copies > 0")
         .drop("__mr_source", "__mr_cdf", "__mr_u")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
         .withColumn("shuffle_key", hash_long(seed + ":order", F.col(id_col), F.col("copy")))
-        .repartition("shuffle_key")
+        # Rows with one id share their keys; their texts, and for rows without an id where they are read, spread them.
+        .repartition("shuffle_key", F.xxhash64(text_col), "__mr_spread")
+        .drop("__mr_spread")
         .sortWithinPartitions("shuffle_key")
     )
