@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 # The separators that Python's str.split() knows.
 UNICODE_SPACE = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-HAN = "\\u4E00-\\u9FFF"
+HAN = "\\u3400-\\u9FFF"
+#: The narrower range of lexical tokens.
+HAN_TOKENS = "\\u4E00-\\u9FFF"
 
 
 def normalize_space(text: Column) -> Column:
@@ -33,10 +35,9 @@ def casefold(text: pd.Series) -> pd.Series:
 
 def clean_turn(text: Column) -> Column:
     """A dialogue turn: NFKC, no blanks beside Han characters, before punctuation or between digits."""
-    t = normalize_space(nfkc(text))
-    t = F.regexp_replace(t, f"(?<=[{HAN}]) (?=[{HAN}])|(?<=[{HAN}]) (?=[0-9A-Za-z])|(?<=[0-9A-Za-z]) (?=[{HAN}])", "")
-    t = F.regexp_replace(t, " (?=[,.!?;:\\u3002\\uFF0C\\uFF01\\uFF1F\\uFF1B\\uFF1A\\u3001])", "")
-    return F.regexp_replace(t, "(?<=[0-9]) (?=[0-9])", "")
+    t = F.regexp_replace(nfkc(text), f"(?<=[{HAN}])[{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?=[{HAN}])", "")
+    t = F.regexp_replace(t, f"[{UNICODE_SPACE}]+(?=[,.!?;:\\u3002\\uFF0C\\uFF01\\uFF1F\\uFF1B\\uFF1A\\u3001])", "")
+    return normalize_space(F.regexp_replace(t, f"(?U)(?<=\\d)[{UNICODE_SPACE}]+(?=\\d)", ""))
 
 
 def compact(text: Column, fold: bool = True) -> Column:
@@ -50,11 +51,20 @@ def fingerprint(text: Column, fold: bool = True) -> Column:
     return F.substring(F.sha2(compact(text, fold), 256), 1, 32)
 
 
+#: What becomes a placeholder, in order. Word boundaries and digits are those of Unicode.
+TEMPLATE_MARKS = (
+    (r"https?://\S+", "<url>"),
+    (r"\b[0-9a-f]{16,}\b", "<hash>"),
+    (r"\b\d+(?:\.\d+)?\b", "<num>"),
+    (r"[_-]?\b[a-z]*\d+[a-z0-9_-]*\b", "<id>"),
+)
+
+
 def template_signature(text: Column) -> Column:
     """What a text is a template of: links, long hex strings, numbers and ids become placeholders, in that order."""
     t = F.lower(text)
-    for pattern, mark in (("https?://[^ \\t\\n]+", "<url>"), ("[0-9a-f]{16,}", "<hash>"), ("[0-9]+(?:\\.[0-9]+)?", "<num>"), ("[a-z]+[-_]<num>", "<id>")):
-        t = F.regexp_replace(t, pattern, mark)
+    for pattern, mark in TEMPLATE_MARKS:
+        t = F.regexp_replace(t, f"(?U){pattern}", mark)
     return normalize_space(t)
 
 
@@ -114,7 +124,7 @@ def char_grams(text: Column, n: int, short: str = "whole") -> Column:
 
 def token_set(text: Column) -> Column:
     """Distinct Han characters and runs of ASCII letters, digits and underscores, lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"[{HAN}]|[a-z0-9_]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"[{HAN_TOKENS}]|[a-z0-9_]+"), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -175,3 +185,49 @@ def stable_id(prefix: str, *parts: Column, digits: int = 24) -> Column:
 def compact_query_hash(text: Column) -> Column:
     """SHA-256 without white space and case."""
     return F.sha2(F.lower(F.regexp_replace(text, f"[{UNICODE_SPACE}]+", "")), 256)
+
+
+def without_marks(text: Column) -> Column:
+    """NFKC without superscripts, control tokens such as <|x|> and end marks such as <eoh>."""
+    return normalize_space(F.regexp_replace(nfkc(text), r"(?s)<sup>.*?</sup>|<\|[^>]+\|>|<eo[hmtrc]>", ""))
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-cased, with hex strings, numbers and punctuation as blanks."""
+    t = F.regexp_replace(F.lower(text), r"[0-9a-f]{16,}|[0-9]+(?:\.[0-9]+)?", " ")
+    return normalize_space(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+
+
+def language_bucket(declared: Column, text: Column) -> Column:
+    """The declared language if it is zh or en, else zh, en or mixed by which of Han and Latin characters has 95 %; other without any."""
+    count = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
+    han, latin = count(HAN), count("A-Za-z")
+    low = F.lower(F.substring(declared, 1, 2))
+    return (
+        F.when(low.isin("zh", "en"), low)
+        .when(han + latin == 0, "other")
+        .when(han >= F.lit(0.95) * (han + latin), "zh")
+        .when(latin >= F.lit(0.95) * (han + latin), "en")
+        .otherwise("mixed")
+    )
+
+
+#: Type names of other notations and their JSON Schema names.
+TYPE_ALIASES = {
+    "dict": "object", "map": "object", "str": "string", "text": "string", "int": "integer", "long": "integer",
+    "float": "number", "double": "number", "bool": "boolean", "list": "array", "tuple": "array", "none": "null",
+}
+
+
+def schema_type(name: Column) -> Column:
+    """The JSON Schema name of a type, from its own or another notation; null for unknown ones."""
+    low = F.lower(F.trim(name))
+    known = F.create_map(*[F.lit(x) for kv in (TYPE_ALIASES | {v: v for v in TYPE_ALIASES.values()}).items() for x in kv])
+    return known[low]
+
+
+def compact_title(title: Column) -> Column:
+    """A work's title without chapter and volume ranges, Chinese or English, case, blanks and punctuation."""
+    t = F.regexp_replace(F.lower(title), r"\u7B2C?[0-9\u4E00\u4E8C\u4E09\u56DB\u4E94\u516D\u4E03\u516B\u4E5D\u5341\u767E\u5343]+[-~\u81F3\u5230]?[0-9\u4E00\u4E8C\u4E09\u56DB\u4E94\u516D\u4E03\u516B\u4E5D\u5341\u767E\u5343]*[\u7AE0\u56DE\u5377\u8282\u96C6\u90E8]", "")
+    t = F.regexp_replace(t, r"\b(?:chapters?|volumes?|vols?\.?|books?|parts?)\s*[0-9ivxlc]+(?:\s*(?:-|to)\s*[0-9ivxlc]+)?\b", "")
+    return F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")

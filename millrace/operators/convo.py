@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.functions.text import HAN, UNICODE_SPACE
+from millrace.functions.text import HAN
 
 
 def flatten(turns: DataFrame, separator: str = "\n") -> DataFrame:
@@ -35,24 +40,34 @@ def last_query(turns: DataFrame, role: str = "user") -> DataFrame:
     return turns.join(mine, "conv_id").groupBy("conv_id", "query").agg(F.count_if(F.col("turn") < F.col("at")).alias("n_history"))
 
 
+#: What marks a dialogue as holding contacts, links or control tokens, in any case.
+CONTACT = r"https?://|www\.|<\||EVAL[-_]|(?:\u5FAE\u4FE1|QQ|\u52A0\u7FA4|\u4EE3\u8D2D|\u8FD4\u5229|\u5237\u5355).{0,8}\d|1[3-9]\d{9}|[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
+
+
+@F.pandas_udf(T.BooleanType())
+def _turn_twice(turns: pd.Series) -> pd.Series:
+    """Whether two turns are the same but for compatibility forms, case and what is no letter or digit; NFKC has no built-in."""
+    plain = lambda t: re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", t or "")).lower()
+    return turns.map(lambda ts: len({plain(t) for t in ts}) < len(ts), na_action="ignore")
+
+
 def quality_reason(turns: Column, repeats: bool = True) -> Column:
     """The first rule that a dialogue (array of turns) breaks, or null.
 
-    2 to 16 turns; 2 to 600 characters each; 65 % Han; no link, mail address, phone or marker; no character six
-    times in a row; no turn twice.
+    2 to 16 turns; 2 to 600 characters each; 65 % of all characters Han; no contact, link or marker; no character six
+    times in a row (unless `repeats` is false); no turn twice by its fingerprint.
     """
     whole = F.array_join(turns, "\n")
-    solid = F.length(F.regexp_replace(whole, f"[{UNICODE_SPACE}]+", ""))
     han = F.length(F.regexp_replace(whole, f"[^{HAN}]+", ""))
     out = (
         F.when(~F.size(turns).between(2, 16), "turn_count")
         .when(F.exists(turns, lambda t: ~F.length(t).between(2, 600)), "turn_length")
-        .when(F.rlike(whole, F.lit("https?://|www\\.|[A-Za-z0-9_.]+@[A-Za-z0-9]|[0-9]{7,}|<\\|")), "contact")
-        .when(han < F.lit(0.65) * solid, "han_ratio")
+        .when(han < F.lit(0.65) * F.greatest(F.lit(1), F.length(whole)), "low_chinese_fraction")
+        .when(F.rlike(whole, F.lit(f"(?iU){CONTACT}")), "contact_url_or_marker")
     )
     if repeats:
-        out = out.when(F.rlike(whole, F.lit("(.)\\1{5,}")), "character_run")
-    return out.when(F.size(F.array_distinct(turns)) < F.size(turns), "repeated_turn")
+        out = out.when(F.rlike(whole, F.lit("(.)\\1{5,}")), "repetition")
+    return out.when(_turn_twice(turns), "repeated_turn")
 
 
 def call_names(turns: DataFrame, pattern: str) -> DataFrame:

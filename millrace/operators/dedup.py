@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.text import jaccard
-from millrace.operators.graph import components
 from millrace.session import Scratch
 
 
@@ -66,39 +64,66 @@ def near_pairs(df: DataFrame, id_col: str, set_col: str, threshold: float) -> Da
 def greedy_keep(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(id): rows that a scan in ascending order of id keeps, where a row goes if it conflicts with a kept one.
 
-    rows has id, conflicts has pairs (a, b) of ids. What is kept in one component of the conflict graph doesn't
-    depend on others, so components are scanned apart. A component is one task's work; conflicts are of
-    near-equal rows, whose components are small. Rows without conflict are kept.
+    rows has id, conflicts has pairs (a, b) of ids. In rounds over the conflicts: a row without a smaller neighbour left
+    is kept, its neighbours go, and conflicts of rows that went no longer count. Each round is a few joins of edges,
+    so that no component meets in one task; there are as many as the longest chain of decisions needs. Rows without
+    conflict are kept.
     """
-    edges = conflicts.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    labels = components(edges, Scratch(rows.sparkSession, "greedy"), "components")
-    grouped = edges.join(labels.select(F.col("node").alias("u"), "component"), "u").select("component", "u", "v")
-
-    def scan(pairs_of: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        earlier: dict[int, list[int]] = {}
-        for u, v in zip(pairs_of["u"], pairs_of["v"], strict=True):
-            earlier.setdefault(u, []).append(v)
-        for u in sorted(earlier):
-            if any(v not in gone for v in earlier[u]):
-                gone.add(u)
-        return pd.DataFrame({"id": sorted(gone)}, dtype="int64")
-
-    gone = grouped.groupBy("component").applyInPandas(scan, "id long")
-    return rows.select("id").join(gone, "id", "left_anti")
+    scratch = Scratch(rows.sparkSession, "greedy")
+    edges = scratch.cut(conflicts.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges-0")
+    gone, turn = None, 0
+    while not edges.isEmpty():
+        free = edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_anti")
+        lost = scratch.cut(edges.join(free, "v", "left_semi").select("u").distinct(), f"gone-{turn}")
+        gone = lost if gone is None else gone.unionByName(lost)
+        turn += 1
+        left = edges.join(lost, "u", "left_anti").join(lost.select(F.col("u").alias("v")), "v", "left_anti")
+        edges = scratch.cut(left.select("u", "v"), f"edges-{turn}")
+    return rows.select("id") if gone is None else rows.select("id").join(gone.select(F.col("u").alias("id")), "id", "left_anti")
 
 
 def greedy_two_keys(df: DataFrame, id_col: str, first: str, second: str) -> DataFrame:
-    """Ids that a scan in order keeps, where a row goes if either of its keys is taken by a kept row."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(first).alias("k1"), F.col(second).alias("k2"))
-    pairs = None
-    for key in ("k1", "k2"):
-        a, b = rows.alias("a"), rows.alias("b")
-        found = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return greedy_keep(rows, pairs)
+    """Ids that a scan in order keeps, where a row goes if either of its keys is taken by a kept row; a null key is free.
+
+    In rounds: a row with the least id of both its keys is kept, and all rows with a key of a kept one are done. No pairs
+    of rows with one key are made.
+    """
+    scratch = Scratch(df.sparkSession, "two-keys")
+    rows = scratch.cut(df.select(F.col(id_col).alias("id"), F.col(first).alias("k1"), F.col(second).alias("k2")), "rows-0")
+    kept, turn = rows.select("id").limit(0), 0
+    while not rows.isEmpty():
+        staged = rows
+        for key in ("k1", "k2"):
+            staged = staged.join(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias(f"least_{key}")), key, "left")
+        best = scratch.cut(staged.where("id = coalesce(least_k1, id) and id = coalesce(least_k2, id)").select("id", "k1", "k2"), f"kept-{turn}")
+        kept = kept.unionByName(best.select("id"))
+        turn += 1
+        left = rows.join(best.select("id"), "id", "left_anti")
+        for key in ("k1", "k2"):
+            left = left.join(best.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+        rows = scratch.cut(left.select("id", "k1", "k2"), f"rows-{turn}")
+    return kept
 
 
 def greedy_near(df: DataFrame, id_col: str, set_col: str, threshold: float) -> DataFrame:
-    """Ids that a scan in order keeps, where a row goes if its set is near that of a kept row."""
-    return greedy_keep(df.select(F.col(id_col).alias("id")), near_pairs(df, id_col, set_col, threshold))
+    """Ids that a scan in order keeps, where a row goes if its set is near that of a kept row.
+
+    Of rows with equal sets only the first can stay, so only those are compared. Rows with an empty or null set stay.
+    """
+    sets = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_sort(set_col).alias("s"))
+    scratch = Scratch(df.sparkSession, "near")
+    first = scratch.cut(sets.where("size(s) > 0").groupBy("s").agg(F.min("id").alias("id")), "first")
+    pairs = scratch.cut(near_pairs(first, "id", "s", threshold).select("a", "b"), "pairs")
+    return greedy_keep(first.select("id"), pairs).unionByName(sets.where("s is null or size(s) = 0").select("id"))
+
+
+def by_signature(df: DataFrame, signature: Column, id_col: str) -> DataFrame:
+    """Of rows with one signature that with the least id."""
+    return exact(df.withColumn("__s", signature), ["__s"], [id_col]).drop("__s")
+
+
+def copies(df: DataFrame, key: Column, id_col: str, designed: str | None = None) -> DataFrame:
+    """(key, ids, n, designed): keys that several rows have, with their ids in order; rows that `designed` marks are meant as copies."""
+    marks = F.count_if(F.col(designed)) if designed else F.lit(0).cast("long")
+    out = df.groupBy(key.alias("key")).agg(F.sort_array(F.collect_set(id_col)).alias("ids"), F.count(F.lit(1)).alias("n"), marks.alias("designed"))
+    return out.where("n > 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,3 +107,95 @@ def class_coverage(df: DataFrame, label: str, split: str, floor: int) -> DataFra
     spine = df.select(F.col(label).alias("class")).distinct().crossJoin(df.select(F.col(split).alias("split")).distinct())
     counts = df.groupBy(F.col(label).alias("class"), F.col(split).alias("split")).agg(F.count(F.lit(1)).alias("n"))
     return spine.join(counts, ["class", "split"], "left").fillna(0, ["n"]).withColumn("covered", F.col("n") >= floor)
+
+
+def token_loss(df: DataFrame, nll: str, tokens: str, n_bytes: str, by: list[str] | None = None) -> DataFrame:
+    """(by, tokens, loss, nats_per_byte, bits_per_byte): sums over sums, so that each token weighs alike."""
+    total = F.sum(nll)
+    return df.groupBy(*(by or [])).agg(F.sum(tokens).cast("long").alias("tokens"), (total / F.sum(tokens)).alias("loss"), (total / F.sum(n_bytes)).alias("nats_per_byte"), (total / F.sum(n_bytes) / F.lit(math.log(2))).alias("bits_per_byte"))
+
+
+def full_call(df: DataFrame) -> DataFrame:
+    """One row of rates over (kind, variant, name, args, gold_name, gold_args): kind is execute or refuse, variant what was
+    predicted: call, refuse or anything else, an error."""
+    execute, call, refused = F.col("kind") == "execute", F.col("variant") == "call", F.col("variant") == "refuse"
+    of = lambda cond, base: F.count_if(F.coalesce(base & cond, F.lit(False))) / F.nullif(F.count_if(base), F.lit(0))
+    named = call & (F.col("name") == F.col("gold_name"))
+    out = df.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(execute).alias("execute_n"), F.count_if(~execute).alias("refuse_n"),
+        of(call, execute).alias("execute_detection_accuracy"), of(named, execute).alias("execute_tool_name_exact"),
+        of(named & F.col("args").eqNullSafe(F.col("gold_args")), execute).alias("execute_arguments_exact"),
+        of(refused, ~execute).alias("refusal_accuracy"), of(refused, execute).alias("false_refuse_rate"), of(call, ~execute).alias("false_execute_rate"),
+        (F.count_if(~F.coalesce(call | refused, F.lit(False))) / F.count(F.lit(1))).alias("error_rate"),
+    )
+    return out.withColumn("balanced_accuracy", (F.col("execute_detection_accuracy") + F.col("refusal_accuracy")) / 2)
+
+
+def recovery_gate(before: DataFrame, after: DataFrame, weights: DataFrame, role_tolerance: float, whole_tolerance: float, numeric: float = 1e-9) -> DataFrame:
+    """(check, value, passed) of two evaluations (role, loss): each role by its own tolerance, the weighted mean by another,
+    and whether the mean improved. weights (role, weight). A role that either lacks doesn't pass."""
+    j = weights.join(before.select("role", F.col("loss").alias("b")), "role", "left").join(after.select("role", F.col("loss").alias("a")), "role", "left")
+    good = lambda c: F.coalesce(c, F.lit(False))
+    roles = j.select(F.col("role").alias("check"), (F.col("a") / F.col("b") - 1).alias("value"), good(F.col("a") <= F.col("b") * (1 + role_tolerance) + numeric).alias("passed"))
+    complete = F.count("a") + F.count("b") == 2 * F.count(F.lit(1))
+    means = j.agg(F.sum(F.col("weight") * F.col("b")).alias("b"), F.sum(F.col("weight") * F.col("a")).alias("a"), complete.alias("complete"))
+    whole = means.select(F.lit("quota_weighted_valid").alias("check"), F.col("a").alias("value"), good(F.col("complete") & (F.col("a") <= F.col("b") * (1 + whole_tolerance) + numeric)).alias("passed"))
+    better = means.select(F.lit("measured_improvement").alias("check"), (F.col("a") - F.col("b")).alias("value"), good(F.col("complete") & (F.col("a") < F.col("b") - numeric)).alias("passed"))
+    return roles.unionByName(whole).unionByName(better)
+
+
+def risk_coverage(df: DataFrame, correct: str, score: str, levels: int = 10) -> DataFrame:
+    """(coverage, n, risk): the share of wrong rows among those with the highest scores, for each level of coverage.
+
+    Scores are counted first; rows with one score are covered together.
+    """
+    s = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col(correct)).cast("long")).alias("wrong"))
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("s"))  # a row a score
+    run = s.select(F.sum("n").over(w).alias("n"), F.sum("wrong").over(w).alias("wrong"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
+    each = run.select("*", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level")).where(F.col("n") * levels >= F.col("level") * F.col("total"))
+    best = each.groupBy("level").agg(F.min(F.struct("n", "wrong")).alias("x"))
+    return best.select((F.col("level") / F.lit(float(levels))).alias("coverage"), F.col("x.n").alias("n"), (F.col("x.wrong") / F.col("x.n")).alias("risk"))
+
+
+def platt(df: DataFrame, label: str, score: str, rounds: int = 100, l2: float = 1e-6, tolerance: float = 1e-10) -> tuple[float, float]:
+    """(scale, bias) of 1 / (1 + exp(-(scale * score + bias))) by Newton's method, both classes with equal weight in all.
+
+    A step is one aggregation to six numbers. Raises ValueError without both classes.
+    """
+    rows = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))
+    n, positives = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
+    if not n or not positives or positives == n:
+        raise ValueError("both classes are needed")
+    weight = F.when(F.col("y") == 1, n / (2.0 * positives)).otherwise(n / (2.0 * (n - positives)))
+    scale, bias = 1.0, math.log((positives + 1.0) / (n - positives + 1.0))
+    for _ in range(rounds):
+        p = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("s") * scale + bias)))))
+        error, curve = weight * (p - F.col("y")), weight * p * (F.lit(1.0) - p)
+        g = rows.agg(F.sum(error * F.col("s")), F.sum(error), F.sum(curve * F.col("s") * F.col("s")), F.sum(curve * F.col("s")), F.sum(curve)).first()
+        gs, gb, ss, sb, bb = g[0] + l2 * scale, g[1] + l2 * bias, g[2] + l2, g[3], g[4] + l2
+        det = ss * bb - sb * sb
+        if det <= 0:
+            break
+        step = ((bb * gs - sb * gb) / det, (ss * gb - sb * gs) / det)
+        scale, bias = scale - step[0], bias - step[1]
+        if max(map(abs, step)) < tolerance:
+            break
+    return scale, bias
+
+
+def threshold(df: DataFrame, max_recall_drop: float, max_false_selection: float) -> DataFrame:
+    """(threshold, recall, false_selection) of the largest threshold that both limits allow, over (id, relevance, is_gold, has_gold).
+
+    recall is the share of ids with a gold row whose gold reaches the threshold, false_selection that of ids without one where any
+    row does. Candidates are 0, 1 and all relevances; they are counted, and running sums give both rates at each.
+    """
+    ids = df.select("id", "has_gold").distinct().agg(F.count_if("has_gold").alias("golds"), F.count_if(~F.col("has_gold")).alias("others"))
+    gold = df.where("is_gold").groupBy("id").agg(F.max("relevance").alias("t")).select("t", F.lit(1).alias("g"), F.lit(0).alias("o"))
+    other = df.where(~F.col("has_gold")).groupBy("id").agg(F.max("relevance").alias("t")).select("t", F.lit(0).alias("g"), F.lit(1).alias("o"))
+    grid = df.select(F.col("relevance").alias("t")).where("t between 0 and 1").distinct().unionByName(df.sparkSession.createDataFrame([(0.0,), (1.0,)], "t double")).select("t", F.lit(0).alias("g"), F.lit(0).alias("o"))
+    at = gold.unionByName(other).unionByName(grid).groupBy("t").agg(F.sum("g").alias("g"), F.sum("o").alias("o"))
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("t"))  # a row a relevance
+    rates = at.select("t", F.sum("g").over(w).alias("g"), F.sum("o").over(w).alias("o")).crossJoin(F.broadcast(ids)).select("t", (F.col("g") / F.nullif("golds", F.lit(0))).alias("recall"), (F.col("o") / F.nullif("others", F.lit(0))).alias("false_selection"))
+    base = rates.where("t = 0").select(F.col("recall").alias("base"))
+    ok = rates.crossJoin(F.broadcast(base)).where((F.col("base") - F.col("recall") <= max_recall_drop) & (F.col("false_selection") <= max_false_selection) & F.col("t").between(0, 1))
+    return ok.orderBy(F.desc("t")).limit(1).select(F.col("t").alias("threshold"), "recall", "false_selection")

@@ -91,3 +91,47 @@ def window_counts(docs: DataFrame, source: str, tokens: str, seq: int) -> DataFr
     total = docs.groupBy(source).agg(F.sum(tokens).cast("long").alias("tokens"))
     n = F.greatest(F.lit(0), F.ceil((F.col("tokens") - 1) / F.lit(seq))).cast("long")
     return total.withColumn("windows", n).withColumn("padding", F.greatest(F.lit(0), n * seq + 1 - F.col("tokens")).cast("long"))
+
+
+def window_plan(quotas: DataFrame, seq: int, seed: str) -> DataFrame:
+    """(source, n, place): a window for each `seq` tokens of a source's quota, the last one part full, in one hash order."""
+    n = F.ceil(F.greatest(F.lit(0), F.col("quota")) / F.lit(seq)).cast("int")
+    each = quotas.select("source", n.alias("windows")).where("windows > 0").select("source", F.explode(F.sequence(F.lit(1), F.col("windows"))).alias("n"))
+    return each.withColumn("place", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "source", F.col("n").cast("string")), 256), 1, 15), 16, 10).cast("long"))
+
+
+def windows(docs: DataFrame, source: str, order: list[str], tokens: str, seq: int, pad: int = 0) -> DataFrame:
+    """(source, window, x, y, mask): windows of seq + 1 tokens at stride seq over a source's documents in order.
+
+    A token's place in its source's stream is known from prefix sums, so windows are made of tokens that are grouped by
+    (source, window), not of whole streams. The token at a window's end begins the next one too. The last window is
+    filled with `pad`, which the mask leaves out.
+    """
+    sized = offsets(docs.withColumn("__n", F.size(tokens)), [source], order, "__n")
+    each = sized.select(source, "token_offset", F.posexplode(tokens).alias("__i", "token")).select(source, (F.col("token_offset") + F.col("__i")).alias("p"), "token")
+    total = docs.groupBy(source).agg(F.sum(F.size(tokens)).cast("long").alias("__total"))
+    at = F.floor(F.col("p") / F.lit(seq))
+    homes = F.when((F.col("p") % seq == 0) & (F.col("p") > 0), F.array(at - 1, at)).otherwise(F.array(at))
+    placed = each.join(total, source).select(source, "p", "token", "__total", F.explode(homes).alias("window"))
+    placed = placed.where((F.col("window") * seq < F.col("__total") - 1) | ((F.col("window") == 0) & (F.col("__total") == 1)))
+    chunk = F.transform(F.sort_array(F.collect_list(F.struct("p", "token"))), lambda x: x["token"])
+    filled = F.concat("c", F.array_repeat(F.lit(pad).cast("int"), F.lit(seq + 1) - F.size("c")))
+    out = placed.groupBy(source, "window").agg(chunk.cast("array<int>").alias("c")).select(source, "window", filled.alias("c"))
+    out = out.select(source, "window", F.slice("c", 1, seq).alias("x"), F.slice("c", 2, seq).alias("y"))
+    return out.withColumn("mask", F.transform("y", lambda t: F.when(t == pad, 0.0).otherwise(1.0)))
+
+
+def fraction_grid(total: int, fractions: list[float], spark) -> DataFrame:
+    """(fraction, synthetic, natural): rows of each candidate share of synthetic rows, rounded half to even."""
+    rows = spark.createDataFrame([(float(f),) for f in fractions], "fraction double")
+    return rows.withColumn("synthetic", F.bround(F.col("fraction") * F.lit(float(total))).cast("long")).withColumn("natural", F.lit(total) - F.col("synthetic"))
+
+
+def reserve(domains: DataFrame, target: int) -> DataFrame:
+    """Adds reserved to (domain, capacity): floor of the proportional share of the target, what is left goes to the largest domain."""
+    whole = Window.partitionBy(F.lit(1))  # a row a domain
+    total = F.sum("capacity").over(whole)
+    share = F.when(total > 0, F.floor(F.lit(float(target)) * F.col("capacity") / total)).otherwise(F.lit(0)).cast("long")
+    staged = domains.withColumn("__s", share).withColumn("__first", F.row_number().over(whole.orderBy(F.desc("capacity"), "domain")) == 1)
+    rest = F.lit(target) - F.sum("__s").over(whole)
+    return staged.withColumn("reserved", (F.col("__s") + F.when(F.col("__first"), rest).otherwise(F.lit(0))).cast("long")).drop("__s", "__first")

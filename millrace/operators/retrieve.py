@@ -107,3 +107,27 @@ def batch_until(batches: DataFrame, gold: DataFrame, limit: int) -> DataFrame:
     joined = gold.join(last, "query_id", "left").join(hit, "query_id", "left")
     reason = F.when((F.col("at") <= limit), "found").when(F.col("all").isNull(), "no_match").when(F.col("all") <= limit, "exhausted").otherwise("limit")
     return joined.select("query_id", F.least(F.coalesce("at", "all", F.lit(0)), F.lit(limit)).alias("batches"), reason.alias("reason"))
+
+
+def rotated(ranked: DataFrame, variants: int, count: int = 4, window: int = 48) -> DataFrame:
+    """(id, variant, place, negative): the closest negative, and count - 1 that rotate through the next `window`.
+
+    ranked has (id, rank, negative), ranks from 1. Steps of 7 over a window that they share no factor with, else of the
+    next smaller prime, so that a variant's negatives differ. Items with fewer than `count` negatives have none.
+    """
+    sizes = ranked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
+    w = F.least(F.lit(window), F.col("n") - 1)
+    step = F.lit(1)
+    for s in (2, 3, 5, 7):  # the last that applies wins
+        step = F.when(w % s != 0, F.lit(s)).otherwise(step)
+    plan = sizes.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1)))).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    rank = F.when(F.col("place") == 0, F.lit(1)).otherwise(F.lit(2) + (F.col("variant") * 11 + (F.col("place") - 1) * step) % w)
+    return plan.withColumn("rank", rank.cast("int")).join(ranked.select("id", "rank", "negative"), ["id", "rank"]).select("id", "variant", "place", "negative")
+
+
+def with_gold(rotated_: DataFrame, count: int = 4) -> DataFrame:
+    """(id, variant, listed): a variant's negatives with the item itself at place variant modulo count + 1."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "negative"))), lambda x: x["negative"])
+    out = rotated_.groupBy("id", "variant").agg(listed.alias("l"))
+    at = F.col("variant") % F.lit(count + 1)
+    return out.select("id", "variant", F.concat(F.slice("l", F.lit(1), at), F.array("id"), F.slice("l", at + 1, F.lit(count))).alias("listed"))

@@ -58,3 +58,36 @@ def weighted(df: DataFrame, weight: str, key: str, k: int, seed: str) -> DataFra
     """k rows without replacement, by weight: the largest log(u) / weight with u from the hash."""
     u = (F.conv(F.substring(hash_order(seed, F.col(key)), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
     return df.where(F.col(weight) > 0).withColumn("__x", F.log(u) / F.col(weight)).orderBy(F.desc("__x"), key).limit(k).drop("__x")
+
+
+def two_stage(df: DataFrame, group: str, key: str, groups: int, rows: int, seed: str) -> DataFrame:
+    """`groups` groups in hash order, then `rows` rows of each: adds probability, the product of both stages' shares."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    drawn = sizes.orderBy(hash_order(seed, F.col(group)), group).limit(groups)
+    total = sizes.agg(F.count(F.lit(1)).alias("__g"))
+    staged = df.join(drawn, group).crossJoin(F.broadcast(total))  # one row
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(hash_order(seed, F.col(key)), key))
+    share = F.least(F.lit(groups), F.col("__g")) / F.col("__g") * F.least(F.lit(rows), F.col("__n")) / F.col("__n")
+    return staged.withColumn("__r", rank).where(F.col("__r") <= rows).withColumn("probability", share).drop("__n", "__g", "__r")
+
+
+def balanced_turns(df: DataFrame, group: str, teacher: str, key: str, k: int, seed: str) -> DataFrame:
+    """Up to k rows of each group, taken in turns over its teachers, each teacher's in hash order: adds turn."""
+    turn = F.row_number().over(Window.partitionBy(group, teacher).orderBy(hash_order(seed, F.col(key)), key))
+    staged = df.withColumn("turn", turn).where(F.col("turn") <= k)
+    return staged.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy("turn", teacher))).where(F.col("__r") <= k).drop("__r")
+
+
+def slice_of(df: DataFrame, tool: str, kind: str, key: str, n: int, seed: str) -> DataFrame:
+    """n rows in turns over all (tool, kind), each in hash order."""
+    turn = F.row_number().over(Window.partitionBy(tool, kind).orderBy(hash_order(seed, F.col(key)), key))
+    return df.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", tool, kind).limit(n)
+
+
+def char_budget(df: DataFrame, source: str, key: str, chars: str, weights: dict[str, float], budget: int, seed: str) -> DataFrame:
+    """Rows of each source in hash order until they reach its share of the budget by weight; the row that passes it is kept."""
+    total = sum(weights.values())
+    share = F.create_map(*[F.lit(x) for name, w in weights.items() for x in (name, float(budget) * w / total)])[F.col(source)]
+    w = Window.partitionBy(source).orderBy(hash_order(seed, F.col(key)), key).rowsBetween(Window.unboundedPreceding, -1)
+    staged = df.where(F.col(source).isin(list(weights))).withColumn("chars_before", F.coalesce(F.sum(chars).over(w), F.lit(0)))
+    return staged.where(F.col("chars_before") < share)

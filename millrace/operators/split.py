@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import hex_bucket
@@ -41,3 +41,44 @@ def weighted_split(seed: str, key: Column, shares: list[tuple[str, float]]) -> C
 def group_key(*candidates: Column) -> Column:
     """The first identity that a row has, in order of priority."""
     return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in candidates])
+
+
+def with_forced(chosen: Column, key: Column, forced: dict[str, list[str]]) -> Column:
+    """A split by hash, but for keys that are listed for one."""
+    out = chosen
+    for name, keys in forced.items():
+        out = F.when(F.coalesce(key.isin(keys), F.lit(False)), name).otherwise(out)
+    return out
+
+
+def text_valid(text: Column, share: float = 0.05) -> Column:
+    """valid or train by the first 8 hex digits of the text's SHA-256, modulo 10000."""
+    return F.when(hex_bucket(F.sha2(text, 256), 8) % 10_000 < max(1, int(share * 10_000)), "valid").otherwise("train")
+
+
+def fifth_dev(seed: str, key: Column) -> Column:
+    """dev for one in five, train for the others."""
+    return F.when(hex_bucket(F.sha2(F.concat_ws(":", F.lit(seed), key), 256), 12) % 5 == 0, "dev").otherwise("train")
+
+
+def salted_valid(salt: str, key: Column) -> Column:
+    """valid where the first byte of the salted hash is 0 or 1."""
+    return F.when(hex_bucket(F.sha2(F.concat(F.lit(salt), key), 256), 2) < 2, "valid").otherwise("train")
+
+
+def reserved(seed: str, key: Column) -> Column:
+    """train, or for one in ten dev or test by the parity of the next digits."""
+    b = hex_bucket(F.sha2(F.concat_ws(":", F.lit(seed), key), 256), 12)
+    return F.when(b % 10 != 0, "train").when(F.floor(b / 10) % 2 == 0, "dev").otherwise("test")
+
+
+def agreed(df: DataFrame, key: str, registry: DataFrame, axes: list[str]) -> DataFrame:
+    """(key, split, status) by what registry (axis, value, split) says of a row's values: agreed, none, unknown or conflict.
+
+    Null values say nothing; a value that isn't registered makes the row unknown.
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("value")) for a in axes]))
+    said = df.select(key, values.alias("x")).select(key, "x.*").join(registry, ["axis", "value"], "left")
+    out = said.groupBy(key).agg(F.count("value").alias("n"), F.count_if(F.col("value").isNotNull() & F.col("split").isNull()).alias("odd"), F.count_distinct("split").alias("splits"), F.min("split").alias("one"))
+    status = F.when(F.col("n") == 0, "none").when(F.col("odd") > 0, "unknown").when(F.col("splits") > 1, "conflict").otherwise("agreed")
+    return out.select(key, F.when(status == "agreed", F.col("one")).alias("split"), status.alias("status"))

@@ -1,12 +1,14 @@
 """Operators on small fixtures, against hand-computed values and plain Python models."""
 
+import hashlib
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import checks, convo, dedup, estimate, graph, isolate, metrics, quota, records, retrieve, sample
+from millrace.operators import audit, checks, convo, dedup, estimate, graph, isolate, metrics, quota, records, retrieve, sample
 
 
 def one(df):
@@ -14,9 +16,9 @@ def one(df):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([(" a　b \n c ", "ｆｏｏ　ＢＡＲ！", "Call 12 at https://x.y/z id-77 0123456789abcdef0")], "a string, b string, c string")
+    df = spark.createDataFrame([(" a　b \n c ", "ｆｏｏ　ＢＡＲ！", "Call 12 at https://x.y/z id-77 0123456789abcdef0 ABC123")], "a string, b string, c string")
     row = df.select(tx.normalize_space("a"), tx.compact(F.col("b")), tx.template_signature(F.col("c")), tx.query_signature(F.lit("Straße 12.5!"))).first()
-    assert tuple(row) == ("a b c", "foobar", "call <num> at <url> <id> <hash>", "strasse<n>")
+    assert tuple(row) == ("a b c", "foobar", "call <num> at <url> id-<num> <hash> <id>", "strasse<n>")
     grams = spark.createDataFrame([("𠀀bcb",), ("x",), ("",), (None,)], "t string").select(tx.all_grams(F.col("t"), 2), tx.char_grams(F.col("t"), 3)).collect()
     assert [r[0] for r in grams] == [["𠀀b", "bc", "cb"], [], [], []]
     assert [r[1] for r in grams][:3] == [["𠀀bc", "bcb"], ["x"], []]
@@ -104,7 +106,7 @@ def test_conversations(spark):
     assert sorted(one(convo.next_reply(t, "user", "assistant").select("conv_id", "turn", "reply"))) == [(1, 1, "a1"), (1, 3, None), (2, 1, None)]
     assert sorted(one(convo.prefix_history(t, "assistant"))) == [(1, 2, 1, "q1")]
     reason = spark.createDataFrame([(["你好吗朋友", "好好好好好好"],), (["你好吗", "我很好"],), (["x"],)], "t array<string>").select(convo.quality_reason(F.col("t")))
-    assert [r[0] for r in reason.collect()] == ["character_run", None, "turn_count"]
+    assert [r[0] for r in reason.collect()] == ["repetition", None, "turn_count"]
     calls = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "conv_id long, turn long, call_id string")
     results = spark.createDataFrame([(1, 3, "a"), (1, 4, None)], "conv_id long, turn long, call_id string")
     assert {(r.turn, r.call_id) for r in convo.link_results(calls, results).collect()} == {(3, "a"), (4, "b")}
@@ -122,6 +124,65 @@ def test_records(spark):
     assert all(s.end - s.overlap_start <= 10 for s in spans[0]) and spans[1:] == [[], []]
 
 
+def test_schema_errors_keep_json_kinds_apart():
+    check = lambda value, schema: records.schema_errors(value, schema)
+    assert check(True, {"enum": [1]})[0] == ["$: enum"] and check(1.0, {"enum": [1]})[0] == [] and check(1, {"const": True})[0] == ["$: const"]
+    assert check(0.3, {"multipleOf": 0.1})[0] == [] and check(0.35, {"multipleOf": 0.1})[0] == ["$: multipleOf"]
+    assert check("x", {"pattern": "["}) == ([], ["$:pattern"]) and check(1.0, {"type": "integer"})[0] == [] and check(True, {"type": "number"})[0] == ["$: type"]
+    assert check({"a": 1}, {"properties": {"a": False}})[0] == ["$.a: false"] and check({"b": "x"}, {"additionalProperties": {"type": "integer"}})[0] == ["$.b: type"]
+    assert check({"b": 1}, {"additionalProperties": False})[0] == ["$.b: additional"] and check("2024-02-30", {"format": "date"})[0] == ["$: format"]
+    assert check([1, "x"], {"items": {"type": "integer"}, "maxItems": 1})[0] == ["$: items", "$[1]: type"] and check(1, {"type": "odd"}) == ([], ["$:type"])
+
+
+def test_parse_call_matches_plain_reading(spark):
+    texts = ['search(query="a b", limit=3)', "f(x)", 'tool.run(args=[1, {"k": None}])', "f(a=g())", "no call", None, "f()", "f(**{})"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", records.parse_call("t").alias("c")).orderBy("i").collect()
+    assert [r.c.status for r in rows] == ["parsed", "not_a_call", "parsed", "not_literal", "not_a_call", "not_a_call", "parsed", "not_a_call"]
+    assert rows[0].c.arguments == '{"limit":3,"query":"a b"}' and rows[2].c.name == "tool.run" and rows[6].c.arguments == "{}"
+
+
+def test_greedy_near_is_a_scan(spark):
+    rng = random.Random(8)
+    sets = [(i, sorted(rng.sample(range(9), rng.randint(0, 6)))) for i in range(120)]
+    kept = []
+    for i, s in sets:
+        if not s or all(len(set(s) & set(o)) / len(set(s) | set(o)) < 0.6 for _, o in kept if o):
+            kept.append((i, s))
+    got = dedup.greedy_near(spark.createDataFrame(sets, "id long, s array<int>"), "id", "s", 0.6)
+    assert sorted(r.id for r in got.collect()) == [i for i, _ in kept]
+
+
+def test_merkle_root_matches_plain_hashing(spark):
+    sha = lambda b: hashlib.sha256(b).digest()
+    for n in (0, 1, 2, 3, 7):
+        files = [(f"n{i}", hashlib.sha256(str(i).encode()).hexdigest(), i * 7) for i in range(n)]
+        level = [sha(b"leaf\0" + a.encode() + b"\0" + h.encode() + b"\0" + str(k).encode()) for a, h, k in sorted(files)]
+        while len(level) > 1:
+            level = [sha(b"node\0" + level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+        want = level[0].hex() if level else hashlib.sha256(b"empty-merkle-v1").hexdigest()
+        assert audit.merkle_root(spark.createDataFrame(files, "name string, sha256 string, bytes long")).first()[0] == want
+
+
+def test_platt_finds_the_least_loss(spark):
+    rng = random.Random(3)
+    rows = [(x, int(rng.random() < 1 / (1 + math.exp(-(2 * x - 1))))) for x in (rng.gauss(0, 2) for _ in range(400))]
+    scale, bias = metrics.platt(spark.createDataFrame(rows, "s double, y int"), "y", "s")
+    pos = sum(y for _, y in rows)
+
+    def loss(a, b):
+        return sum((len(rows) / (2 * pos) if y else len(rows) / (2 * (len(rows) - pos))) * math.log1p(math.exp(-(a * s + b) * (1 if y else -1))) for s, y in rows)
+
+    assert all(loss(scale, bias) <= loss(scale + da, bias + db) for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+    with pytest.raises(ValueError, match="both classes"):
+        metrics.platt(spark.createDataFrame([(1.0, 1)], "s double, y int"), "y", "s")
+
+
+def test_windows_are_those_of_a_stream(spark):
+    docs = [("a", 1, [1, 2, 3, 4, 5]), ("a", 2, [6, 7]), ("b", 1, [9]), ("c", 1, [1, 2, 3, 4, 5]), ("d", 1, [])]
+    got = sorted((r.source, r.window, r.x, r.y, r.mask) for r in quota.windows(spark.createDataFrame(docs, "source string, k int, t array<int>"), "source", ["k"], "t", 4).collect())
+    assert got == [("a", 0, [1, 2, 3, 4], [2, 3, 4, 5], [1.0] * 4), ("a", 1, [5, 6, 7, 0], [6, 7, 0, 0], [1.0, 1.0, 0.0, 0.0]), ("b", 0, [9, 0, 0, 0], [0] * 4, [0.0] * 4), ("c", 0, [1, 2, 3, 4], [2, 3, 4, 5], [1.0] * 4)]
+
+
 def test_graphs_and_estimates(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b")], "task string, after string")
     states = spark.createDataFrame([("a", "done"), ("b", "open"), ("c", "open")], "task string, state string")
