@@ -306,79 +306,89 @@ def by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
 
 @dataclass
 class Asked:
-    """A level's different (context, word) of a portion, by shard, context and word; `of` has each of `at` tokens' place."""
+    """A level's different (context, word) of a portion, by shard, context and word; `of` has each of `at` tokens' place.
+
+    runs: (first entries of runs with one shard and context, their sizes). words and counts are only there for asking.
+    """
 
     at: np.ndarray
     of: np.ndarray
     shard: np.ndarray
-    context: np.ndarray
-    word: np.ndarray
-    n: np.ndarray
+    runs: tuple[np.ndarray, np.ndarray]
+    contexts: np.ndarray
     crowded: np.ndarray
+    words: np.ndarray | None
+    counts: np.ndarray | None
 
     @classmethod
-    def from_keys(cls, at: np.ndarray, of: np.ndarray, context: np.ndarray, word: np.ndarray, shard: np.ndarray, room: np.ndarray, weight: np.ndarray, to: Layout) -> Asked:
+    def from_keys(cls, at: np.ndarray, of: np.ndarray, context: np.ndarray, word: np.ndarray, shard: np.ndarray, room: np.ndarray, weight: np.ndarray | None, to: Layout) -> Asked:
         """Entries by context and word, and which of them each token has; `room` is how many tokens their contexts may have."""
-        n = np.bincount(of, weight, len(context)).astype(np.uint64)
+        counts = None if weight is None else np.bincount(of, weight, len(context)).astype(np.uint32)
         by = by_shard(shard, to.shards)
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        return cls(at, place[of], shard[by], context[by], word[by], n[by], room[by] > to.crowded)
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first entries of runs with one shard and context, their sizes)."""
-        if not len(self.shard):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        new = np.concatenate([[True], (self.context[1:] != self.context[:-1]) | (self.shard[1:] != self.shard[:-1])])
-        first = np.flatnonzero(new)
-        return first, np.diff(np.concatenate([first, [len(new)]]))
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        shard, context = shard[by], context[by]
+        first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (shard[1:] != shard[:-1])])) if len(by) else by
+        runs = first, np.diff(np.concatenate([first, [len(by)]]))
+        crowded = room[by[first]] > to.crowded
+        asking = weight is not None
+        return cls(at.astype(np.int32), place[of], shard if asking else shard[:0], runs, context[first], crowded, word[by] if asking else None, counts[by] if asking else None)
 
 
 @dataclass
 class Portion:
-    """Tokens of a portion with ids (-1 if unknown) and counts, and what it asks of levels 2 and 3, always in one order."""
+    """Tokens of a portion with their counts, and what it asks of levels 2 and 3, always in one order."""
 
     sizes: np.ndarray
     counts: np.ndarray
-    levels: list[Asked]
+    levels: dict[int, Asked]
 
     @classmethod
-    def of(cls, row: dict, to: Layout) -> Portion:
+    def of(cls, row: dict, to: Layout, levels: tuple[int, ...], asking: bool) -> Portion:
+        """levels: 0 for level 2, 1 for level 3."""
         sizes, weight = _weights(row)
         kind = unpack(row["tokens"], 4)
         ids, c = unpack(row["words"], 8).astype(np.int64) - 1, unpack(row["counts"], 8).astype(np.int64)
         end, end_count = ids[row["end"]], c[row["end"]]
         w, c_w = ids[kind], c[kind]
+        del kind
         # Texts follow each other, so before a first token stands an end.
-        u, c_u = np.concatenate([[end], w[:-1]]), np.concatenate([[end_count], c_w[:-1]])
+        u = np.concatenate([[end], w[:-1]])
         # A context must be known; an unknown word asks for its context's remainder by way of word 0.
         word = np.maximum(w, 0).astype(np.uint64)
-        weight = np.where(w >= 0, weight, 0)
+        weight = np.where(w >= 0, weight, 0).astype(np.int8) if asking else None
+        heavy = lambda at: None if weight is None else weight[at]
         at = np.flatnonzero(u >= 0)
         pair, of = np.unique(to.pair(u[at], word[at]), return_inverse=True)
+        del u
         one, two = np.divmod(pair, np.uint64(to.n_words))
         room, next_room = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
-        room[of], next_room[of] = c_u[at], c_w[at]
-        levels = [Asked.from_keys(at, of, one, two, to.shard_of(one, None, room, two, room), room, weight[at], to)]
-        if to.order > 2:
+        room[of], next_room[of] = np.concatenate([[end_count], c_w[:-1]])[at], c_w[at]
+        out = {}
+        if 0 in levels:
+            out[0] = Asked.from_keys(at, of, one, two, to.shard_of(one, None, room, two, room), room, heavy(at), to)
+        if 1 in levels:
             # The pair before a token is its context; unless the token is its text's first one, or a part is unknown.
-            pair_of = np.full(len(w), -1)
+            pair_of = np.full(len(w), -1, np.int32)
             pair_of[at] = of
             before = np.concatenate([[-1], np.where(w >= 0, pair_of, -1)[:-1]])
             before[np.cumsum(sizes)[:-1]] = -1
+            del pair_of, of
             at = np.flatnonzero(before >= 0)
             key, of = np.unique((before[at].astype(np.uint64) << np.uint64(32)) | word[at], return_inverse=True)
+            del before, word
             rank, third = (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+            del key
             both = np.minimum(room, next_room)[rank]
-            levels.append(Asked.from_keys(at, of, pair[rank], third, to.shard_of(one[rank], two[rank], room[rank], third, both), both, weight[at], to))
-        return cls(sizes, c_w, levels)
+            out[1] = Asked.from_keys(at, of, pair[rank], third, to.shard_of(one[rank], two[rank], room[rank], third, both), both, heavy(at), to)
+        return cls(sizes, c_w, out)
 
 
 GRAM_ASK = [("shard", pa.int64()), ("portion", pa.int64()), ("contexts", pa.binary()), ("crowded", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())]
 GRAM_ASK_SCHEMA = "shard long, portion long, contexts binary, crowded binary, sizes binary, words binary, counts binary"
 
 
-def _ask_grams(to: Layout):
+def _ask_grams(to: Layout, level: int):
     """Portions to a row for each shard that owns some of their n-grams. Shards of level 3 have numbers from `shards` on.
 
     Crowded contexts are asked for with rows of their owners' numbers, from 2 * shards on, which have no words.
@@ -387,19 +397,20 @@ def _ask_grams(to: Layout):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                for level, asked in enumerate(Portion.of(row, to).levels):
-                    first, sizes = asked.runs()
-                    cuts, run_cuts = (np.searchsorted(s, np.arange(shards + 1)) for s in (asked.shard, asked.shard[first]))
-                    rows = []
-                    for s in np.flatnonzero(np.diff(cuts)).tolist():
-                        a, b = cuts[s], cuts[s + 1]
-                        f, g = run_cuts[s], run_cuts[s + 1]
-                        rows.append((s + level * shards, row["portion"], pack_rising(asked.context[first[f:g]]), pack(asked.crowded[first[f:g]], 1), pack(sizes[f:g], 4), pack(asked.word[a:b], 4), pack(asked.n[a:b], 4)))
-                    context = np.unique(asked.context[asked.crowded])
-                    rows += [(k + (level + 2) * shards, row["portion"], pack_rising(context[i]), None, None, None, None) for k, i in _by_owner(context, shards)]
-                    if rows:
-                        yield _binary_rows(GRAM_ASK, rows)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                asked = Portion.of(row, to, (level,), True).levels[level]
+                first, sizes = asked.runs
+                cuts, run_cuts = (np.searchsorted(s, np.arange(shards + 1)) for s in (asked.shard, asked.shard[first]))
+                rows = []
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    a, b = cuts[s], cuts[s + 1]
+                    f, g = run_cuts[s], run_cuts[s + 1]
+                    rows.append((s + level * shards, row["portion"], pack_rising(asked.contexts[f:g]), pack(asked.crowded[f:g], 1), pack(sizes[f:g], 4), pack(asked.words[a:b], 4), pack(asked.counts[a:b], 4)))
+                context = np.unique(asked.contexts[asked.crowded])
+                rows += [(k + (level + 2) * shards, row["portion"], pack_rising(context[i]), None, None, None, None) for k, i in _by_owner(context, shards)]
+                if rows:
+                    yield _binary_rows(GRAM_ASK, rows)
 
     return run
 
@@ -562,7 +573,7 @@ def _rests(root: str):
 
 def _score(total: int, n_words: int, to: Layout):
     """Portions with their answers to a row for each text."""
-    shards = to.shards
+    shards, order = to.shards, to.order
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def answered(asked: Asked, level: int, row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -571,31 +582,35 @@ def _score(total: int, n_words: int, to: Layout):
         got = mine(row["answers"], "shard")
         share = np.concatenate([np.empty(0), *[unpack_few(a["shares"]) for a in got]])
         left = np.concatenate([np.empty(0), *[unpack(a["rests"], 2) / 65_535.0 for a in got]])
-        rest = np.repeat(left, asked.runs()[1])
         if asked.crowded.any():
-            context = np.unique(asked.context[asked.crowded])
+            context = np.unique(asked.contexts[asked.crowded])
             order_ = np.concatenate([i for _, i in _by_owner(context, shards)])
             totals, rests = np.empty(len(context)), np.empty(len(context))
             got = mine(row["rests"], "owner")
             totals[order_] = np.concatenate([np.frombuffer(a["totals"], "<f8") for a in got])
             rests[order_] = np.concatenate([unpack(a["rests"], 2) / 65_535.0 for a in got])
-            k = np.searchsorted(context, asked.context[asked.crowded])
-            share[asked.crowded] /= totals[k]
-            rest[asked.crowded] = rests[k]
-        return share, rest
+            k = np.searchsorted(context, asked.contexts[asked.crowded])
+            share[np.repeat(asked.crowded, asked.runs[1])] /= np.repeat(totals[k], asked.runs[1][asked.crowded])
+            left[asked.crowded] = rests[k]
+        return share, np.repeat(left, asked.runs[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.names.index("ids"))
-            for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
-                p = Portion.of(row, to)
-                known = p.counts > 0
-                plain = (p.counts + 1.0) / (total + n_words + 1.0)
-                model = plain
-                for level, asked in enumerate(p.levels):
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).drop_columns(["ids"]).to_pylist()[0]
+                # One level after the other, as each has arrays of the portion's size.
+                for level in range(order - 1):
+                    p = Portion.of(row, to, (level,), False)
+                    known = p.counts > 0
+                    if level == 0:
+                        plain = (p.counts + 1.0) / (total + n_words + 1.0)
+                        model = plain.copy()
+                    asked = p.levels[level]
                     share, rest = answered(asked, level, row)
-                    model = model.copy()
                     model[asked.at] = np.where(known[asked.at], share[asked.of], 0.0) + rest[asked.of] * model[asked.at]
+                    del asked, share, rest
+                    p.levels.clear()
                 starts = np.cumsum(p.sizes) - p.sizes
                 add = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
@@ -650,8 +665,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
 
     shards = max(1, -(-total // pairs))
     to = Layout(shards, max(1, n_words), order, crowded)
-    asks = named.drop("ids").mapInArrow(_ask_grams(to), GRAM_ASK_SCHEMA)
-    answers = scratch.cut(asks.groupBy("shard").applyInArrow(_levels_2_3(root, shards, least), GRAM_ANSWER), "grams")
+    answers = None
+    for level in range(order - 1):  # one after the other, as what portions ask of a level takes more room than the level
+        asks = named.drop("ids").mapInArrow(_ask_grams(to, level), GRAM_ASK_SCHEMA)
+        part = scratch.cut(asks.groupBy("shard").applyInArrow(_levels_2_3(root, shards, least), GRAM_ANSWER), f"grams-{level + 2}")
+        answers = part if answers is None else answers.unionByName(part)
     crowds = answers.where("owner is not null").select("owner", "portion", "contexts", "given", "totals")
     rests = scratch.cut(crowds.groupBy("owner").applyInArrow(_rests(root), REST_ANSWER), "rests")
     answers = answers.where("owner is null")
