@@ -40,14 +40,14 @@ from millrace.llm.shingles import Words, mixed
 from millrace.session import Scratch
 
 #: Portions' words in a shard of level 1, and tokens whose pairs and triples share a shard of levels 2 and 3.
-WORDS, PAIRS = 1_000_000, 1_000_000
+WORDS, PAIRS = 1_000_000, 750_000
 #: A context that may have more tokens than this has its children in several shards, by the word.
 CROWDED = 100_000
 DISCOUNT = 0.75
 #: The hash of the end token. That of a word is it with a probability of 2**-64.
 END = np.uint64(0x5EED0FE4D0F7E575)
 #: Bytes of texts that are hashed at once, and of texts in a portion; a longer text is a portion by itself.
-BATCH, PORTION = 1 << 20, 8 << 20
+BATCH, PORTION = 1 << 20, 6 << 20
 #: Values in a codebook, and how many of them are quantiles; the others are spread evenly over the logarithms.
 BOOK, QUANTILES = 256, 160
 IDS = 1 << 32
