@@ -53,7 +53,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Expectation-maximisation, components and bootstrapping are beyond SQL; tests hold the stages against brute force.
+#: Expectation-maximisation, components and bootstrapping are beyond SQL. Tests hold the stages' operators against brute force; of
+#: the pipeline as a whole they only check columns and ids.
 ORACLE_SQL = None
 
 
