@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.text import token_set
+from millrace.session import Scratch
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -109,6 +110,26 @@ def batch_until(batches: DataFrame, gold: DataFrame, limit: int) -> DataFrame:
     return joined.select("query_id", F.least(F.coalesce("at", "all", F.lit(0)), F.lit(limit)).alias("batches"), reason.alias("reason"))
 
 
+def next_in_ring(items: DataFrame, k: int) -> DataFrame:
+    """(id, rank, negative): of each row the k rows that follow in order of id, the first ones after the last.
+
+    Rows are numbered without one task that holds all: ids are dealt by ranges, ranges are numbered by their counts, of which
+    there is one for each partition, and rows within their range. The numbers are cut, as ranges come from a sample. Rows then meet
+    by number.
+    """
+    scratch = Scratch(items.sparkSession, "ring")
+    dealt = scratch.cut(items.select("id").repartitionByRange("id").select("id", F.spark_partition_id().alias("part")), "dealt")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    numbered = dealt.withColumn("at", number).join(F.broadcast(parts), "part").select("id", (F.col("at") + F.col("before")).alias("at"))
+    rows = scratch.cut(numbered, "numbered")
+    size = rows.agg(F.count(F.lit(1)).alias("m"))
+    asked = rows.crossJoin(F.broadcast(size)).select("id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"), "at", "m")
+    asked = asked.select("id", "rank", F.pmod(F.col("at") + F.col("rank"), F.col("m")).alias("at"))
+    return asked.join(rows.withColumnRenamed("id", "negative"), "at").select("id", "rank", "negative")
+
+
 def rotated(ranked: DataFrame, variants: int, count: int = 4, window: int = 48) -> DataFrame:
     """(id, variant, place, negative): the closest negative, and count - 1 that rotate through the next `window`.
 

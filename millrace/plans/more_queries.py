@@ -383,10 +383,7 @@ SELECT id, CAST(i AS INTEGER) AS variant, array_to_string(list_concat(list_conca
 def q96_rotated_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negatives rotate through each part's next twenty parts, and the part itself is put among them."""
     t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    ids = t.agg(F.array_sort(F.collect_list("id")).alias("all"))  # a catalogue
-    ranked = t.crossJoin(F.broadcast(ids)).select("id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("rank"), "all")
-    at = (F.array_position("all", F.col("id")) - 1 + F.col("rank")) % F.size("all")
-    ranked = ranked.select("id", "rank", F.get("all", at.cast("int")).alias("negative"))
+    ranked = retrieve.next_in_ring(t, 20)
     return retrieve.with_gold(retrieve.rotated(ranked, 5)).select("id", "variant", F.array_join("listed", ",").alias("listed"))
 
 

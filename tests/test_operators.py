@@ -240,3 +240,19 @@ def test_hard_negatives_match_all_pairs(spark):
     # 400 items with one name are one class.
     alike = retrieve.hard_negatives(spark.range(400).selectExpr("id", "'f' f", "'hot gear' n"), 5, "id", "f", "n")
     assert alike.count() == 2000 and alike.where("id = 0").orderBy("rank").first()[1] == 1
+
+
+def test_next_in_ring_meets_rows_by_number(spark):
+    ids = random.Random(4).sample(range(1000), 83)
+    ring = sorted(ids)
+    got = retrieve.next_in_ring(spark.createDataFrame([(i,) for i in ids], "id long").repartition(7), 20)
+    assert sorted(one(got)) == sorted((v, r, ring[(at + r) % 83]) for at, v in enumerate(ring) for r in range(1, 21))
+    assert {r[2] for r in one(retrieve.next_in_ring(spark.createDataFrame([(5,)], "id long"), 3))} == {5}
+
+
+def test_rotated_negatives_gather_no_catalogue(spark, tmp_path):
+    from millrace.plans.more_queries import q96_rotated_negatives
+
+    spark.range(1, 60).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    plan = q96_rotated_negatives(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan and "collect_list(id" not in plan
