@@ -9,7 +9,7 @@ import numpy as np
 #: Of a sequence: values, bits of a low half, bytes of low and of high halves. All parts are multiples of 8 bytes.
 HEAD = 32
 #: For each byte, the places of its ones in order.
-PLACES = np.array([[p for p in range(8) if b >> p & 1] + [0] * (8 - bin(b).count("1")) for b in range(256)], np.uint8)
+PLACES = np.array([[p for p in range(8) if b >> p & 1] + [0] * (8 - bin(b).count("1")) for b in range(256)], np.uint8).ravel()
 ONES = np.array([bin(b).count("1") for b in range(256)], np.int64)
 
 
@@ -51,16 +51,17 @@ def encode(values: np.ndarray) -> bytes:
 class Sequence:
     """A sequence that starts at byte `at` of `data` (a memory map, or bytes in memory); `end` is where it ends.
 
-    Only a running count of the ones in each byte of the high halves is kept beside the bits.
+    Only running counts of the ones and zeros in each byte of the high halves are kept beside the bits.
     """
 
     def __init__(self, data: np.ndarray, at: int = 0):
         self.n, self.width, lows, highs = struct.unpack("<QQQQ", data[at : at + HEAD].tobytes())
         self.end = at + HEAD + lows + highs
-        self.lows = data[at + HEAD : at + HEAD + lows].view("<u8")
-        self.highs = data[at + HEAD + lows : self.end]
+        self.lows = np.asarray(data[at + HEAD : at + HEAD + lows].view("<u8"))
+        self.highs = np.asarray(data[at + HEAD + lows : self.end])
         self.mask = np.uint64((1 << self.width) - 1)
         self._ones: np.ndarray | None = None
+        self._zeros: np.ndarray | None = None
 
     @property
     def ones(self) -> np.ndarray:
@@ -69,6 +70,13 @@ class Sequence:
             self._ones = np.cumsum(ONES[self.highs])
         return self._ones
 
+    @property
+    def zeros(self) -> np.ndarray:
+        """Zeros in the bytes up to and with each."""
+        if self._zeros is None:
+            self._zeros = np.arange(8, 8 * len(self.highs) + 8, 8) - self.ones
+        return self._zeros
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.uint64)
@@ -80,18 +88,19 @@ class Sequence:
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """Values at the given indexes."""
         byte = np.searchsorted(self.ones, i, side="right")
-        rank = i - (self.ones[byte] - ONES[self.highs[byte]])
-        high = byte * 8 + PLACES[self.highs[byte], rank] - i
+        held = self.highs[byte]
+        rank = i - (self.ones[byte] - ONES[held])
+        high = byte * 8 + PLACES[held * np.int64(8) + rank] - i
         return (high.astype(np.uint64) << np.uint64(self.width)) | self._low(i)
 
     def _upto(self, high: np.ndarray) -> np.ndarray:
         """How many values have a high half of `high` or less (-1 or more): the ones before the zero of that number."""
-        zeros = (np.arange(len(self.highs)) + 1) * 8 - self.ones
+        zeros = self.zeros
         inside = np.clip(high, 0, zeros[-1] - 1)
         byte = np.searchsorted(zeros, inside, side="right")
         flipped = ~self.highs[byte]
         rank = inside - (zeros[byte] - ONES[flipped])
-        ones = byte * 8 + PLACES[flipped, rank] - inside
+        ones = byte * 8 + PLACES[flipped * np.int64(8) + rank] - inside
         return np.where(high < 0, 0, np.where(high >= zeros[-1], self.n, np.minimum(ones, self.n)))
 
     def successors(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +110,19 @@ class Sequence:
         queries = queries.astype(np.uint64)
         high = np.minimum(queries >> np.uint64(self.width), np.uint64(1 << 62)).astype(np.int64)
         want = queries & self.mask
-        at, end = self._upto(high - 1), self._upto(high)
+        at = self._upto(high - 1)
+        # The first value that may be it has this high half if its bit follows right on those of lower ones. Few queries need another.
+        bit = np.where(at < self.n, at + high, 0)
+        same = (at < self.n) & ((self.highs[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0)
+        low = self._low(np.minimum(at, self.n - 1))
+        equal = same & (low == want)
+        rest = np.flatnonzero(same & (low < want))
+        if len(rest):
+            at[rest], equal[rest] = self._among(at[rest] + 1, self._upto(high[rest]), want[rest])
+        return at, equal
+
+    def _among(self, at: np.ndarray, end: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first value from `at` on whose low half is not below `want`, `end` if none; whether it is equal)."""
         low, up = at.copy(), end.copy()
         live = np.flatnonzero(low < up)
         while len(live):

@@ -440,7 +440,7 @@ class Shard:
         self.children = Sequence(data, self.starts.end)
         n, at = self.children.n, self.children.end
         self.book = np.exp(data[at : at + 8 * BOOK].view("<f8"))
-        self.codes = data[at + 8 * BOOK : at + 8 * BOOK + n]
+        self.codes = np.asarray(data[at + 8 * BOOK : at + 8 * BOOK + n])
 
     @staticmethod
     def write(root: str, shard: int, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -455,21 +455,21 @@ class Shard:
         write_file(root, f"grams-{shard}", b"".join([contexts[:1].astype("<u8").tobytes(), encode(contexts - contexts[0]), encode(starts.astype(np.uint64)), encode(words + np.repeat(base, sizes)), filled.astype("<f8").tobytes(), whole(codes.tobytes())]))
         return np.exp(book)[codes]
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """One more than the codes of (context, word), 0 for unseen ones."""
-        out = np.zeros(len(context), np.int64)
+    def find(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """One more than the codes of words after contexts, 0 for unseen ones; each context is looked up once for its `sizes` words."""
+        out = np.zeros(len(words), np.int64)
         if not self.contexts.n:
             return out
-        at, known = self.contexts.successors(np.maximum(context, self.least) - self.least)
-        known &= context >= self.least
-        rows, at = np.flatnonzero(known), at[known]
+        at, known = self.contexts.successors(np.maximum(contexts, self.least) - self.least)
+        known &= contexts >= self.least
+        rows, at, sizes = np.flatnonzero(np.repeat(known, sizes)), at[known], sizes[known]
         start = self.starts[at].astype(np.int64)
         upto = np.where(at + 1 < self.contexts.n, self.starts[np.minimum(at + 1, self.contexts.n - 1)].astype(np.int64), self.children.n)
         # The sum that a context's children start from ends the context before it, plus one.
         base = np.where(start > 0, self.children[np.maximum(start - 1, 0)] + np.uint64(1), np.uint64(0))
-        k, equal = self.children.successors(word[rows].astype(np.uint64) + base)
-        hit = equal & (k >= start) & (k < upto)
-        out[rows[hit]] = self.codes[k[hit]] + 1
+        k, equal = self.children.successors(words[rows].astype(np.uint64) + np.repeat(base, sizes))
+        hit = equal & (k >= np.repeat(start, sizes)) & (k < np.repeat(upto, sizes))
+        out[rows[hit]] = self.codes[k[hit]] + np.int64(1)
         return out
 
 
@@ -516,7 +516,7 @@ def _levels_2_3(root: str, shards: int, least: int):
             logs = np.log((n[seen] - DISCOUNT) / np.where(crowded, 1.0, total)[of[seen]])
             given[have] = np.add.reduceat(Shard.write(root, shard, kinds[have], have_sizes, words[seen], logs), np.cumsum(have_sizes) - have_sizes)
             mapped = Shard(root, shard)
-            found, values = mapped.find(kinds[of], words), np.concatenate([[0.0], mapped.book])
+            found, values = mapped.find(kinds, np.bincount(of, minlength=len(kinds)), words), np.concatenate([[0.0], mapped.book])
         else:
             found, values = np.zeros(len(key), np.int64), np.zeros(1)
         rest = np.floor(np.clip(1.0 - given, 0, 1) * 65_535)

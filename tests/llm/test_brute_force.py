@@ -309,6 +309,28 @@ def test_successor_search():
         assert np.array_equal(at, np.searchsorted(values, queries)) and np.array_equal(equal, np.isin(queries, values))
 
 
+def test_trie_shard_looks_up_each_context_once(tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    contexts = np.sort(rng.choice(10**6, 200, replace=False)).astype(np.uint64)
+    sizes = rng.integers(1, 60, 200)
+    words = np.concatenate([np.sort(rng.choice(500, n, replace=False)) for n in sizes]).astype(np.uint64)
+    logs = -rng.random(len(words))
+    root = f"file://{tmp_path}"
+    values = ngram_lm.Shard.write(root, 0, contexts, sizes, words, logs)
+    shard = ngram_lm.Shard(root, 0)
+    asked = []
+    plain = elias_fano.Sequence.successors
+    monkeypatch.setattr(elias_fano.Sequence, "successors", lambda self, q: (asked.append((self is shard.contexts, len(q))), plain(self, q))[1])
+    # Every other context is unknown, and so is every word from 500 on.
+    every = np.unique(np.concatenate([contexts, contexts + np.uint64(1), np.array([0, 2 * 10**6], np.uint64)]))
+    known = dict(zip(contexts.tolist(), np.split(np.arange(len(words)), np.cumsum(sizes)[:-1]), strict=True))
+    ask = [np.concatenate([words[known[c]], [np.uint64(500)]]) if c in known else np.arange(5, dtype=np.uint64) for c in every.tolist()]
+    got = shard.find(every, np.array([len(a) for a in ask]), np.concatenate(ask))
+    want = np.concatenate([np.concatenate([values[known[c]], [0.0]]) if c in known else np.zeros(5) for c in every.tolist()])
+    assert np.array_equal(np.concatenate([[0.0], shard.book])[got], want)
+    assert asked[0] == (True, len(every)) and len(asked) == 2
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(3)
     for values in (np.empty(0, np.uint64), np.array([0], np.uint64), np.array([2**63], np.uint64), np.sort(rng.integers(0, 2**64 - 1, 5000, np.uint64)), np.repeat(np.arange(50, dtype=np.uint64), 7)):
