@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import checks, convo, dedup, estimate, graph, isolate, metrics, quota, records, retrieve, sample, split
+from millrace.operators import checks, convo, dedup, estimate, grams, graph, isolate, metrics, quota, records, retrieve, sample, split
 from millrace.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,13 +208,10 @@ SELECT a, b, shared, round(shared / least(x.n, y.n), 9) AS overlap FROM p JOIN n
 """)
 def q13_shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct 80-character shingles that sources share, over the smaller number of theirs."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 80)
-    grams = d.select("source", F.explode(tx.all_grams(F.col("text"), 80)).alias("g")).select("source", F.md5("g").alias("g")).distinct()
-    held = grams.groupBy("g").agg(F.array_sort(F.collect_set("source")).alias("s"))
-    sizes = grams.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    # Few different sets of sources hold most shingles; pairs are made of those sets, with their counts.
-    sets = held.where(F.size("s") > 1).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    pairs = sets.select("c", "s", F.explode("s").alias("a")).select("c", "a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("c").alias("shared"))
+    # Few different sets of sources hold all shingles; sizes and pairs are made of those sets, with their counts.
+    sets = grams.source_sets(table(spark, sf_dir, "documents"), 80).select("s", F.col("n").alias("c"))
+    sizes = sets.select("c", F.explode("s").alias("source")).groupBy("source").agg(F.sum("c").alias("n"))
+    pairs = sets.where(F.size("s") > 1).select("c", "s", F.explode("s").alias("a")).select("c", "a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("c").alias("shared"))
     x, y = (sizes.select(F.col("source").alias(k), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "shared", F.round(F.col("shared") / F.least("n_a", "n_b"), 9).alias("overlap"))
 

@@ -256,3 +256,41 @@ def test_rotated_negatives_gather_no_catalogue(spark, tmp_path):
     spark.range(1, 60).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
     plan = q96_rotated_negatives(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_position" not in plan and "collect_list(id" not in plan
+
+
+@pytest.mark.parametrize(("block", "per_file"), [(10**6, 10**6), (300, 40)], ids=["usual", "split"])
+def test_source_sets_of_grams(spark, monkeypatch, block, per_file):
+    import collections
+    import random
+
+    from millrace.operators import grams
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abc é😀") for _ in range(n))
+    base = [text(rng.randint(20, 400)) for _ in range(25)]
+    rows = [(rng.choice(["s1", "s2", "s3", None]), rng.choice(base)[rng.randint(0, 9) :] + rng.choice(["", text(50), base[0]])) for _ in range(120)]
+    # Periods shorter, as long as and longer than a gram and its anchors, and runs longer than a context.
+    rows += [("s1", "z" * 3000), ("s2", "z" * 41), ("s3", "xy" * 700), ("s1", text(30) * 9), ("s2", text(26) * 5), ("s3", text(40) * 3), ("s4", text(41) * 4), ("s4", None), (None, "z" * 60), ("s4", "z" * 39)]
+    n = 40
+    want = collections.defaultdict(set)
+    for s, t in rows:
+        for i in range(len(t or "") - n + 1):
+            want[t[i : i + n]].add(s)
+    sets = collections.Counter(tuple(sorted(x - {None})) for x in want.values())
+    del sets[()]
+    docs = spark.createDataFrame(rows, "source string, text string").repartition(5)
+    got = {tuple(r.s): r.n for r in grams.source_sets(docs, n, block=block, per_file=per_file).collect()}
+    assert got == sets and len(sets) > 5
+
+
+def test_grams_send_no_row_for_each_place(spark):
+    import random
+
+    import pyarrow as pa
+
+    from millrace.operators import grams
+
+    rng = random.Random(6)
+    text = ["".join(rng.choice("abcdefgh ") for _ in range(20_000)) for _ in range(4)]
+    rows = sum(b.num_rows for b in grams._context_rows(80)(iter([pa.RecordBatch.from_arrays([pa.array(["a", "b", "a", "b"]), pa.array([*text[:3], text[2]])], names=["source", "text"])])))
+    assert rows < sum(map(len, text)) / 25
