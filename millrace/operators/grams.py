@@ -165,6 +165,55 @@ def _context_rows(n: int):
     return run
 
 
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by anchor, to the anchors whose grams must be compared; and of others, how many grams each set of sources has."""
+    columns = ["h", "c1", "c2", "n", "twice"]
+
+    def answer(x: dict[str, np.ndarray], source: pa.DictionaryArray, last: bool) -> tuple[pa.RecordBatch, np.ndarray]:
+        """What anchors have; unless `last`, rows of the last one, which may go on, are left for the next batch."""
+        code, listed = source.indices.to_numpy(), source.dictionary.to_pylist()
+        new = np.concatenate([[True], x["h"][1:] != x["h"][:-1]])
+        heads = np.flatnonzero(new)
+        contexts = new | np.concatenate([[True], (x["c1"][1:] != x["c1"][:-1]) | (x["c2"][1:] != x["c2"][:-1])])
+        shared = np.add.reduceat(contexts.astype(np.int64), heads) + np.maximum.reduceat(x["twice"].astype(np.int64), heads) > 1
+        left = np.empty(0, np.int64)
+        if not last:
+            # Of an anchor that is known to be shared one row does, of others one with each source.
+            tail = np.arange(heads[-1], len(code))
+            if shared[-1]:
+                left, x["twice"] = tail[:1], x["twice"].copy()
+                x["twice"][tail[0]] = True
+            else:
+                left = tail[np.unique(code[tail], return_index=True)[1]]
+            heads, shared, upto = heads[:-1], shared[:-1], int(heads[-1])
+        else:
+            upto = len(code)
+        sets: dict[tuple[str, ...], int] = {}
+        ends = np.concatenate([heads[1:], [upto]]) if len(heads) else heads
+        one = np.flatnonzero(~shared & (ends - heads == 1))
+        for k, n in enumerate(np.bincount(code[heads[one]], x["n"][heads[one]], len(listed)).tolist()):
+            if n:
+                sets[(listed[k],)] = int(n)
+        for k in np.flatnonzero(~shared & (ends - heads > 1)).tolist():
+            s = tuple(sorted({listed[c] for c in code[heads[k] : ends[k]].tolist()}))
+            sets[s] = sets.get(s, 0) + int(x["n"][heads[k]])
+        h = x["h"][heads[shared]]
+        rows = [pa.array([*h.tolist(), *[None] * len(sets)], pa.int64()), pa.array([*[None] * len(h), *map(list, sets)], pa.list_(pa.string())), pa.array([*[None] * len(h), *sets.values()], pa.int64())]
+        return pa.RecordBatch.from_arrays(rows, names=["h", "s", "n"]), left
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        x = {c: t.column(c).to_numpy() for c in columns}
+        out, left = answer(x, t.column("source").combine_chunks().dictionary_encode(), False)
+        held = t.take(left).set_column(t.schema.get_field_index("twice"), "twice", pa.array(x["twice"][left]))
+        yield out
+    if held is not None:
+        yield answer({c: held.column(c).to_numpy() for c in columns}, held.column("source").combine_chunks().dictionary_encode(), True)[0]
+
+
 def _text_rows(n: int, root: str, files: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = [_mapped(root, f"anchors-{k}") for k in range(files)]
@@ -294,10 +343,7 @@ def source_sets(docs: DataFrame, n: int, *, source_col: str = "source", text_col
     root = root if "://" in root else "file://" + root.removeprefix("file:")
     d = docs.select(F.col(source_col).alias("source"), F.col(text_col).alias("text")).where(F.col("source").isNotNull() & (F.length("text") >= n))
     found = d.mapInArrow(_context_rows(n), "h long, c1 long, c2 long, n int, twice boolean, source string").repartition("h")
-    contexts = found.groupBy("h", "c1", "c2").agg(F.collect_set("source").alias("s"), F.first("n").alias("n"), F.max("twice").alias("twice"))
-    one = contexts.groupBy("h").agg((F.count(F.lit(1)) + F.max("twice").cast("int")).alias("k"), F.first("s").alias("s"), F.first("n").alias("n"))
-    alone = F.col("k") == 1
-    one = scratch.cut(one.select(F.when(~alone, F.col("h")).alias("h"), F.when(alone, F.array_sort("s")).alias("s"), F.when(alone, F.col("n").cast("long")).alias("n")), "anchors")
+    one = scratch.cut(found.sortWithinPartitions("h", "c1", "c2").mapInArrow(_anchors, "h long, s array<string>, n long"), "anchors")
 
     shared = one.where("h is not null").select("h")
     files = max(1, -(-shared.count() // per_file))

@@ -294,3 +294,19 @@ def test_grams_send_no_row_for_each_place(spark):
     text = ["".join(rng.choice("abcdefgh ") for _ in range(20_000)) for _ in range(4)]
     rows = sum(b.num_rows for b in grams._context_rows(80)(iter([pa.RecordBatch.from_arrays([pa.array(["a", "b", "a", "b"]), pa.array([*text[:3], text[2]])], names=["source", "text"])])))
     assert rows < sum(map(len, text)) / 25
+
+
+def test_anchors_over_batches():
+    import pyarrow as pa
+
+    from millrace.operators import grams
+
+    rows = [(1, 1, 1, 9, False, "b"), (1, 1, 1, 9, False, "a"), (1, 1, 1, 9, False, "b"), (2, 1, 1, 4, False, "a"), (2, 1, 2, 5, False, "a"), (2, 1, 2, 5, False, "c"), (3, 7, 7, 6, True, "a"), (4, 1, 1, 3, False, "a"), (5, 1, 1, 8, False, "a")]
+    for size in (1, 2, 3, 9):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size], strict=True)], names=["h", "c1", "c2", "n", "twice", "source"]) for k in range(0, len(rows), size)]
+        got = [r for b in grams._anchors(iter(batches)) for r in b.to_pylist()]
+        sets = {}
+        for r in got:
+            if r["s"]:
+                sets[tuple(r["s"])] = sets.get(tuple(r["s"]), 0) + r["n"]
+        assert [r["h"] for r in got if r["h"]] == [2, 3] and sets == {("a", "b"): 9, ("a",): 11}
